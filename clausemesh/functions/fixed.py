@@ -109,6 +109,7 @@ ROUTE_TEMPLATE = r"^(/([a-zA-Z][a-zA-Z0-9_]*|\{[a-zA-Z_][a-zA-Z0-9_]*\}))+$"
 
 # --- characters ---------------------------------------------------------------
 SPACE = r"[\p{Z}\t-\r\x1c-\x1f\x85]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 ASCII_CUT_MARKS = ".,;:!?()[]{}\"'-/\\|<>=+*&%@#$^_~`"
 CJK_CUT_RANGES = [(0x3000, 0x303F), (0xFF00, 0xFFEF), (0x4E00, 0x9FFF), (0x3400, 0x4DBF)]
 UNSAFE_JOIN = r"^(\p{Nd}[A-Za-z.]|[A-Za-z]\p{Nd}|\.\p{Nd}|[A-Za-z][A-Za-z])$"

@@ -22,11 +22,11 @@ def estimate_tokens(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every Unicode white-space character from both ends."""
-    return F.regexp_replace(text, f"^{K.SPACE}+|{K.SPACE}+$", "")
+    return F.btrim(text, F.lit(K.SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(f"^{K.SPACE}*$")
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
 def block_text(md_preview: Column, raw: Column) -> Column:
@@ -42,8 +42,7 @@ def safe_join(left: Column, right: Column) -> Column:
 
 def is_atomic(text: Column) -> Column:
     """A chunk is atomic when it has content and does not end in a digit."""
-    tail = F.regexp_replace(text, f"{K.SPACE}+$", "")
-    return F.coalesce(tail.rlike(r"(?s)\P{Nd}$"), F.lit(False))
+    return F.coalesce(F.right(F.rtrim(text, F.lit(K.SPACES)), F.lit(1)).rlike(r"^(?s)\P{Nd}$"), F.lit(False))
 
 
 def table_headers(structured: Column, md_preview: Column) -> Column:
@@ -69,16 +68,21 @@ def _char_kinds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     letter = ((code | 32) >= 97) & ((code | 32) <= 122)
     digit = (code >= 48) & (code <= 57)
-    safe = np.isin(code, np.array([ord(c) for c in K.ASCII_CUT_MARKS], dtype=np.uint32))
-    for low, high in K.CJK_CUT_RANGES:
-        safe |= (code >= low) & (code <= high)
-    odd = np.flatnonzero((code > 127) | (code <= 32))
-    for i in odd:
-        safe[i] |= text[i].isspace()
-        digit[i] |= text[i].isdigit()
+    safe = _ASCII_SAFE[np.minimum(code, 128)]
+    if (code > 127).any():
+        for low, high in K.CJK_CUT_RANGES:
+            safe |= (code >= low) & (code <= high)
+        for c in np.unique(code[code > 127]):
+            if chr(c).isspace():
+                safe |= code == c
+            if chr(c).isdigit():
+                digit |= code == c
     return digit, letter, safe
 
 
+_ASCII_SAFE = np.array([chr(i) in K.ASCII_CUT_MARKS or chr(i).isspace() for i in range(128)] + [False])
+
+
 def cut_line(text: str, limit: int) -> list[str]:
     """Cut a line into pieces of at most `limit` characters, dropping blank pieces.
 

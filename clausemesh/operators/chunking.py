@@ -1,8 +1,7 @@
 """Scope-aware chunking.
 
 Work is laid out in units: the sorted blocks of one document, at most UNIT_BLOCKS of them.
-Inside a unit everything is array expressions, so documents that arrive as one row are
-chunked without any shuffle. A document with more units gets two small carries per unit,
+Inside a unit everything is array expressions, so documents that arrive as one row are one unit, chunked without any shuffle. A document with more units gets two small carries per unit,
 the scope before it and the tokens of the pack left open, worked out from per-unit
 summaries; a pack that crosses a unit edge is put together afterwards by its own key.
 
@@ -23,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions import fixed as K
 from ..functions import ids
 from ..functions import text as X
+from ..session import cut_lineage
 from .scan import Running, running, sorted_list
 
 UNIT_BLOCKS = 1024
@@ -72,9 +72,10 @@ def units_from_blocks(prepared: DataFrame) -> DataFrame:
 def units_from_texts(
     docs: DataFrame, doc_hash: Column, version: Column, doc_type: Column, scope: Column, text: Column
 ) -> DataFrame:
-    """Units of plain texts, one block per line, with no shuffle.
+    """Plain texts as units, one block per line, with no shuffle.
 
-    The page of every block is 1 and its identifier its position.
+    A text that is one row is one unit whatever its length. The page of every block is 1
+    and its identifier its position.
     """
     lines = F.split(text, "\n")
     blocks = F.filter(
@@ -95,23 +96,13 @@ def units_from_texts(
         ),
         lambda b: b.text != "",
     )
-    base = docs.select(
-        doc_hash.alias("doc_hash"), version.cast("int").alias("version"), doc_type.alias("doc_type"),
-        blocks.alias("blocks"),
-    )
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("blocks"), F.lit(1)) - 1) / UNIT_BLOCKS).cast("int"))
-    return base.select(
-        *DOC, "doc_type", F.size("blocks").alias("n_blocks"),
-        F.explode_outer(
-            F.transform(
-                starts,
-                lambda u: F.struct(
-                    u.cast("long").alias("unit"),
-                    F.slice("blocks", u * UNIT_BLOCKS + 1, F.lit(UNIT_BLOCKS)).alias("rows"),
-                ),
-            )
-        ).alias("u"),
-    ).select(*DOC, "doc_type", "n_blocks", "u.unit", "u.rows").where(F.size("rows") > 0)
+    return docs.select(
+        doc_hash.alias("doc_hash"),
+        version.cast("int").alias("version"),
+        doc_type.alias("doc_type"),
+        F.lit(0).cast("long").alias("unit"),
+        blocks.alias("rows"),
+    ).where(text != "")
 
 
 # --- packing ----------------------------------------------------------------------
@@ -270,19 +261,21 @@ def _with_carry(units: DataFrame, budget: int, counter: X.TokenCounter) -> DataF
         F.sequence(F.lit(0), F.lit(budget)).alias("open"),
         F.array_repeat(F.lit(-1).cast("long"), budget + 1).alias("key"),
     )
-    composed = grouped.where(F.element_at("us", -1).getField("more")).select(
+    composed = grouped.select(
         *DOC,
         "g",
-        F.aggregate(
-            "us",
-            blank,
-            lambda acc, u: F.struct(
-                F.transform(acc.open, lambda s: F.get(u.open, s)).alias("open"),
-                F.zip_with(acc.open, acc.key, lambda s, k: key_of(u, s, k)).alias("key"),
+        F.when(
+            F.element_at("us", -1).getField("more"),
+            F.aggregate(
+                "us",
+                blank,
+                lambda acc, u: F.struct(
+                    F.transform(acc.open, lambda s: F.get(u.open, s)).alias("open"),
+                    F.zip_with(acc.open, acc.key, lambda s, k: key_of(u, s, k)).alias("key"),
+                ),
             ),
         ).alias("t"),
     )
-    walk_out = "array<struct<at:bigint,carried:int,carried_key:bigint>>"
 
     def walk(items: Column, at, start: Column, step_key) -> Column:
         """States before every item of an ordered list of tables."""
@@ -291,7 +284,7 @@ def _with_carry(units: DataFrame, budget: int, counter: X.TokenCounter) -> DataF
             F.struct(
                 start.getField("carried").alias("carried"),
                 start.getField("carried_key").alias("key"),
-                F.array().cast(walk_out).alias("out"),
+                F.array().cast("array<struct<at:bigint,carried:int,carried_key:bigint>>").alias("out"),
             ),
             lambda acc, u: F.struct(
                 F.get(u.open, acc.carried).alias("carried"),
@@ -303,15 +296,7 @@ def _with_carry(units: DataFrame, budget: int, counter: X.TokenCounter) -> DataF
                     ),
                 ).alias("out"),
             ),
-            lambda acc: F.concat(
-                acc.out,
-                F.array(
-                    F.struct(
-                        (at(F.element_at(items, -1)) + 1).alias("at"), acc.carried.alias("carried"),
-                        acc.key.alias("carried_key"),
-                    )
-                ),
-            ),
+            lambda acc: acc.out,
         )
 
     zero = F.struct(F.lit(0).alias("carried"), F.lit(-1).cast("long").alias("carried_key"))
@@ -325,16 +310,10 @@ def _with_carry(units: DataFrame, budget: int, counter: X.TokenCounter) -> DataF
         .select(*DOC, F.col("o.at").alias("g"), F.struct("o.carried", "o.carried_key").alias("entry"))
     )
     states = (
-        grouped.join(group_states, [*DOC, "g"], "left")
-        .select(
-            *DOC,
-            F.explode(walk(F.col("us"), lambda u: u.unit, F.coalesce("entry", zero), key_of)).alias("o"),
-        )
+        grouped.join(group_states, [*DOC, "g"])
+        .select(*DOC, F.explode(walk(F.col("us"), lambda u: u.unit, F.col("entry"), key_of)).alias("o"))
         .select(*DOC, F.col("o.at").alias("unit"), "o.carried", "o.carried_key")
     )
-    # a walk also names the state after its last item; that state starts the next group,
-    # whose own walk names it again, so only states of existing units of the walk count
-    states = states.groupBy(*UNIT).agg(F.max("carried").alias("carried"), F.max("carried_key").alias("carried_key"))
     return (
         units.join(near, UNIT, "left")
         .join(states, UNIT, "left")
@@ -603,15 +582,21 @@ def chunk_unit_series(
         .groupBy(*DOC, "doc_type", "key")
         .agg(sorted_list("unit", "unit", "kind", "blocks").alias("ps"))
         .select(
-            *DOC, "doc_type", "key", F.element_at("ps", -1).getField("kind").alias("kind"),
+            *DOC, "doc_type", "key",
+            # still open at its last unit: the next unit started afresh, so the budget closed it
+            F.when(F.element_at("ps", -1).getField("kind") == "open", F.lit("route"))
+            .otherwise(F.element_at("ps", -1).getField("kind"))
+            .alias("kind"),
             F.flatten(F.transform("ps", lambda p: p.blocks)).alias("blocks"),
         )
     )
     all_packs = packs.where(~F.col("edge")).select(*joined.columns).unionByName(joined)
-    chunked = _chunk_arrays(
-        all_packs.select(*DOC, "doc_type", "key", F.array(F.struct("key", "kind", "blocks")).alias("packs")),
-        max_tokens, counter, with_tables,
-    ).select(*DOC, "doc_type", "key", "chunks")
+    chunked = cut_lineage(
+        _chunk_arrays(
+            all_packs.select(*DOC, "doc_type", "key", F.array(F.struct("key", "kind", "blocks")).alias("packs")),
+            max_tokens, counter, with_tables,
+        ).select(*DOC, "doc_type", "key", "chunks")
+    )
     counts = chunked.select(*DOC, "key", F.size("chunks").cast("long").alias("n"))
     offsets = running(counts, DOC, [F.col("key")], {"offset": Running("sum", F.col("n"), inclusive=False)})
     numbered = chunked.join(
@@ -625,8 +610,18 @@ def chunk_blocks(
     max_tokens: int = K.MAX_CHUNK_TOKENS,
     counter: X.TokenCounter = X.estimate_tokens,
 ) -> DataFrame:
-    """Chunk a table of parsed blocks: doc_hash, version, doc_type, block_ord and the block."""
-    return chunk_unit_series(units_from_blocks(prepare_blocks(blocks)), max_tokens, counter)
+    """Chunk a table of parsed blocks: doc_hash, version, doc_type, block_ord and the block.
+
+    Documents above UNIT_BLOCKS positions are found first, from two columns; without any,
+    the plan is the one shuffle that gathers a document's blocks.
+    """
+    prepared = prepare_blocks(blocks)
+    units = units_from_blocks(prepared)
+    long_docs = cut_lineage(prepared.where(F.col("block_ord") >= UNIT_BLOCKS).select(*DOC).distinct())
+    if long_docs.isEmpty():
+        return chunk_single_units(units, max_tokens, counter)
+    short = chunk_single_units(units.join(long_docs, DOC, "left_anti"), max_tokens, counter)
+    return short.unionByName(chunk_unit_series(units.join(long_docs, DOC, "left_semi"), max_tokens, counter))
 
 
 def chunk_texts(
@@ -639,10 +634,6 @@ def chunk_texts(
     max_tokens: int = K.MAX_CHUNK_TOKENS,
     counter: X.TokenCounter = X.estimate_tokens,
 ) -> DataFrame:
-    """Chunk plain texts, a block per line. Only texts above one unit of lines are shuffled."""
+    """Chunk plain texts, a block per line, with no shuffle."""
     units = units_from_texts(docs, doc_hash, version, doc_type, scope, text)
-    short = units.where(F.col("n_blocks") <= UNIT_BLOCKS).drop("n_blocks")
-    longer = units.where(F.col("n_blocks") > UNIT_BLOCKS).drop("n_blocks")
-    return chunk_single_units(short, max_tokens, counter, with_tables=False).unionByName(
-        chunk_unit_series(longer, max_tokens, counter, with_tables=False)
-    )
+    return chunk_single_units(units, max_tokens, counter, with_tables=False)
