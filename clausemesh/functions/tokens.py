@@ -47,17 +47,34 @@ def search_terms(query: Column) -> Column:
     return F.filter(terms, lambda t: F.size(t.phrase) > 0)
 
 
-def phrase_hits(tokens: Column, phrase: Column, prefix: Column) -> Column:
-    """How often the phrase occurs; with `prefix`, its last token may continue."""
-    n, m = F.size(tokens), F.size(phrase)
+def _last_matches(token: Column, phrase: Column, prefix: bool) -> Column:
     last = F.element_at(phrase, -1)
+    return token.startswith(last) if prefix else token == last
+
+
+def _hit_positions(tokens: Column, phrase: Column, prefix: bool) -> Column:
+    """Start positions of a phrase of several words."""
+    n, m = F.size(tokens), F.size(phrase)
+    head = F.slice(phrase, F.lit(1), m - 1)
+    return F.filter(
+        F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))),
+        lambda i: _last_matches(F.get(tokens, i + m - 1), phrase, prefix) & (F.slice(tokens, i + 1, m - 1) == head),
+    )
+
+
+def phrase_hits(tokens: Column, phrase: Column, prefix: bool) -> Column:
+    """How often the phrase occurs; with `prefix`, its last word may continue."""
+    return (
+        F.when(F.size(phrase) == 1, F.size(F.filter(tokens, lambda t: _last_matches(t, phrase, prefix))))
+        .when(F.size(tokens) < F.size(phrase), F.lit(0))
+        .otherwise(F.size(_hit_positions(tokens, phrase, prefix)))
+    )
 
-    def matches_at(i: Column) -> Column:
-        tail = F.get(tokens, i + m - 1)
-        tail_ok = F.when(prefix, tail.startswith(last)).otherwise(tail == last)
-        head_ok = (m == 1) | (F.slice(tokens, i + 1, F.greatest(m - 1, F.lit(0))) == F.slice(phrase, F.lit(1), F.greatest(m - 1, F.lit(0))))
-        return tail_ok & head_ok
 
-    return F.when(n < m, F.lit(0)).otherwise(
-        F.size(F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), matches_at))
+def phrase_occurs(tokens: Column, phrase: Column, prefix: bool) -> Column:
+    """Whether the phrase occurs at all; stops at the first single-word match."""
+    return (
+        F.when(F.size(phrase) == 1, F.exists(tokens, lambda t: _last_matches(t, phrase, prefix)))
+        .when(F.size(tokens) < F.size(phrase), F.lit(False))
+        .otherwise(F.size(_hit_positions(tokens, phrase, prefix)) > 0)
     )

@@ -27,6 +27,7 @@ from .scan import first_rows
 
 QUERY_BLOCK = 4096
 BROADCAST_ROWS = 100_000
+IN_ROW_PHRASES = 20_000
 
 
 # --- vectors ----------------------------------------------------------------------------
@@ -167,9 +168,16 @@ def parse_queries(queries: DataFrame, query_id: str = "query_id", query: str = "
     )
 
 
-def _occurrences(tokens: Column, scope_tokens: Column | None, phrase: Column, prefix: bool) -> Column:
-    hits = TK.phrase_hits(tokens, phrase, F.lit(prefix))
-    return hits if scope_tokens is None else hits + TK.phrase_hits(scope_tokens, phrase, F.lit(prefix))
+def _occurrences(columns: list[Column], phrase: Column, prefix: bool) -> Column:
+    hits = [TK.phrase_hits(c, phrase, prefix) for c in columns]
+    return sum(hits[1:], hits[0])
+
+
+def _occurs(columns: list[Column], phrase: Column, prefix: bool) -> Column:
+    found = F.lit(False)
+    for column in columns:
+        found = found | TK.phrase_occurs(column, phrase, prefix)
+    return found
 
 
 def bm25_topk(
@@ -202,37 +210,50 @@ def bm25_topk(
         return F.concat(F.when(F.size(phrase) == 1, F.lit("^")).otherwise(F.lit("=")), F.get(phrase, F.lit(0)))
 
     phrases = parsed.select(F.explode("positives").alias("phrase")).distinct().withColumn("entry", entry(F.col("phrase")))
-    small = parsed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast if small else (lambda d: d)
+    small = phrases.limit(IN_ROW_PHRASES + 1).count() <= IN_ROW_PHRASES
     # every word of a row, and its beginnings in the lengths that single-word phrases have
     lengths = phrases.where(F.size("phrase") == 1).agg(F.sort_array(F.collect_set(F.length("entry") - 1)))
     words = F.array_distinct(F.concat("tokens", "scope_tokens"))
-    entries = (
-        rows.withColumn("lengths", lengths.scalar())
-        .withColumn(
-            "entries",
+    rows = rows.withColumn("lengths", lengths.scalar()).withColumn(
+        "entries",
+        F.concat(
+            F.transform(words, lambda t: F.concat(F.lit("="), t)),
             F.array_distinct(
-                F.concat(
-                    F.transform(words, lambda t: F.concat(F.lit("="), t)),
-                    F.flatten(
-                        F.transform(
-                            words,
-                            lambda t: F.transform(
-                                F.filter("lengths", lambda n: n <= F.length(t)), lambda n: F.concat(F.lit("^"), F.left(t, n))
-                            ),
-                        )
-                    ),
+                F.flatten(
+                    F.transform(
+                        words,
+                        lambda t: F.transform(
+                            F.filter("lengths", lambda n: n <= F.length(t)), lambda n: F.concat(F.lit("^"), F.left(t, n))
+                        ),
+                    )
                 )
             ),
-        )
-        .select(chunk_id, "tokens", "scope_tokens", "status", F.explode_outer("entries").alias("entry"))
+        ),
     )
-    tf = _occurrences(F.col("tokens"), F.col("scope_tokens") if scoped else None, F.col("phrase"), True)
+    places = [F.col("tokens"), F.col("scope_tokens")] if scoped else [F.col("tokens")]
+
+    def rows_with(wanted: DataFrame, columns: list[str]) -> DataFrame:
+        """One row per corpus row and wanted entry it holds, with the named columns."""
+        if small:
+            # the wanted entries travel as one array; rows shrink to their matches before they multiply
+            found = F.array_intersect("entries", wanted.agg(F.collect_set("entry")).scalar())
+            return rows.withColumn("found", found).select(
+                *columns, F.explode_outer("found").alias("entry")
+            ).where(F.col("entry").isNotNull())
+        keys = rows.select(chunk_id, F.explode_outer("entries").alias("entry")).join(wanted, "entry", "left_semi")
+        needed = [c for c in columns if c != chunk_id]
+        return keys.join(rows.select(chunk_id, *needed), chunk_id) if needed else keys
+
+    single = phrases.where(F.size("phrase") == 1)
+    several = phrases.where(F.size("phrase") > 1)
+    # document frequency of every phrase
     frequency = (
-        entries.join(side(phrases), "entry")
-        .where(F.when(F.size("phrase") == 1, F.lit(True)).otherwise(tf > 0))
-        .groupBy("phrase")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
+        rows_with(single, [chunk_id]).groupBy("entry").agg(F.count(F.lit(1)).alias("n_docs"))
+        .join(single, "entry").select("phrase", "n_docs")
+    ).unionByName(
+        rows_with(several, [chunk_id, "tokens", "scope_tokens"]).join(several, "entry")
+        .where(_occurs(places, F.col("phrase"), True))
+        .groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
     )
     terms = parsed.select(query_id, F.posexplode("positives").alias("pos", "phrase")).join(frequency, "phrase", "left")
     ready = (
@@ -243,21 +264,18 @@ def bm25_topk(
         .where(F.get("terms", F.lit(0)).getField("n_docs") > 0)
         .join(parsed.select(query_id, "negatives"), query_id)
         .withColumns(
-            {
-                "n_rows": n_rows,
-                "avg_len": avg_len,
-                "entry": entry(F.get("terms", F.lit(0)).getField("phrase")),
-            }
+            {"n_rows": n_rows, "avg_len": avg_len, "entry": entry(F.get("terms", F.lit(0)).getField("phrase"))}
         )
     )
-    pairs = entries.where(F.col("status") != "illegal").join(side(ready), "entry")
-    scope_tokens = F.col("scope_tokens") if scoped else None
-    counted = pairs.withColumn(
-        "tfs",
-        F.transform("terms", lambda t: _occurrences(F.col("tokens"), scope_tokens, t.phrase, True)),
-    ).where(
-        F.forall("tfs", lambda n: n > 0)
-        & ~F.exists("negatives", lambda p: _occurrences(F.col("tokens"), scope_tokens, p, False) > 0)
+    pairs = (
+        rows_with(ready.select("entry").distinct(), [chunk_id, "tokens", "scope_tokens", "status"])
+        .where(F.col("status") != "illegal")
+        .join(ready, "entry")
+    )
+    # terms come rarest first, so most candidates fail on their first look-ups
+    counted = pairs.where(
+        F.forall("terms", lambda t: _occurs(places, t.phrase, True))
+        & ~F.exists("negatives", lambda p: _occurs(places, p, False))
     )
     weight = lambda n_docs: F.greatest(
         F.log((F.col("n_rows") - n_docs + 0.5) / (n_docs + 0.5)), F.lit(K.BM25_MIN_IDF)
@@ -266,12 +284,12 @@ def bm25_topk(
     part = lambda n_docs, n: weight(n_docs) * n * (K.BM25_K1 + 1) / (
         n + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * length / F.col("avg_len"))
     )
-    raw = F.aggregate(F.zip_with("terms", "tfs", lambda t, n: part(t.n_docs, n)), F.lit(0.0), lambda a, v: a + v)
+    raw = F.aggregate(F.transform("terms", lambda t: part(t.n_docs, _occurrences(places, t.phrase, True))), F.lit(0.0), lambda a, v: a + v)
     if scope_filter:
         # scope terms are OR-ed; each is a term of its own on the scope column and adds to the score
         found = F.lit(False)
         for i, word in enumerate(scope_filter):
-            hits = TK.phrase_hits(F.col("scope_tokens"), TK.tokenize(F.lit(word)), F.lit(False))
+            hits = TK.phrase_hits(F.col("scope_tokens"), TK.tokenize(F.lit(word)), False)
             n_docs = rows.agg(F.count_if(hits > 0)).scalar()
             counted = counted.withColumns({f"_n{i}": n_docs, f"_h{i}": hits})
             raw = raw + part(F.col(f"_n{i}"), F.col(f"_h{i}"))
