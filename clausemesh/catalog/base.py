@@ -32,6 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, spread over the cores when the file has fewer pieces than there are cores.
+
+    A few row groups would otherwise keep most of a small machine idle; large tables have
+    far more pieces than cores and are read as they are.
+    """
+    df = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rounded(col: str, digits: int = 6):
     """Rounded double without negative zero."""
     return (F.round(F.col(col), digits) + F.lit(0.0)).alias(col)
@@ -133,7 +144,7 @@ ph AS (
 
 def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON block lines of the documents, bundled by source; Spanish ones end in a torn line."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     lines = d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     obj = F.to_json(
         F.struct(
@@ -160,7 +171,7 @@ dl AS (
 
 
 def doc_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
 
 
 def event_seconds():

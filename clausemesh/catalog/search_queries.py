@@ -11,11 +11,11 @@ from ..operators import chunking as CH
 from ..operators import retrieval as R
 from ..operators import stats as SX
 from ..plans import answer as A
-from .base import CENTROIDS, DOC_LINES, PART_CHUNKS, centroids, doc_corpus, part_chunks, query, rounded, table
+from .base import CENTROIDS, DOC_LINES, PART_CHUNKS, centroids, doc_corpus, documents, part_chunks, query, rounded, table
 
 
 def doc_chunks(spark, d, budget=K.MAX_CHUNK_TOKENS):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     return CH.chunk_texts(
         docs, F.md5(F.col("doc_id").cast("string")), F.lit(1), F.lit("unknown"), F.array("lang", "source"), F.col("text"), budget
     )
@@ -28,6 +28,26 @@ def chunk_documents(spark, d):
     return c.select("doc_hash", "chunk_index", "chunk_id", F.md5("text").alias("text_md5"), "token_count", F.size("source_block_ids").alias("n_blocks"))
 
 
+@query(
+    "chunk_packs",
+    f"""WITH RECURSIVE {DOC_LINES}, b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
+   greatest(1, length(raw) // 4) AS tok FROM dl WHERE raw <> ''),
+w AS (SELECT doc_id, i, n, tok, tok AS acc, i AS key FROM b WHERE i = 0
+  UNION ALL SELECT b.doc_id, b.i, b.n, b.tok, CASE WHEN w.tok > 768 OR w.acc + b.tok > 768 THEN b.tok ELSE w.acc + b.tok END,
+    CASE WHEN w.tok > 768 OR w.acc + b.tok > 768 THEN b.i ELSE w.key END FROM w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i + 1)
+SELECT md5(doc_id::VARCHAR) AS doc_hash, key, count(*) AS n_blocks, CASE WHEN max(tok) > 768 THEN 'split' WHEN max(i) = any_value(n) - 1 THEN 'flush' ELSE 'route' END AS kind
+FROM w GROUP BY doc_id, key""",
+)
+def chunk_packs(spark, d):
+    """Greedy packing of each document's lines under the token budget, before texts are built."""
+    docs = documents(spark, d)
+    units = CH.units_from_texts(
+        docs, F.md5(F.col("doc_id").cast("string")), F.lit(1), F.lit("unknown"), F.array("lang", "source"), F.col("text")
+    )
+    packs = CH.pack_units(units).select("doc_hash", F.explode_outer("packs").alias("p")).where(F.col("p").isNotNull())
+    return packs.select("doc_hash", "p.key", F.size("p.blocks").cast("long").alias("n_blocks"), "p.kind")
+
+
 @query(
     "chunk_loss_free",
     r"""SELECT md5(doc_id::VARCHAR) AS doc_hash, length(regexp_replace(text, '[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')) AS solid_chars,
@@ -49,7 +69,7 @@ def chunk_loss_free(spark, d):
 )
 def chunk_short_documents(spark, d):
     """A document that fits the budget is one chunk: its non-empty lines."""
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     joined = F.array_join(F.filter(F.split("text", "\n"), lambda x: x != ""), "\n")
     fits = docs.withColumn("_j", joined).where((F.floor(F.length("_j") / 4) <= 760) & (F.length("_j") > 0))
     c = CH.chunk_texts(fits, F.md5(F.col("doc_id").cast("string")), F.lit(1), F.lit("unknown"), F.array("lang", "source"), F.col("text"))
@@ -88,7 +108,7 @@ def chunk_boundaries(spark, d):
 )
 def doc_doc_types(spark, d):
     """Distribution of document types over ingested documents."""
-    docs = table(spark, d, "documents").withColumn("doc_type", F.col("lang"))
+    docs = documents(spark, d).withColumn("doc_type", F.col("lang"))
     return docs.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -99,7 +119,7 @@ SELECT doc_id, pos::BIGINT AS pos, NOT coalesce(regexp_matches(right(raw, 1) ||
 )
 def line_joins(spark, d):
     """Safe-join test of neighbouring lines."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     nxt = lines.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("raw").alias("nxt"))
     j = lines.join(nxt, ["doc_id", "pos"])
     safe = F.when((F.col("raw") == "") | (F.col("nxt") == ""), F.lit(True)).otherwise(X.safe_join(F.col("raw"), F.col("nxt")))
@@ -109,7 +129,7 @@ def line_joins(spark, d):
 @query("split_by_tokens")
 def split_by_tokens(spark, d):
     """Two-phase split of every document text as one string."""
-    docs = table(spark, d, "documents").select("doc_id", X.split_by_tokens(F.col("text"), 100).alias("p"))
+    docs = documents(spark, d).select("doc_id", X.split_by_tokens(F.col("text"), 100).alias("p"))
     return docs.select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "")).alias("joined_md5"))
 
 
@@ -119,7 +139,7 @@ def split_by_tokens(spark, d):
 )
 def split_is_loss_free(spark, d):
     """Pieces put together give the text back, each within the limit."""
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"\s{400}"))
+    docs = documents(spark, d).where(~F.col("text").rlike(r"\s{400}"))
     docs = docs.select("doc_id", "text", X.split_by_tokens(F.col("text"), 100).alias("p"))
     return docs.select(
         "doc_id",
@@ -174,7 +194,7 @@ def table_chunks(spark, d):
 def document_ids(spark, d):
     n = (F.col("doc_id") % 10000).cast("int")
     cid = ids.chunk_id(F.md5("text"), n)
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", ids.request_id(F.concat(F.lit("t"), F.col("doc_id").cast("string")), F.md5("text"), F.lit(1)).alias("request_id"),
         ids.cache_key(F.col("text"), F.lit("m1")).alias("cache_key"), cid.alias("chunk_id"), ids.chunk_index(cid).alias("chunk_index"),
         ids.strip_run_suffix(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("_r20260728T045717Z"))).alias("base_id"),
@@ -188,7 +208,7 @@ SELECT doc_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substr
 
 @query("point_ids", UUID_SQL)
 def point_ids(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", ids.point_id(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.lit(1), F.lit("c")).alias("point_id")
     )
 
@@ -225,7 +245,7 @@ def scope_filters(spark, d):
     """Both scope tests: active prefix of chunk, and chunk prefix of active."""
     scope = F.array("lang", "source")
     arr = lambda *v: F.array(*[F.lit(x) for x in v])
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", S.chunk_in_scope(scope, arr("en")).alias("retrieval_broad"), S.chunk_in_scope(scope, arr("en", "src1")).alias("retrieval_exact"),
         S.constraint_in_scope(F.array("lang"), arr("en", "src1")).alias("solver_side"), S.scope_text(scope).alias("scope_text"),
     )
@@ -288,7 +308,7 @@ def _long_words(df, key):
 
 def _sparse_hits(spark, d):
     q = _long_words(table(spark, d, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    c = _long_words(table(spark, d, "documents"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    c = _long_words(documents(spark, d), "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return R.sparse_topk(q, c)
 
 
@@ -407,7 +427,7 @@ def scope_restricted_search(spark, d):
 )
 def tokenize_documents(spark, d):
     t = TK.tokenize(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return documents(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 # --- fusion ----------------------------------------------------------------------------------------------------
@@ -476,7 +496,7 @@ SELECT query_id, key AS chunk_id, short_circuit, round(score * (1 + scope_score)
 
 def _meta(spark, d):
     kind = F.when(F.col("lang") == "en", "national").when(F.col("lang") == "de", "industry").when(F.col("lang") == "fr", "enterprise").otherwise("project")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         F.col("doc_id").alias("chunk_id"), "text", F.array(kind, "source").alias("scope_path"), F.lit(None).cast("string").alias("doc_type"),
         F.col("source").alias("doc_hash"), F.array().cast("array<map<string,string>>").alias("form_fields"),
         F.array().cast("array<struct<index:int,header:string>>").alias("column_headers"),
@@ -537,7 +557,7 @@ def _all_word_matches(spark, d):
 )
 def encode_once(spark, d):
     """Distinct texts still to encode, with how many rows each serves; German ones are stored."""
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     keyed = docs.select(ids.cache_key(F.col("text"), F.lit("m1")).alias("cache_key"), "lang")
     stored = keyed.groupBy("cache_key").agg(F.min("lang").alias("l")).where("l = 'de'")
     todo = R.missing_encodings(docs, stored, F.lit("m1"))

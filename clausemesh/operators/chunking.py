@@ -455,65 +455,90 @@ def _chunk_arrays(rows: DataFrame, budget: int, counter: X.TokenCounter, with_ta
             ),
         )
 
-    def flag(v: Column | bool) -> Column:
-        return F.lit(v) if isinstance(v, bool) else v
-
-    def part(text: Column, cut: Column | bool, warn: Column | bool = False) -> Column:
-        return F.struct(text.alias("text"), flag(warn).alias("warn"), flag(cut).alias("cut"))
-
-    def parts(p: Column, i: Column) -> Column:
-        texts = F.transform(p.blocks, lambda b: b.text)
-        full = F.array_join(texts, "\n")
-        whole = head(p).getField("text")
-        plain = (
-            F.when(p.kind == "single", part(whole, X.estimate_tokens(whole) > budget))
-            .when(
-                (p.kind == "split") | ((p.kind == "route") & (_unsafe(texts) | (counter(full) > budget))),
-                part(full, True),
-            )
-            .otherwise(part(X.strip(full), False))
-        )
-        if not with_tables:
-            return F.array(plain)
-        nth = F.size(F.filter(F.slice("packs", F.lit(1), i + 1), big_table)) - 1
-
-        def table_part(g: Column) -> Column:
-            body = F.slice(F.get("table_lines", nth), F.get(g, F.lit(0)) + 1, F.get(g, F.lit(1)))
-            buffer = F.filter(F.concat(F.array(F.get("table_heads", nth)), body), lambda s: s != "")
-            joined = X.strip(F.array_join(buffer, "\n"))
-            return F.when(F.get(g, F.lit(2)) == 1, part(F.array_join(body, "\n"), True, True)).otherwise(
-                part(joined, X.estimate_tokens(joined) > budget)
-            )
-
-        found = big_table(p) & (F.size("table_groups") > nth)
-        return F.when(found, F.transform(F.get("table_groups", nth), table_part)).otherwise(F.array(plain))
-
-    def lines(p: Column, i: Column) -> Column:
-        pages = F.array_distinct(F.transform(p.blocks, lambda b: b.page))
-        meta = lambda whole: [
+    # staged so that every value of a pack is worked out once: a lambda variable is bound, not inlined
+    facts = F.transform(
+        "packs",
+        lambda p: F.struct(
+            p.kind.alias("kind"),
+            head(p).getField("text").alias("whole"),
+            F.array_join(F.transform(p.blocks, lambda b: b.text), "\n").alias("full"),
+            _unsafe(F.when(p.kind == "route", F.transform(p.blocks, lambda b: b.text))).alias("unsafe"),
             head(p).getField("scope").alias("scope_path"),
             F.transform(p.blocks, lambda b: b.block_id).alias("source_block_ids"),
-            F.when(whole, F.array_sort(pages)).otherwise(pages).alias("page_numbers"),
+            F.array_distinct(F.transform(p.blocks, lambda b: b.page)).alias("pages"),
             _first_filled(p.blocks, "form_fields").alias("form_fields"),
             _first_filled(p.blocks, "column_headers").alias("column_headers"),
-        ]
-        line = lambda text, q, cut, whole: F.struct(
-            text.alias("text"), q.warn.alias("quality_warning"), cut.alias("cut"), *meta(whole)
+        ),
+    )
+    part_type = "array<struct<text:string,warn:boolean,cut:boolean>>"
+
+    def part(text: Column, cut: Column, warn: bool = False) -> Column:
+        return F.struct(text.alias("text"), F.lit(warn).alias("warn"), cut.alias("cut"))
+
+    def plain_parts(a: Column) -> Column:
+        big = X.estimate_tokens(a.whole) > budget
+        routed = (a.kind == "route") & (F.coalesce(a.unsafe, F.lit(False)) | (counter(a.full) > budget))
+        cut = (a.kind == "split") | routed
+        return F.when(a.kind == "single", part(a.whole, big)).otherwise(
+            part(F.when(cut, a.full).otherwise(X.strip(a.full)), cut)
+        )
+
+    def table_parts(i: Column) -> Column:
+        nth = F.size(F.filter(F.slice("packs", F.lit(1), i + 1), big_table)) - 1
+        buffers = F.transform(
+            F.get("table_groups", nth),
+            lambda g: F.struct(
+                (F.get(g, F.lit(2)) == 1).alias("lone"),
+                F.slice(F.get("table_lines", nth), F.get(g, F.lit(0)) + 1, F.get(g, F.lit(1))).alias("body"),
+            ),
+        )
+        joined = F.transform(
+            buffers,
+            lambda g: F.struct(
+                g.lone.alias("warn"),
+                F.when(g.lone, F.array_join(g.body, "\n"))
+                .otherwise(
+                    X.strip(F.array_join(F.filter(F.concat(F.array(F.get("table_heads", nth)), g.body), lambda s: s != ""), "\n"))
+                )
+                .alias("text"),
+            ),
+        )
+        return F.transform(
+            joined,
+            lambda g: F.struct(
+                g.text.alias("text"), g.warn.alias("warn"), (g.warn | (X.estimate_tokens(g.text) > budget)).alias("cut")
+            ),
+        )
+
+    def lines_of(a: Column, parts: Column) -> Column:
+        line = lambda q, text, cut: F.struct(
+            text.alias("text"), q.warn.alias("quality_warning"), cut.alias("cut"), a.scope_path.alias("scope_path"),
+            a.source_block_ids.alias("source_block_ids"),
+            F.when(q.cut | (a.kind == "single"), a.pages).otherwise(F.array_sort(a.pages)).alias("page_numbers"),
+            a.form_fields.alias("form_fields"), a.column_headers.alias("column_headers"),
         )
         return F.flatten(
             F.transform(
-                F.filter(parts(p, i), lambda q: F.coalesce(q.text, F.lit("")) != ""),
+                F.filter(parts, lambda q: F.coalesce(q.text, F.lit("")) != ""),
                 lambda q: F.when(
                     q.cut,
                     F.transform(
                         F.filter(F.split(q.text, "\n"), lambda s: ~X.is_blank(s)),
-                        lambda s: line(s, q, F.length(s) > limit, F.lit(False)),
+                        lambda s: line(q, s, F.length(s) > limit),
                     ),
-                ).otherwise(F.array(line(q.text, q, F.lit(False), p.kind != "single"))),
+                ).otherwise(F.array(line(q, q.text, F.lit(False)))),
             )
         )
 
-    out = rows.withColumn("lines", F.flatten(F.transform("packs", lines)))
+    def lines(a: Column, i: Column) -> Column:
+        parts = F.array(plain_parts(a)).cast(part_type)
+        if with_tables:
+            found = big_table(F.get("packs", i)) & (F.size("table_groups") > 0)
+            parts = F.when(found, table_parts(i)).otherwise(parts)
+        return lines_of(a, parts)
+
+    rows = rows.withColumn("lines", F.flatten(F.transform(facts, lines)))
+    out = rows
     out = out.withColumn(
         "pieces", X.cut_lines_udf(limit)(F.transform(F.filter("lines", lambda s: s.cut), lambda s: s.text))
     )
@@ -556,6 +581,13 @@ def _finish(df: DataFrame) -> DataFrame:
     )
 
 
+def pack_units(
+    units: DataFrame, max_tokens: int = K.MAX_CHUNK_TOKENS, counter: X.TokenCounter = X.estimate_tokens
+) -> DataFrame:
+    """Packs of documents that are one unit each, before their texts are built."""
+    return _packed(_carry_free(units), max_tokens, counter)
+
+
 def chunk_single_units(
     units: DataFrame,
     max_tokens: int = K.MAX_CHUNK_TOKENS,
@@ -563,7 +595,7 @@ def chunk_single_units(
     with_tables: bool = True,
 ) -> DataFrame:
     """Chunk documents that are one unit each: a narrow plan from scan to chunks."""
-    packed = _packed(_carry_free(units), max_tokens, counter)
+    packed = pack_units(units, max_tokens, counter)
     return _finish(_chunk_arrays(packed, max_tokens, counter, with_tables).withColumn("offset", F.lit(0).cast("long")))
 
 

@@ -112,10 +112,13 @@ def has_candidate(text: Column) -> Column:
 
 
 def extract_hints(chunks: DataFrame, text: str = "text", compat: bool = False) -> DataFrame:
-    """One row per hint, next to the chunk's own columns."""
-    return chunks.where(has_candidate(F.col(text))).select(
-        "*", F.inline(hint_array(F.col(text), compat))
-    )
+    """One row per hint, next to the chunk's own columns.
+
+    The outer generator keeps the optimizer from computing the array a second time for an
+    inferred filter.
+    """
+    found = chunks.where(has_candidate(F.col(text))).select("*", F.inline_outer(hint_array(F.col(text), compat)))
+    return found.where(F.col("hint_ord").isNotNull())
 
 
 # --- operator near a number ----------------------------------------------------------
@@ -175,6 +178,13 @@ def find_operator(context: Column, value: Column) -> Column:
     return chain
 
 
+def _with_operator(hints: DataFrame, text: str) -> DataFrame:
+    """Hints with their operator as `op`; the context is cut once and bound in a lambda."""
+    context = _context(F.col(text), F.col("start"), F.col("end"))
+    op = F.transform(F.array(context), lambda c: find_operator(c, F.col("value")))
+    return hints.select("*", F.explode_outer(op).alias("op")).where(F.col("op").isNotNull())
+
+
 def to_interval(operator: Column, value: Column, lower: Column, upper: Column) -> Column:
     """STRUCT<lower, upper, lower_inclusive, upper_inclusive>; a missing bound is null."""
     none = F.lit(None).cast("double")
@@ -194,9 +204,7 @@ def parse_operators(hints: DataFrame, text: str = "text", compat: bool = False)
 
     compat leaves range endpoints of non-temperature units unconverted.
     """
-    found = hints.withColumn(
-        "op", find_operator(_context(F.col(text), F.col("start"), F.col("end")), F.col("value"))
-    ).where(F.col("op").isNotNull())
+    found = _with_operator(hints, text)
     norm = U.normalize_unit(F.col("value"), F.col("unit"))
 
     def bound(name: str) -> Column:
@@ -221,9 +229,7 @@ def parse_intervals(hints: DataFrame, chunk: list[str], text: str = "text", comp
 
 def parse_constraints(hints: DataFrame, chunk: list[str], text: str = "text") -> DataFrame:
     """First-form constraints: parameter, operator, value or range in the source unit, unit."""
-    found = hints.withColumn(
-        "op", find_operator(_context(F.col(text), F.col("start"), F.col("end")), F.col("value"))
-    ).where(F.col("op").isNotNull())
+    found = _with_operator(hints, text)
     rows = found.select(
         *[c for c in hints.columns if c not in ("value", "unit")],
         U.normalize_parameter(F.col("parameter_hint")).alias("parameter"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -180,6 +181,34 @@ def _occurs(columns: list[Column], phrase: Column, prefix: bool) -> Column:
     return found
 
 
+def spark_broadcast(df: DataFrame, value):
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
+def held_entries_udf(wanted):
+    """Arrow UDF: which wanted entries ('=' a whole word, '^' a beginning) the words of a row hold."""
+
+    @F.pandas_udf("array<string>")
+    def held(words: pd.Series) -> pd.Series:
+        entries = wanted.value
+        whole = {e[1:] for e in entries if e[0] == "="}
+        begins = {e[1:] for e in entries if e[0] == "^"}
+        sizes = sorted({len(b) for b in begins})
+        known: dict[str, list[str]] = {}
+
+        def of(word: str) -> list[str]:
+            if word not in known:
+                if len(known) > 200_000:
+                    known.clear()
+                hits = ["^" + word[:n] for n in sizes if n <= len(word) and word[:n] in begins]
+                known[word] = ["=" + word, *hits] if word in whole else hits
+            return known[word]
+
+        return words.map(lambda ws: list({e for w in set(ws) for e in of(w)}))
+
+    return held.asNondeterministic()
+
+
 def bm25_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -210,38 +239,43 @@ def bm25_topk(
         return F.concat(F.when(F.size(phrase) == 1, F.lit("^")).otherwise(F.lit("=")), F.get(phrase, F.lit(0)))
 
     phrases = parsed.select(F.explode("positives").alias("phrase")).distinct().withColumn("entry", entry(F.col("phrase")))
-    small = phrases.limit(IN_ROW_PHRASES + 1).count() <= IN_ROW_PHRASES
-    # every word of a row, and its beginnings in the lengths that single-word phrases have
-    lengths = phrases.where(F.size("phrase") == 1).agg(F.sort_array(F.collect_set(F.length("entry") - 1)))
-    words = F.array_distinct(F.concat("tokens", "scope_tokens"))
-    rows = rows.withColumn("lengths", lengths.scalar()).withColumn(
-        "entries",
-        F.concat(
-            F.transform(words, lambda t: F.concat(F.lit("="), t)),
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        words,
-                        lambda t: F.transform(
-                            F.filter("lengths", lambda n: n <= F.length(t)), lambda n: F.concat(F.lit("^"), F.left(t, n))
-                        ),
+    wanted_rows = phrases.select("entry").distinct().limit(IN_ROW_PHRASES + 1).toArrow().column(0).to_pylist()
+    small = len(wanted_rows) <= IN_ROW_PHRASES
+    if small:
+        found = held_entries_udf(spark_broadcast(corpus, wanted_rows))(F.concat("tokens", "scope_tokens"))
+        rows = rows.withColumn("entries", found)
+    else:
+        # every word of a row, and its beginnings in the lengths that single-word phrases have
+        lengths = phrases.where(F.size("phrase") == 1).agg(F.sort_array(F.collect_set(F.length("entry") - 1)))
+        words = F.array_distinct(F.concat("tokens", "scope_tokens"))
+        rows = rows.withColumn("lengths", lengths.scalar()).withColumn(
+            "entries",
+            F.concat(
+                F.transform(words, lambda t: F.concat(F.lit("="), t)),
+                F.array_distinct(
+                    F.flatten(
+                        F.transform(
+                            words,
+                            lambda t: F.transform(
+                                F.filter("lengths", lambda n: n <= F.length(t)), lambda n: F.concat(F.lit("^"), F.left(t, n))
+                            ),
+                        )
                     )
-                )
+                ),
             ),
-        ),
-    )
+        )
     places = [F.col("tokens"), F.col("scope_tokens")] if scoped else [F.col("tokens")]
 
     def rows_with(wanted: DataFrame, columns: list[str]) -> DataFrame:
         """One row per corpus row and wanted entry it holds, with the named columns."""
         if small:
-            # the wanted entries travel as one array; rows shrink to their matches before they multiply
-            found = F.array_intersect("entries", wanted.agg(F.collect_set("entry")).scalar())
-            return rows.withColumn("found", found).select(
-                *columns, F.explode_outer("found").alias("entry")
-            ).where(F.col("entry").isNotNull())
+            # rows shrink to the entries they hold before they multiply
+            kept = F.array_intersect("entries", wanted.agg(F.collect_set("entry")).scalar())
+            return rows.select(*dict.fromkeys([*columns, "entries"]), F.explode_outer(kept).alias("entry")).where(
+                F.col("entry").isNotNull()
+            )
         keys = rows.select(chunk_id, F.explode_outer("entries").alias("entry")).join(wanted, "entry", "left_semi")
-        needed = [c for c in columns if c != chunk_id]
+        needed = [c for c in dict.fromkeys([*columns, "entries"]) if c != chunk_id]
         return keys.join(rows.select(chunk_id, *needed), chunk_id) if needed else keys
 
     single = phrases.where(F.size("phrase") == 1)
@@ -273,8 +307,8 @@ def bm25_topk(
         .join(ready, "entry")
     )
     # terms come rarest first, so most candidates fail on their first look-ups
-    counted = pairs.where(
-        F.forall("terms", lambda t: _occurs(places, t.phrase, True))
+    counted = pairs.where(F.forall("terms", lambda t: F.array_contains("entries", entry(t.phrase)))).where(
+        F.forall("terms", lambda t: (F.size(t.phrase) == 1) | _occurs(places, t.phrase, True))
         & ~F.exists("negatives", lambda p: _occurs(places, p, False))
     )
     weight = lambda n_docs: F.greatest(

@@ -18,6 +18,7 @@ BLOCK_SCHEMA = """doc_id STRING, block_id STRING, type STRING,
                     column_headers: ARRAY<STRUCT<index: INT, header: STRING>>>,
     lineage STRUCT<parser_version: STRING, strategy: STRING, steps: ARRAY<STRING>>,
     uncertainty_score DOUBLE"""
+_READ_SCHEMA = BLOCK_SCHEMA.replace("raw: STRING", "raw: VARIANT") + ", _corrupt STRING"
 BLOCK_TYPES = ["header", "text", "table", "kv", "attachment_ref"]
 
 
@@ -49,22 +50,21 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     block_id or type, names an unknown type, or holds a raw content that is not text.
     """
     text = F.btrim(line, F.lit(K.SPACES))
-    rows = lines.where(text != "")
-    parsed = F.from_json(text, BLOCK_SCHEMA, {"mode": "PERMISSIVE"})
-    raw_json = F.get_json_object(text, "$.content.raw")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.content.raw", "variant"))
-    out = rows.withColumns({"b": parsed, "_kind": kind, "_raw": raw_json, "_json": F.try_parse_json(text)})
+    parsed = F.from_json(text, _READ_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # the outer generator holds the parsed line, so later columns and filters do not parse again
+    out = lines.where(text != "").select("*", F.explode_outer(F.array(parsed)).alias("b"))
     has = lambda f: F.col(f"b.{f}").isNotNull()
-    page = F.col("b.metadata.page_number")
+    kind = F.schema_of_variant(F.col("b.content.raw"))
     bad = (
-        F.col("_json").isNull()
+        F.col("b").isNull()
+        | has("_corrupt")
         | ~(has("doc_id") & has("block_id") & has("type"))
         | ~F.coalesce(F.col("b.type").isin(*BLOCK_TYPES), F.lit(False))
-        | (F.col("_raw").isNotNull() & ~F.coalesce(F.col("_kind").isin("STRING", "VOID"), F.lit(True)))
-        | F.coalesce(page < 1, F.lit(False))
+        | ~F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+        | F.coalesce(F.col("b.metadata.page_number") < 1, F.lit(False))
     )
     content = F.struct(
-        F.coalesce("b.content.raw", F.lit("")).alias("raw"),
+        F.coalesce(F.try_variant_get("b.content.raw", "$", "string"), F.lit("")).alias("raw"),
         F.coalesce("b.content.md_preview", F.lit("")).alias("md_preview"),
         F.col("b.content.structured").alias("structured"),
         F.col("b.content.formulas").alias("formulas"),
