@@ -58,13 +58,13 @@ def _is_empty(lo: Column, up: Column) -> Column:
 
 
 def _solving_position(level: Column, confidence: Column, ord_: Column) -> Column:
-    """One decimal that grows against solving order: its minimum marks the last row."""
-    whole = lambda c, p: c.cast(f"decimal({p},0)")
-    scale = lambda e: F.lit("1" + "0" * e).cast(f"decimal({e + 1},0)")
-    return (
-        whole(level, 4) * scale(33) + whole(F.round(confidence * 1e14), 15) * scale(18)
-        + (scale(18) - 1 - whole(ord_, 18))
-    ).cast("decimal(38,0)")
+    """One decimal that grows against solving order: its minimum marks the last row.
+
+    Level and confidence (to 14 digits) share a long; one multiplication adds the order.
+    """
+    rank = level.cast("long") * 10**14 + F.round(confidence * 1e14).cast("long")
+    step = F.lit("1" + "0" * 18).cast("decimal(19,0)")
+    return (rank.cast("decimal(19,0)") * step + (F.lit(10**18 - 1) - ord_).cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def solve_ranges(constraints: DataFrame, keys: list[str], extra: list[str] | None = None) -> DataFrame:
