@@ -32,17 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, spread over the cores when the file has fewer pieces than there are cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a file has fewer pieces than there are cores.
 
-    A few row groups would otherwise keep most of a small machine idle; large tables have
-    far more pieces than cores and are read as they are.
+    A few row groups would otherwise keep most of a small machine idle in heavy row work;
+    large tables have far more pieces than cores and are read as they are.
     """
-    df = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def rounded(col: str, digits: int = 6):
     """Rounded double without negative zero."""
     return (F.round(F.col(col), digits) + F.lit(0.0)).alias(col)
@@ -105,7 +108,7 @@ g AS (SELECT g0.*, u.unit, coalesce(lo > up OR (lo = up AND NOT (lo_inc AND up_i
 
 def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per part, its text a constraint phrase that depends on the key."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     k = F.col("p_partkey") % 6
     size = F.col("p_size").cast("string")
     words = (

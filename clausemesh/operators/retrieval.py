@@ -279,16 +279,18 @@ def bm25_topk(
         return keys.join(rows.select(chunk_id, *needed), chunk_id) if needed else keys
 
     single = phrases.where(F.size("phrase") == 1)
-    several = phrases.where(F.size("phrase") > 1)
     # document frequency of every phrase
     frequency = (
         rows_with(single, [chunk_id]).groupBy("entry").agg(F.count(F.lit(1)).alias("n_docs"))
         .join(single, "entry").select("phrase", "n_docs")
-    ).unionByName(
-        rows_with(several, [chunk_id, "tokens", "scope_tokens"]).join(several, "entry")
-        .where(_occurs(places, F.col("phrase"), True))
-        .groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
     )
+    if not small or any(e.startswith("=") for e in wanted_rows):
+        several = phrases.where(F.size("phrase") > 1)
+        frequency = frequency.unionByName(
+            rows_with(several, [chunk_id, "tokens", "scope_tokens"]).join(several, "entry")
+            .where(_occurs(places, F.col("phrase"), True))
+            .groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
+        )
     terms = parsed.select(query_id, F.posexplode("positives").alias("pos", "phrase")).join(frequency, "phrase", "left")
     ready = (
         terms.groupBy(query_id)
