@@ -363,13 +363,13 @@ def triage_offline(spark, d):
     "SELECT o_orderkey::VARCHAR AS doc_hash, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderstatus END AS status FROM orders",
 )
 def checkpoint_entries(spark, d):
-    """Checkpoint files, one per customer, with entries as objects or plain names."""
+    """Checkpoint files of a customer and up to 10,000 orders, with entries as objects or plain names."""
     entry = F.when(
         F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('"'))
     ).when(
         F.col("o_orderpriority") == "2-HIGH", F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("status")))
     ).otherwise(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("doc_hash"), F.col("o_orderstatus").alias("status"))))
-    files = table(spark, d, "orders").groupBy("o_custkey").agg(F.concat(F.lit('{"version": 1, "failed": ['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value"))
+    files = table(spark, d, "orders").groupBy("o_custkey", F.floor(F.col("o_orderkey") / 10_000)).agg(F.concat(F.lit('{"version": 1, "failed": ['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value"))
     return FS.parse_checkpoint(files)
 
 

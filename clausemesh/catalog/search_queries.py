@@ -162,16 +162,16 @@ def table_headers(spark, d):
 
 @query("table_chunks")
 def table_chunks(spark, d):
-    """Orders of each customer as one table block, split by rows under a small budget."""
+    """Orders of each customer as table blocks of up to 10,000 keys, split by rows under a small budget."""
     o = table(spark, d, "orders")
     seg = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    lists = o.join(seg, "o_custkey").groupBy("o_custkey", "c_mktsegment").agg(
+    lists = o.join(seg, "o_custkey").groupBy("o_custkey", "c_mktsegment", F.floor(F.col("o_orderkey") / 10_000).alias("part")).agg(
         F.sort_array(F.collect_list(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"))).alias("rows")
     )
     structured = F.concat(F.array(F.array(F.lit("order"), F.lit("status"), F.lit("priority"))), F.col("rows"))
     blocks = lists.select(
-        F.col("o_custkey").cast("string").alias("doc_hash"), F.lit(1).alias("version"), F.lit("unknown").alias("doc_type"), F.lit(0).alias("block_ord"),
-        F.lit("t0").alias("block_id"), F.lit("table").alias("type"),
+        F.col("o_custkey").cast("string").alias("doc_hash"), F.lit(1).alias("version"), F.lit("unknown").alias("doc_type"), F.col("part").alias("block_ord"),
+        F.concat(F.lit("t"), F.col("part").cast("string")).alias("block_id"), F.lit("table").alias("type"),
         F.struct(
             F.array("c_mktsegment").alias("heading_path"), F.lit(1).alias("page_number"), F.lit(None).cast("array<map<string,string>>").alias("form_fields"),
             F.lit(None).cast("array<struct<index:int,header:string>>").alias("column_headers"),
