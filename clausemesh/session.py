@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,25 @@ def get_session(app: str = "clausemesh", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that jobs may start in any folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        home = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="clausemesh-"), "clausemesh_package")
+        with zipfile.ZipFile(f"{base}.zip", "w") as out:
+            for folder, _, files in os.walk(home):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(home)))
+        spark.sparkContext.addPyFile(f"{base}.zip")
+        _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by spark.checkpoint.dir.
 
