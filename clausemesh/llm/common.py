@@ -65,7 +65,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     by its own label, so that long chains halve. A node with very many edges is a skewed join key, which adaptive
     execution splits; no neighbour list is gathered. Each round is cut by a reliable checkpoint.
     """
-    both = cut_lineage(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut_lineage(edges.where("a <> b").select(ways.alias("e")).select("e.*").distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.node).groupBy(both.a.alias("node")).agg(F.min("root").alias("low"))

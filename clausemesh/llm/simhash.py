@@ -30,8 +30,9 @@ from .common import components, id_of, key_id, keyed, small_batches, unused
 BUDGET = 4
 SHINGLE = 4
 SEED = 42
-BITS = 4
-NODE_ROWS = 1 << 15
+#: Depth at which the walk begins (a smaller trie is one task), and the levels of each further step.
+FIRST_BITS, BITS = 4, 2
+SMALL_ROWS, NODE_ROWS = 1 << 12, 1 << 17
 BLOCK = 1 << 17
 #: Nodes with so few pairs of fingerprints between them are leaves: the rest of the bits is compared at once.
 LEAF_PAIRS = 32
@@ -157,13 +158,19 @@ def walk_pair(fps: np.ndarray, depth: int, node_a: int, node_b: int, budget: int
 
 def _node(depth: int) -> Column:
     """The first depth bits of a fingerprint."""
-    return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+    return F.shiftrightunsigned("fp", 64 - depth)
 
 
 def node_pairs(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> list[tuple[int, DataFrame]]:
-    """For each depth in use the pairs of nodes (a, b; a <= b) that are left to a task."""
-    spark, depth, out = fps.sparkSession, 0, []
-    open_pairs = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("bits"))
+    """For each depth in use the pairs of nodes (a, b; a <= b) that are left to a task; none if the root is small."""
+    small = min(SMALL_ROWS, node_rows)
+    if fps.limit(small + 1).count() <= small:
+        return []
+    depth, out = FIRST_BITS, []
+    step = F.sequence(F.lit(0), F.lit((1 << BITS) - 1))
+    every = F.sequence(F.lit(0), F.lit((1 << FIRST_BITS) - 1))
+    first = fps.sparkSession.range(1 << FIRST_BITS).select(F.col("id").alias("a"), F.explode(every).cast("long").alias("b")).where("a <= b")
+    open_pairs = first.withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("bits") <= budget)
     while True:
         sizes = cut_lineage(fps.groupBy(_node(depth).alias("node")).agg(F.count(F.lit(1)).alias("rows")))
         two = sizes.select(F.col("node").alias("b"), F.col("rows").alias("rows_b"))
@@ -173,7 +180,6 @@ def node_pairs(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS)
         out.append((depth, pairs.where("not large").select("a", "b")))
         if depth == 64 or not pairs.where("large").limit(1).count():
             return out
-        step = F.sequence(F.lit(0), F.lit((1 << BITS) - 1))
         kids = pairs.where("large").select(F.col("a").alias("pa"), F.col("b").alias("pb"), "bits", F.explode(step).alias("x")).select("*", F.explode(step).alias("y"))
         kids = kids.withColumn("bits", F.col("bits") + F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("bits") <= budget)
         kids = kids.where((F.col("pa") < F.col("pb")) | (F.col("x") <= F.col("y")))
@@ -195,8 +201,9 @@ def links(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> D
     for depth, pairs in node_pairs(fps, budget, node_rows):
         ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
         rows = fps.select("fp", _node(depth).alias("node")).join(ends, "node").select("a", "b", "fp")
-
         parts.append(rows.groupBy("a", "b").applyInPandas(_walker(depth, budget), "a long, b long"))
+    if not parts:
+        return fps.groupBy(F.lit(0).alias("a"), F.lit(0).alias("b")).applyInPandas(_walker(0, budget), "a long, b long")
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -219,12 +226,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The documents, one of each group of near copies: that of the smallest id, and among rows of that id the one with
-    the smallest hash of its text; rows equal in both stay together only if they are not equal in all columns.
-
-    Rows with a null id count as smaller than no other id, so a group keeps one of them only if it has no other rows.
+    """The documents, one of each group of near copies: that of the smallest id (a null id comes last), and among rows
+    of that id the one with the smallest hash of its text. Of rows equal in id and text one stays.
     """
-    a, b, first, order = unused(docs, "_id", "_hash", "_first", "_order")
+    a, b = unused(docs, "_id", "_hash")
     groups = near_groups(docs, id_col, text_col, budget)
     best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
         F.min(F.struct(F.col("k_id") == F.lit(-(2**63)), "k_id", "k_h")).alias("best")
