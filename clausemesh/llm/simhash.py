@@ -211,7 +211,8 @@ def links(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> D
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """k_id, k_h, fp, component_id for every row: the smallest id among the documents reachable over links.
+    """k_id, k_h, fp, root, component_id for every row: root names the component (its smallest fingerprint), component_id
+    is the smallest id among its documents.
 
     Null and empty texts and texts of white space have fingerprint 0 and are linked like others. Rows of a null id take
     part; a component of such rows only has a null id. Equal rows get equal results. An empty table gives no row.
@@ -221,7 +222,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links(fps, budget))
     whole = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = cut_lineage(whole.join(ids, "root").select("fp", "component_id"))
+    of_fp = cut_lineage(whole.join(ids, "root").select("fp", "root", "component_id"))
     return own.join(of_fp, "fp")
 
 
@@ -231,9 +232,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     """
     a, b = unused(docs, "_id", "_hash")
     groups = near_groups(docs, id_col, text_col, budget)
-    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
-        F.min(F.struct(F.col("k_id") == F.lit(-(2**63)), "k_id", "k_h")).alias("best")
-    )
+    best = groups.groupBy("root").agg(F.min(F.struct(id_of().isNull(), "k_id", "k_h")).alias("best"))
     best = best.select(F.col("best.k_id").alias(a), F.col("best.k_h").alias(b)).distinct()
     rows = docs.withColumns({a: key_id(id_col), b: F.xxhash64(F.col(text_col))}).join(best, [a, b], "left_semi")
     return rows.dropDuplicates([a, b]).select(*docs.columns)
