@@ -122,7 +122,7 @@ def cut_line(text: str, limit: int) -> list[str]:
 
 
 def cut_lines_udf(limit: int):
-    """Arrow UDF: every line of an array cut into its pieces, in order.
+    """Arrow UDF: every line of an array cut into its pieces, in order; a null line has none.
 
     Not marked deterministic: the optimizer then neither copies the call into filters nor
     moves it into a lambda, so each line is cut once.
@@ -130,7 +130,7 @@ def cut_lines_udf(limit: int):
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def cut(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda ls: [] if ls is None else [cut_line(x, limit) for x in ls])
+        return lines.map(lambda ls: [] if ls is None else [[] if x is None else cut_line(x, limit) for x in ls])
 
     return cut.asNondeterministic()
 

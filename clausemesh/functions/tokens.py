@@ -40,7 +40,7 @@ def search_terms(query: Column) -> Column:
     terms = F.transform(
         words,
         lambda w: F.struct(
-            tokenize(F.when(w.startswith("-"), F.substring(w, 2, 10**6)).otherwise(w)).alias("phrase"),
+            tokenize(F.when(w.startswith("-"), F.substr(w, F.lit(2))).otherwise(w)).alias("phrase"),
             w.startswith("-").alias("negated"),
         ),
     )

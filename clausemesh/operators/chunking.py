@@ -538,18 +538,17 @@ def _chunk_arrays(rows: DataFrame, budget: int, counter: X.TokenCounter, with_ta
         return lines_of(a, parts)
 
     rows = rows.withColumn("lines", F.flatten(F.transform(facts, lines)))
-    out = rows
-    out = out.withColumn(
-        "pieces", X.cut_lines_udf(limit)(F.transform(F.filter("lines", lambda s: s.cut), lambda s: s.text))
-    )
-    nth_cut = lambda i: F.size(F.filter(F.slice("lines", F.lit(1), i + 1), lambda s: s.cut)) - 1
+    # a place for each line, so that a line's pieces are found by its number
+    texts = F.transform("lines", lambda s: F.when(s.cut, s.text))
+    wanted = F.when(F.exists("lines", lambda s: s.cut), texts).otherwise(F.array().cast("array<string>"))
+    out = rows.withColumn("pieces", X.cut_lines_udf(limit)(wanted))
     merged = F.flatten(
         F.transform(
             "lines",
             lambda s, i: F.when(
                 s.cut,
                 F.transform(
-                    X.merge_fragments(F.get("pieces", nth_cut(i)), budget, counter),
+                    X.merge_fragments(F.get("pieces", i), budget, counter),
                     lambda t: s.withField("text", t),
                 ),
             ).otherwise(F.array(s)),

@@ -79,32 +79,37 @@ def _context_parameter(text: Column, start: Column) -> Column:
     return chain
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hint_array(text: Column, compat: bool = False) -> Column:
     """All hints of a text in pattern order; an earlier pattern owns its characters."""
-    clean = F.translate(text, OPEN + CLOSE, NO_MARKS)
-    found: Column | None = None
-    for category, pattern in unit_patterns(compat):
-        new = _matches(clean, category, pattern)
-        if found is None:
-            found = new
-        else:
-            taken = found
-            found = F.concat(
-                taken,
-                F.filter(new, lambda m: ~F.exists(taken, lambda t: (t.start < m.end) & (m.start < t.end))),
-            )
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            i.alias("hint_ord"),
-            F.coalesce(_context_parameter(clean, m.start), m.category).alias("parameter_hint"),
-            m.value.alias("value"),
-            m.unit.alias("unit"),
-            m.start.alias("start"),
-            m.end.alias("end"),
-            m.source_text.alias("source_text"),
-        ),
-    )
+    patterns = unit_patterns(compat)
+
+    def of(clean: Column) -> Column:
+        def after(taken: Column, rest: list[tuple[str, str]]) -> Column:
+            if not rest:
+                return taken
+            free = F.filter(_matches(clean, *rest[0]), lambda m: ~F.exists(taken, lambda t: (t.start < m.end) & (m.start < t.end)))
+            return _bound(F.concat(taken, free), lambda more: after(more, rest[1:]))
+
+        found = _bound(_matches(clean, *patterns[0]), lambda first: after(first, patterns[1:]))
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                i.alias("hint_ord"),
+                F.coalesce(_context_parameter(clean, m.start), m.category).alias("parameter_hint"),
+                m.value.alias("value"),
+                m.unit.alias("unit"),
+                m.start.alias("start"),
+                m.end.alias("end"),
+                m.source_text.alias("source_text"),
+            ),
+        )
+
+    return _bound(F.translate(text, OPEN + CLOSE, NO_MARKS), of)
 
 
 def has_candidate(text: Column) -> Column:

@@ -1,9 +1,9 @@
 """Search over chunk tables: dense, sparse and full text, fusion, re-ranking.
 
-Dense search is exact. Queries come in packed blocks of a fixed number of rows, checked
-before use; each task multiplies its batch of chunk vectors with a block and keeps the best
-k per query, so no (query, chunk) pair beyond those leaves the task. More queries than one
-block mean more blocks, each a separate pass over the chunk vectors.
+Dense and sparse search are exact. Queries come in blocks of about QUERY_BLOCK rows; each
+task scores its chunks against a block, a bounded number of scores at a time, and yields the
+best k per query, so no (query, chunk) pair beyond those leaves the task. More queries than
+one block mean more blocks, each a separate pass over the chunks.
 
 Full-text search finds candidates through the rarest term of each query and checks the
 other terms on the same row, so common words produce no pairs.
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ from ..functions import fixed as K
 from ..functions import scope as S
 from ..functions import tokens as TK
 from ..functions.ids import cache_key
+from ..session import cut_lineage, fresh_path
 from .scan import first_rows
 
 QUERY_BLOCK = 4096
-BROADCAST_ROWS = 100_000
+#: Scores that a task holds at once.
+CELLS = 1 << 21
 IN_ROW_PHRASES = 20_000
 
 
@@ -44,14 +47,90 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def _unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _unit_rows(vectors: pa.Array | pa.ChunkedArray, size: int | None = None) -> np.ndarray:
+    """Rows of length 1. Every vector must have the same number of dimensions, `size` if that is given."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    size = int(lengths[0]) if size is None and len(lengths) else size or 1
+    if (lengths != size).any():
+        raise ValueError(f"{int((lengths != size).sum())} vectors do not have {size} dimensions")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
+    rows = flat.reshape(len(vectors), size)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
+class _Best:
+    """The k best (score, id) of every query of a task, by score to 9 digits, then id: the same for any order or split
+    of the rows. Memory is bounded by queries x k and one block of scores."""
+
+    def __init__(self, k: int, n_queries: int):
+        self.k, self.floor = k, np.full(n_queries, -np.inf)
+        self.kept: list[pa.Table] = []
+        self.size = 0
+
+    def add(self, scores: np.ndarray, names: pa.Array, usable: np.ndarray | None = None) -> None:
+        """scores: (queries, rows) of the named rows; usable marks the cells that count."""
+        order = np.round(scores, 9)
+        if usable is not None:
+            order = np.where(usable, order, -np.inf)
+        low = self.floor
+        if order.shape[1] > self.k:
+            low = np.maximum(low, np.partition(order, order.shape[1] - self.k, axis=1)[:, order.shape[1] - self.k])
+        rows, cols = np.nonzero((order >= low[:, None]) & (order > -np.inf))
+        self.kept.append(pa.table({"q": rows, "o": order[rows, cols], "s": scores[rows, cols], "id": names.take(pa.array(cols))}))
+        self.size += len(rows)
+        if self.size > 4 * self.k * len(self.floor) + CELLS:
+            self.cut()
+
+    def cut(self) -> pa.Table | None:
+        if not self.kept:
+            return None
+        rows = pa.concat_tables(self.kept)
+        rows = rows.take(pc.sort_indices(rows, [("q", "ascending"), ("o", "descending"), ("id", "ascending")]))
+        q = rows.column("q").to_numpy()
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        last = q[nth == self.k - 1]
+        self.floor[last] = rows.column("o").to_numpy()[nth == self.k - 1]
+        rows = rows.filter(pa.array(nth < self.k))
+        self.kept, self.size = [rows], len(rows)
+        return rows
+
+
+def _query_blocks(queries: DataFrame, query_id: str, columns: list[str]) -> Iterator[pa.Table]:
+    """The queries in blocks of about QUERY_BLOCK rows, by the hash of their id. They are computed once."""
+    rows = cut_lineage(queries.select(query_id, *columns))
+    blocks = max(1, -(-rows.count() // QUERY_BLOCK))
+    for block in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
+        found = part.toArrow()
+        if found.num_rows:
+            yield found
+
+
+def _ranked(hits: list[DataFrame], schema: str, chunks: DataFrame, query_id: str, chunk_id: str, k: int, score_threshold: float | None) -> DataFrame:
+    if not hits:
+        return chunks.sparkSession.createDataFrame([], schema).drop("_order").withColumn("rank", F.lit(0))
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    if score_threshold is not None:
+        every = every.where(F.col("score") >= score_threshold)
+    return first_rows(every, [query_id], [F.col("_order").desc(), F.col(chunk_id)], k, "rank").drop("_order")
+
+
+def _types(queries: DataFrame, chunks: DataFrame, query_id: str, chunk_id: str) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"{query_id} {kind(queries, query_id)}, {chunk_id} {kind(chunks, chunk_id)}, score double, _order double"
+
+
+def _emit(best: _Best, ids: pa.Array, query_id: str, chunk_id: str) -> Iterator[pa.RecordBatch]:
+    rows = best.cut()
+    if rows is not None:
+        out = pa.table({query_id: ids.take(rows.column("q").combine_chunks()), chunk_id: rows.column("id"), "score": rows.column("s"), "_order": rows.column("o")})
+        yield from out.to_batches(max_chunksize=10_000)
+
+
 def dense_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -61,54 +140,28 @@ def dense_topk(
     vector: str = "vector",
     score_threshold: float | None = None,
 ) -> DataFrame:
-    """Exact cosine top-k: query_id, chunk_id, score, rank. Ties go to the smaller chunk_id."""
-    spark = chunks.sparkSession
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    numbered = queries.select(F.col(query_id), F.col(vector))
-    types = {f.name: f.dataType.simpleString() for f in queries.schema} | {f.name: f.dataType.simpleString() for f in chunks.schema}
-    schema = f"{query_id} {types[query_id]}, {chunk_id} {types[chunk_id]}, score double"
-    chunk_rows = chunks.select(chunk_id, vector)
-    hits: DataFrame | None = None
-    for block in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
-        table = part.limit(2 * QUERY_BLOCK + 1).toArrow()
-        if table.num_rows > 2 * QUERY_BLOCK:
-            raise ValueError(f"query identifiers do not spread: one block holds more than {2 * QUERY_BLOCK}")
-        if table.num_rows == 0:
-            continue
-        packed = spark.sparkContext.broadcast((table.column(query_id).to_pylist(), _unit_rows(table.column(vector))))
+    """Exact cosine top-k: query_id, chunk_id, score, rank. Scores equal to 9 digits go by chunk_id.
+
+    Each task yields k rows per query once, whatever the batches. Rows without a vector are left out; a vector of
+    another size than the queries' is an error.
+    """
+    schema = _types(queries, chunks, query_id, chunk_id)
+    chunk_rows = chunks.where(F.col(vector).isNotNull()).select(chunk_id, vector)
+    hits = []
+    for table in _query_blocks(queries.where(F.col(vector).isNotNull()), query_id, [vector]):
+        packed = chunks.sparkSession.sparkContext.broadcast((table.column(query_id).combine_chunks(), _unit_rows(table.column(vector))))
 
         def best(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
             ids, matrix = packed.value
+            found, step = _Best(k, len(matrix)), max(1, CELLS // len(matrix))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                scores = matrix @ _unit_rows(batch.column(1)).T
-                names = batch.column(0)
-                if batch.num_rows > k:
-                    # keep every score equal to the k-th, so that ties are settled by name later
-                    floor = np.partition(scores, batch.num_rows - k, axis=1)[:, batch.num_rows - k]
-                    rows, cols = np.nonzero(scores >= floor[:, None] - 1e-12)
-                else:
-                    rows, cols = np.indices(scores.shape).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in rows], type=table_type),
-                        names.take(pa.array(cols)),
-                        pa.array(scores[rows, cols]),
-                    ],
-                    names=[query_id, chunk_id, "score"],
-                )
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    found.add(matrix @ _unit_rows(part.column(1), matrix.shape[1]).T, part.column(0))
+            yield from _emit(found, ids, query_id, chunk_id)
 
-        table_type = table.column(query_id).type
-        found = chunk_rows.mapInArrow(best, schema)
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    if score_threshold is not None:
-        hits = hits.where(F.col("score") >= score_threshold)
-    return first_rows(hits, [query_id], [F.round("score", 9).desc(), F.col(chunk_id)], k, "rank")
+        hits.append(chunk_rows.mapInArrow(best, schema))
+    return _ranked(hits, schema, chunks, query_id, chunk_id, k, score_threshold)
 
 
 def sparse_terms(weights: DataFrame, key: str, weight_map: str = "weights") -> DataFrame:
@@ -117,23 +170,50 @@ def sparse_terms(weights: DataFrame, key: str, weight_map: str = "weights") -> D
 
 
 def sparse_topk(
-    query_terms: DataFrame, chunk_terms: DataFrame, k: int = K.TOP_K, query_id: str = "query_id", chunk_id: str = "chunk_id"
+    query_terms: DataFrame, chunks: DataFrame, k: int = K.TOP_K, query_id: str = "query_id", chunk_id: str = "chunk_id",
+    terms: str = "terms", weights: str | None = None,
 ) -> DataFrame:
-    """Sparse dot product over shared terms.
+    """Sparse dot product over shared terms: query_id, chunk_id, score, rank, for scores of shared terms only.
 
-    The query side is small next to the chunk side; a measured size decides whether it is
-    sent to the tasks, otherwise both sides shuffle on the term and skewed terms are split
-    by the adaptive join.
+    query_terms: query_id, term, weight. chunks: a row for each chunk with its array of terms and, if named, their
+    weights (else every occurrence weighs 1). Blocks of queries go to the tasks, which score whole chunks and yield k
+    rows per query, so no (query, chunk) pair is shuffled; common terms make more sums in a task and no more rows.
     """
-    q = query_terms.select(query_id, "term", F.col("weight").alias("qw"))
-    if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        q = F.broadcast(q)
-    scored = (
-        chunk_terms.join(q, "term")
-        .groupBy(query_id, chunk_id)
-        .agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-    )
-    return first_rows(scored, [query_id], [F.round("score", 9).desc(), F.col(chunk_id)], k, "rank")
+    schema = _types(query_terms, chunks, query_id, chunk_id)
+    listed = query_terms.groupBy(query_id).agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("ts"))
+    chunk_rows = chunks.select(chunk_id, terms, *([weights] if weights else []))
+    hits = []
+    for table in _query_blocks(listed.select(query_id, F.col("ts.term").alias("t"), F.col("ts.weight").alias("w")), query_id, ["t", "w"]):
+        t = table.column("t").combine_chunks()
+        owner = np.repeat(np.arange(table.num_rows), pc.list_value_length(t).to_numpy())
+        code = pc.dictionary_encode(t.flatten())
+        by_term = np.argsort(code.indices.to_numpy(), kind="stable")
+        starts = np.searchsorted(code.indices.to_numpy()[by_term], np.arange(len(code.dictionary) + 1))
+        value = table.column("w").combine_chunks().flatten().to_numpy()[by_term]
+        packed = chunks.sparkSession.sparkContext.broadcast((table.column(query_id).combine_chunks(), code.dictionary, starts, owner[by_term], value))
+
+        def best(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
+            ids, known, starts, owner, value = packed.value
+            found, step = _Best(k, len(ids)), max(1, CELLS // len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    lists = part.column(1)
+                    chunk = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                    place = pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy()
+                    weight = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float) if weights else np.ones(len(place))
+                    chunk, weight, place = chunk[place >= 0], weight[place >= 0], place[place >= 0]
+                    count = starts[place + 1] - starts[place]
+                    own = np.repeat(np.arange(len(place)), count)
+                    nth = starts[place][own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                    cell = owner[nth] * len(lists) + chunk[own]
+                    size = (len(ids), len(lists))
+                    scores = np.bincount(cell, weights=value[nth] * weight[own], minlength=size[0] * size[1]).reshape(size)
+                    found.add(scores, part.column(0), np.bincount(cell, minlength=size[0] * size[1]).reshape(size) > 0)
+            yield from _emit(found, ids, query_id, chunk_id)
+
+        hits.append(chunk_rows.mapInArrow(best, schema))
+    return _ranked(hits, schema, chunks, query_id, chunk_id, k, None)
 
 
 def sparse_weights(
@@ -212,12 +292,15 @@ def held_entries_udf(wanted):
 def bm25_topk(
     queries: DataFrame,
     corpus: DataFrame,
-    k: int = K.TOP_K,
+    k: int | None = K.TOP_K,
     query_id: str = "query_id",
     chunk_id: str = "chunk_id",
     scope_filter: list[str] | None = None,
 ) -> DataFrame:
-    """All positive terms as prefixes, no negative term, ranked by BM25.
+    """All positive terms as prefixes, no negative term, ranked by BM25; k = None gives all matches, without ranks.
+
+    The corpus is read and cut into words once; the words are kept as a table in the shared folder, from which all
+    statistics and candidates come.
 
     corpus: chunk_id, text, optional scope_path (searched as a second column) and status
     ('illegal' rows are never returned, but count for the statistics). The normalized score
@@ -232,8 +315,7 @@ def bm25_topk(
         status.alias("status"),
     )
     parsed = parse_queries(queries, query_id)
-    n_rows = rows.agg(F.count(F.lit(1))).scalar()
-    avg_len = rows.agg(F.avg(F.size("tokens") + F.size("scope_tokens"))).scalar()
+
     def entry(phrase: Column) -> Column:
         """Lookup key of a phrase: its first word, which may continue if it is the only one."""
         return F.concat(F.when(F.size(phrase) == 1, F.lit("^")).otherwise(F.lit("=")), F.get(phrase, F.lit(0)))
@@ -264,6 +346,11 @@ def bm25_topk(
                 ),
             ),
         )
+    place = fresh_path(corpus.sparkSession, "tokens")
+    rows.withColumn("length", F.size("tokens") + F.size("scope_tokens")).write.parquet(place)
+    rows = corpus.sparkSession.read.parquet(place)
+    n_rows = rows.agg(F.count(F.lit(1))).scalar()
+    avg_len = rows.agg(F.avg("length")).scalar()
     places = [F.col("tokens"), F.col("scope_tokens")] if scoped else [F.col("tokens")]
 
     def rows_with(wanted: DataFrame, columns: list[str]) -> DataFrame:
@@ -334,9 +421,48 @@ def bm25_topk(
     scored = counted.select(query_id, chunk_id, raw.alias("bm25")).withColumn(
         "score", F.greatest(F.abs("bm25") / (1 + F.abs("bm25")), F.lit(K.BM25_FLOOR))
     )
+    if k is None:
+        return scored
     return first_rows(scored, [query_id], [F.round("bm25", 9).desc(), F.col(chunk_id)], k, "rank")
 
 
+def literal_matches(queries: DataFrame, chunks: DataFrame, query_id: str = "query_id", query: str = "query", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """query_id, chunk_id of all chunks that hold the trimmed query literally, wherever in a word it begins.
+
+    Blocks of queries go to the tasks, where one automaton of all of a block's queries reads each text once.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    bare = queries.select(query_id, F.btrim(F.col(query), F.lit(K.SPACES)).alias("bare")).where("bare <> ''")
+    schema = f"{query_id} {kind(queries, query_id)}, {chunk_id} {kind(chunks, chunk_id)}"
+    out: DataFrame | None = None
+    for table in _query_blocks(bare, query_id, ["bare"]):
+        packed = chunks.sparkSession.sparkContext.broadcast((table.column(query_id).to_pylist(), table.column("bare").to_pylist()))
+
+        def find(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            names, wanted = packed.value
+            owners: dict[str, list] = {}
+            for name, word in zip(names, wanted):
+                owners.setdefault(word, []).append(name)
+            machine = ahocorasick.Automaton()
+            for word in owners:
+                machine.add_word(word, word)
+            machine.make_automaton()
+            for batch in batches:
+                a, b = [], []
+                for chunk, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for word in {w for _, w in machine.iter(content)} if content else ():
+                        a += owners[word]
+                        b += [chunk] * len(owners[word])
+                yield pa.RecordBatch.from_arrays([pa.array(a, type=table_type), pa.array(b, type=batch.schema.field(0).type)], names=[query_id, chunk_id])
+
+        table_type = table.column(query_id).type
+        found = chunks.select(chunk_id, text).mapInArrow(find, schema)
+        out = found if out is None else out.unionByName(found)
+    return chunks.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 # --- fusion and ranking ------------------------------------------------------------------------
 
 
@@ -432,15 +558,17 @@ def retrieve(
             fts_hits.select("query_id", F.lit(1).alias("list_id"), F.col("chunk_id").alias("key"), F.col("rank").alias("pos"))
         )
         fused = rrf(lists).withColumnRenamed("key", "chunk_id")
+        per_query = W.partitionBy("query_id")  # at most two lists of hits
         matched = (
             fused.join(meta.select("chunk_id", "text"), "chunk_id")
             .join(queries.select("query_id", "query"), "query_id")
             .withColumn("exact", is_exact_match(F.col("query"), F.col("text")))
+            .withColumns({"short_circuit": F.bool_or("exact").over(per_query), "n_exact": F.count_if("exact").over(per_query)})
         )
-        any_exact = matched.groupBy("query_id").agg(F.bool_or("exact").alias("short_circuit"), F.count_if("exact").alias("n_exact"))
-        flagged = matched.join(any_exact, "query_id").where(~F.col("short_circuit") | F.col("exact"))
+        any_exact = matched.groupBy("query_id").agg(F.first("short_circuit").alias("short_circuit"), F.first("n_exact").alias("n_exact"))
+        flagged = matched.where(~F.col("short_circuit") | F.col("exact"))
         flagged = flagged.withColumn("score", F.when(F.col("short_circuit"), F.lit(1.0)).otherwise(F.col("score")))
-        order = W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first_seen")
+        order = per_query.orderBy(F.round("score", 12).desc(), "first_seen")
         merged = flagged.select("query_id", "chunk_id", "score", F.row_number().over(order).alias("rank"), "short_circuit")
         plain = fusion_stats(lists)
         stats = plain.join(any_exact, "query_id", "left").select(

@@ -131,21 +131,18 @@ def solve_ranges(constraints: DataFrame, keys: list[str], extra: list[str] | Non
 
 def solve_status(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """OK / CONFLICT / EMPTY per key with the primary branch and counts."""
-    per = ranges.groupBy(*keys).agg(
-        F.bool_or("had_conflict").alias("any_conflict"),
-        F.count_if("solved").alias("n_ranges"),
-        F.count_if("had_conflict").alias("n_conflicts"),
-        F.count_distinct(F.when(F.col("solved"), F.col("branch"))).alias("branches_count"),
-        F.bool_or(F.col("solved") & (F.col("branch") == "general")).alias("has_general"),
-    )
     # a branch's place is that of its first row, whether or not that row's parameter solved
-    place = ranges.groupBy(*keys, "branch").agg(
-        F.min("first_ord").alias("at"), F.bool_or("solved").alias("solved")
+    branches = ranges.groupBy(*keys, "branch").agg(
+        F.bool_or("had_conflict").alias("any_conflict"), F.count_if("solved").alias("n_ranges"), F.count_if("had_conflict").alias("n_conflicts"),
+        F.min("first_ord").alias("at"), F.bool_or("solved").alias("solved"),
     )
-    first = place.groupBy(*keys).agg(
-        F.min(F.when(F.col("solved"), F.struct("at", "branch"))).getField("branch").alias("first_branch")
+    per = branches.groupBy(*keys).agg(
+        F.bool_or("any_conflict").alias("any_conflict"), F.sum("n_ranges").alias("n_ranges"), F.sum("n_conflicts").alias("n_conflicts"),
+        F.count_if(F.col("solved") & F.col("branch").isNotNull()).alias("branches_count"),
+        F.bool_or(F.col("solved") & (F.col("branch") == "general")).alias("has_general"),
+        F.min(F.when(F.col("solved"), F.struct("at", "branch"))).getField("branch").alias("first_branch"),
     )
-    return per.join(first, keys).select(
+    return per.select(
         *keys,
         F.when(F.col("any_conflict"), "CONFLICT").when(F.col("n_ranges") == 0, "EMPTY").otherwise("OK").alias("status"),
         F.when(F.col("has_general"), "general").otherwise(F.col("first_branch")).alias("primary_branch"),
@@ -277,9 +274,10 @@ def lineage_snapshot(requests: DataFrame, keys: list[str], fields: list[str]) ->
     """JSON of a request's constraints in input order, cut at the snapshot limit.
 
     Only the rows that can reach the limit are gathered; a row's JSON has at least five
-    characters. The full length comes from an aggregate over all rows.
+    characters, as null fields are written too. The full length comes from an aggregate over
+    all rows.
     """
-    as_json = requests.withColumn("_json", F.to_json(F.struct(*fields)))
+    as_json = requests.withColumn("_json", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
     sizes = as_json.groupBy(*keys).agg((F.sum(F.length("_json") + 1) + 1).alias("size"))
     head = first_rows(as_json, keys, [F.col("ord")], k=K.SNAPSHOT_LIMIT // 5 + 1)
     whole = (

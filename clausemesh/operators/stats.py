@@ -32,30 +32,35 @@ def linear_rank(p: float, n: Column) -> Column:
 def values_at_ranks(
     rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column | None], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """One row per group with a column per named rank. A rank reads `n`; None is the maximum."""
-    const = F.lit(1).alias("_all")
-    base = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), const)
-    group = [*keys, "_all"]
-    span = base.groupBy(*group).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    located = base.join(span, group).withColumn(
+    """One row per group with a column per named rank. A rank reads `n`; None is the maximum.
+
+    A null key is a group like any other: keys travel as one struct, whose null fields compare as equal. Infinite values
+    and NaN have slices of their own at the ends, so the finite range is cut evenly.
+    """
+    base = rows.where(F.col(value).isNotNull()).select(F.struct(F.lit(1).alias("_all"), *keys).alias("_g"), F.col(value).cast("double").alias("_v"))
+    finite = F.when(~F.isnan("_v") & (F.abs("_v") < float("inf")), F.col("_v"))
+    span = base.groupBy("_g").agg(F.count("_v").alias("n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+    located = base.join(span, "_g").withColumn(
         "_s",
-        F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SLICES), F.lit(SLICES - 1)))
+        F.when(F.isnan("_v") | (F.col("_v") == float("inf")), F.lit(SLICES)).when(F.col("_v") == float("-inf"), F.lit(-1))
+        .when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * SLICES), F.lit(SLICES - 1)))
         .otherwise(F.lit(0)),
     )
-    slices = located.groupBy(*group, "_s").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"))
-    # at most SLICES rows per group from here to the located slices
-    order = W.partitionBy(*group).orderBy("_s")
+    slices = located.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"))
+    # at most SLICES + 2 rows per group from here to the located slices
+    order = W.partitionBy("_g").orderBy("_s")
     bounded = slices.withColumn("_upto", F.sum("_c").over(order))
     named = F.array(*[F.struct(F.lit(name).alias("name"), (F.col("n") if r is None else r).cast("long").alias("rank")) for name, r in ranks.items()])
-    targets = bounded.select(*group, "_s", "_upto", "_c", F.inline(named)).where(
+    targets = bounded.select("_g", "_s", "_upto", "_c", F.inline(named)).where(
         (F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_c"))
-    ).select(*group, "_s", "name", (F.col("rank") - (F.col("_upto") - F.col("_c"))).alias("_at"))
-    wanted = targets.select(*group, "_s").distinct()
-    distinct_values = located.join(wanted, [*group, "_s"], "left_semi").groupBy(*group, "_s", "_v").agg(F.count(F.lit(1)).alias("_m"))
-    cumulated = running(distinct_values, [*group, "_s"], [F.col("_v")], {"_cum": Running("sum", F.col("_m"))}, hot_rows)
-    hits = cumulated.join(targets, [*group, "_s"]).where((F.col("_at") <= F.col("_cum")) & (F.col("_at") > F.col("_cum") - F.col("_m")))
-    wide = hits.groupBy(*group).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
-    return wide.join(span.select(*group, "n"), group).drop("_all")
+    ).select("_g", "_s", "name", (F.col("rank") - (F.col("_upto") - F.col("_c"))).alias("_at"))
+    wanted = targets.select("_g", "_s").distinct()
+    distinct_values = located.join(wanted, ["_g", "_s"], "left_semi").groupBy("_g", "_s", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    cumulated = running(distinct_values, ["_g", "_s"], [F.col("_v")], {"_cum": Running("sum", F.col("_m"))}, hot_rows)
+    hits = cumulated.join(targets, ["_g", "_s"]).where((F.col("_at") <= F.col("_cum")) & (F.col("_at") > F.col("_cum") - F.col("_m")))
+    wide = hits.groupBy("_g").agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return wide.join(span.select("_g", "n"), "_g").select(*[F.col("_g")[k].alias(k) for k in keys], *ranks, "n")
 
 
 def nearest_percentiles(rows: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import scope as S
+from ..session import cut_lineage
 from .scan import first_rows, numbered
 
 BUCKETS = 64
@@ -48,21 +50,39 @@ def payload(chunks: DataFrame) -> DataFrame:
     )
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace stored rows of the same key; the last of equal new keys counts."""
-    return existing.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+def upsert(existing: DataFrame, new: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """New rows replace stored rows of the same key; the last of equal new keys counts, by `order` or else as they come."""
+    by = [o.desc() for o in order] if order else [F.monotonically_increasing_id().desc()]
+    last = first_rows(new, key, by)
+    return existing.join(last.select(*key), key, "left_anti").unionByName(last)
 
 
 def replace_docs(existing: DataFrame, new: DataFrame) -> DataFrame:
     """All stored rows of the documents in `new` give way to the new rows."""
-    return upsert(existing, new, ["doc_hash"])
+    return existing.join(new.select("doc_hash").distinct(), "doc_hash", "left_anti").unionByName(new)
 
 
 def write_buckets(rows: DataFrame, path: str) -> None:
-    """Write whole buckets; only the buckets present in `rows` are overwritten."""
+    """Write whole buckets; only the buckets present in `rows` are overwritten, so these must hold all rows of theirs."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
 
 
+def replace_stored_docs(rows: DataFrame, path: str) -> None:
+    """Put the documents of `rows` in place of their stored rows. Other documents of the touched buckets are kept."""
+    spark = rows.sparkSession
+    fresh = cut_lineage(rows)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        write_buckets(fresh, path)
+        return
+    touched = fresh.select("doc_bucket").union(
+        stored.join(fresh.select("doc_hash").distinct(), "doc_hash", "left_semi").select("doc_bucket")
+    ).distinct()
+    kept = replace_docs(stored, fresh).join(touched, "doc_bucket", "left_semi").select(*fresh.columns)
+    write_buckets(cut_lineage(kept), path)
+
+
 def delete_old_versions(chunks: DataFrame, keep: DataFrame) -> DataFrame:
     """Drop versions strictly older than keep_version; newer ones survive out-of-order runs."""
     return chunks.join(keep.select("doc_hash", "keep_version"), "doc_hash", "left").where(
@@ -205,15 +225,18 @@ def full_text_rows(chunks: DataFrame) -> DataFrame:
 
 
 def migrate_full_text(chunks: DataFrame, apply_to: str | None = None, limit: int | None = None) -> DataFrame:
-    """Rebuild full-text rows of every document (or the first `limit` by name).
+    """Rebuild full-text rows of every document (or the first `limit` by name): doc_hash, outcome, rows_written.
 
-    Returns documents and rows per outcome. Without a target path nothing is written.
+    A document with a chunk that has no id or no text fails as a whole and is left as it is. Without a target path
+    nothing is written; with one, the stored rows of other documents stay.
     """
-    docs = chunks.select("doc_hash").distinct()
     if limit is not None:
-        docs = docs.orderBy("doc_hash").limit(limit)
-        chunks = chunks.join(docs, "doc_hash", "left_semi")
-    rows = full_text_rows(chunks).withColumn("doc_bucket", F.pmod(F.xxhash64("doc_hash", "chunk_id"), F.lit(BUCKETS)).cast("int"))
+        chunks = chunks.join(chunks.select("doc_hash").distinct().orderBy("doc_hash").limit(limit), "doc_hash", "left_semi")
+    bad = F.col("chunk_id").isNull() | F.col("text").isNull()
+    verdict = chunks.groupBy("doc_hash").agg(F.count(F.lit(1)).alias("_n"), F.count_if(bad).alias("_bad"))
     if apply_to:
-        write_buckets(rows, apply_to)
-    return rows.groupBy("doc_hash").agg(F.count(F.lit(1)).alias("rows_written"))
+        good = chunks.join(verdict.where("_bad = 0").select("doc_hash"), "doc_hash", "left_semi")
+        rows = full_text_rows(good).withColumn("doc_bucket", F.pmod(F.xxhash64("doc_hash", "chunk_id"), F.lit(BUCKETS)).cast("int"))
+        replace_stored_docs(rows, apply_to)
+    failed = F.col("_bad") > 0
+    return verdict.select("doc_hash", F.when(failed, "failed").otherwise("migrated").alias("outcome"), F.when(failed, 0).otherwise(F.col("_n")).alias("rows_written"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import ids
+from .scan import first_rows
 
 
 def retry_eligible(tasks: DataFrame, now: Column, age: float = K.RETRY_AGE_SECONDS) -> DataFrame:
@@ -78,10 +79,11 @@ def outcome_error(rag_status: Column, error: Column) -> Column:
     return F.when(rag_status != "success", F.substring(F.coalesce(F.nullif(error, F.lit("")), F.lit("unknown")), 1, K.ERROR_TEXT_LIMIT))
 
 
-def new_tasks(notices: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Notices not seen before, and duplicates. The first of equal notices is the new one."""
+def new_tasks(notices: DataFrame, tasks: DataFrame, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Notices not seen before, and duplicates. The first of equal notices, by `order` or else as they come, is the new one."""
     keyed = notices.withColumn("request_id", ids.request_id(F.col("trace_id"), F.col("doc_hash"), F.col("version")))
-    fresh = keyed.join(tasks.select("request_id"), "request_id", "left_anti").dropDuplicates(["request_id"])
+    unseen = keyed.join(tasks.select("request_id"), "request_id", "left_anti")
+    fresh = first_rows(unseen, ["request_id"], order or [F.monotonically_increasing_id()])
     known = tasks.select("request_id").withColumn("_known", F.lit(1))
     seen = keyed.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).join(known, "request_id", "left").select(
         "request_id", (F.col("n") - F.when(F.col("_known").isNull(), 1).otherwise(0)).alias("duplicates")

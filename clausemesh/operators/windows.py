@@ -1,10 +1,11 @@
 """Windows anchored at events: a window opens at a key's first event and the next one at the
 first event at least `seconds` later.
 
-Each key's events are cut into units of time. A unit maps the earliest time a new window may
-open to that time after the unit; the map is a short step function, since different entries
-soon meet the same window. Units are tabulated in parallel and only the step functions are
-composed in order, one per unit of time and key.
+Events are range-partitioned by key and time, and a key's events in one partition are a unit,
+so a key of any number of events is spread over tasks and has at most as many units as there
+are partitions. A unit maps the earliest time a new window may open to that time after the
+unit; the map is a short step function, since different entries soon meet the same window.
+Units are tabulated in parallel and only the step functions are composed in order.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
-
-UNIT_SECONDS = 3600
+from ..session import cut_lineage
 
 
 def _next_start(ts: np.ndarray, seconds: float) -> np.ndarray:
@@ -83,8 +83,8 @@ def positions_udf(seconds: float):
 
 def anchored_windows(events: DataFrame, key: str, ts: Column, ord_: str, seconds: float) -> DataFrame:
     """key, event, ts, window_start and 1-based position in the window, for every event."""
-    width = max(UNIT_SECONDS, int(np.ceil(seconds)))
-    base = events.select(key, F.col(ord_), ts.cast("double").alias("_ts")).withColumn("_u", F.floor(F.col("_ts") / width))
+    base = events.select(key, F.col(ord_), ts.cast("double").alias("_ts")).repartitionByRange(key, "_ts")
+    base = cut_lineage(base.withColumn("_u", F.spark_partition_id().cast("long")))  # units have to stay as they are
     units = base.groupBy(key, "_u").agg(F.sort_array(F.collect_list(F.struct("_ts", ord_))).alias("es"))
     tables = units.select(key, "_u", F.size("es").alias("n"), step_table_udf(seconds)(F.col("es._ts")).alias("t"))
     step = lambda acc, u: F.get(

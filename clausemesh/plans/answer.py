@@ -88,13 +88,17 @@ def binding_only(constraints: DataFrame, statuses: list[str] | None = None) -> D
 
 
 def overlay(base: DataFrame, extra: DataFrame, keys: list[str], mode: Column) -> DataFrame:
-    """User constraints on top of a solve: intersected with it, or put in its place."""
+    """User constraints on top of a solve: intersected with it, or put in its place.
+
+    mode reads the columns of `extra`, one mode for each group; groups without extra constraints are left as they are.
+    """
+    replacing = extra.where(mode == "replace")
     both = SO.solve_ranges(base.unionByName(extra, allowMissingColumns=True), keys)
-    alone = SO.solve_ranges(extra, keys)
+    alone = SO.solve_ranges(replacing, keys)
     group = [*keys, "branch", "parameter"]
     shape = lambda df, p: df.select(*group, *[F.col(c).alias(f"{p}_{c}") for c in ("range_lower", "range_upper", "had_conflict")])
     joined = shape(both, "i").join(shape(alone, "r"), group, "left")
-    put = (mode == "replace") & F.col("r_had_conflict").isNotNull()
+    put = F.col("r_had_conflict").isNotNull()
     return joined.select(
         *group, *[F.when(put, F.col(f"r_{c}")).otherwise(F.col(f"i_{c}")).alias(c) for c in ("range_lower", "range_upper", "had_conflict")]
     )

@@ -9,6 +9,7 @@ from ..functions import fixed as K
 from ..functions import text as X
 from ..operators import chunking as CH
 from ..operators import store as ST
+from ..session import cut_lineage
 from ..sources import blocks as B
 
 
@@ -26,20 +27,21 @@ def ingest(
     """(chunks, outcomes) of all notices.
 
     notices: doc_hash, version, bundle_id. lines: bundle_id, line_no, value. index_names:
-    bundle_id, file_name. indexed: doc_hash, version, chunks_indexed as stored so far; an
-    equal version is skipped unless forced.
+    bundle_id, file_name. indexed: doc_hash, version, chunks_indexed as stored so far; the
+    newest stored version of a document counts, and an equal one is skipped unless forced.
+    Lines are parsed and chunked once; chunks and outcomes come from the same stored rows.
     """
-    known = indexed.select("doc_hash", F.col("version").alias("_v"), F.col("chunks_indexed").alias("_n"))
+    known = indexed.groupBy("doc_hash").agg(F.max("version").alias("_v"), F.max_by("chunks_indexed", "version").alias("_n"))
     marked = notices.join(known, "doc_hash", "left")
     same = F.coalesce(F.col("_v") == F.col("version"), F.lit(False)) & F.lit(not force)
     done = marked.where(same)
     todo = marked.where(~same).drop("_v", "_n")
-    parsed = B.parse_lines(lines.join(todo.select("bundle_id").distinct(), "bundle_id", "left_semi"))
+    parsed = cut_lineage(B.parse_lines(lines.join(todo.select("bundle_id").distinct(), "bundle_id", "left_semi")))
     good, failed = B.split_documents(parsed, "bundle_id")
     kind = B.classify(F.col("file_name"), rules, default).getField("doc_type")
     named = todo.join(index_names, "bundle_id", "left").withColumn("doc_type", kind)
     blocks = good.join(named.select("bundle_id", "doc_hash", "version", "doc_type"), "bundle_id").withColumnRenamed("line_no", "block_ord")
-    chunks = CH.chunk_blocks(blocks, max_tokens, counter)
+    chunks = cut_lineage(CH.chunk_blocks(blocks, max_tokens, counter))
     sizes = chunks.groupBy("doc_hash", "version").agg(F.count(F.lit(1)).alias("chunks_indexed"))
     present = lines.select("bundle_id").distinct().withColumn("_file", F.lit(True))
     filled = parsed.select("bundle_id").distinct().withColumn("_lines", F.lit(True))

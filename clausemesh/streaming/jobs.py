@@ -3,9 +3,11 @@ caller's, on storage all executors share."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -15,6 +17,8 @@ from ..functions import fixed as K
 from ..functions import ids
 from ..operators import audit as A
 from ..operators import store as ST
+from ..operators import tasks as TS
+from ..session import cut_lineage
 from ..sources import files as FS
 
 
@@ -54,20 +58,27 @@ def unique_notices(notices: DataFrame, event_time: str, lateness: str = "1 day")
     return keyed.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def merge_versions(chunks: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def merge_versions(chunks: DataFrame, table: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
     """Keep per document the newest version seen, whatever order versions arrive in.
 
-    Every batch writes a new snapshot folder next to the last one, so a job that dies while
-    writing leaves the old snapshot whole.
+    The table is `table/bucket=N`, by document. A batch reads and rewrites only the buckets of the documents it brings;
+    the rows are kept on reliable storage before the old ones are replaced. A batch that runs again changes nothing.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        new = df if epoch == 0 else spark.read.parquet(f"{table}/snapshot={epoch - 1}").unionByName(df)
+        new = df.withColumn("bucket", F.pmod(F.xxhash64("doc_hash"), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` numbers at most
+        if not touched:
+            return
+        try:
+            stored = spark.read.schema(new.schema).parquet(table).where(F.col("bucket").isin(touched))
+            new = stored.unionByName(new)
+        except AnalysisException:  # the first batch
+            pass
         keep = new.groupBy("doc_hash").agg(F.max("version").alias("keep_version"))
-        ST.delete_old_versions(new, keep).dropDuplicates(["doc_hash", "version", "chunk_id"]).write.mode("overwrite").parquet(
-            f"{table}/snapshot={epoch}"
-        )
+        merged = cut_lineage(ST.delete_old_versions(new, keep).dropDuplicates(["doc_hash", "version", "chunk_id"]))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -119,53 +130,25 @@ def suppress_repeats(events: DataFrame, seconds: float = K.REPEAT_SECONDS) -> Da
     return quota_flags(events, 1, seconds).where("allowed")
 
 
-class _Retry(StatefulProcessor):
-    """Task state per request: attempts grow by timers until success or the last attempt."""
-
-    def __init__(self, max_attempts: int, age_ms: int):
-        self.max_attempts, self.age_ms = max_attempts, age_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.task = handle.getValueState("task", "status string, attempts int, fails_left int")
-
-    def _event(self, key, status: str, attempts: int, reason: str) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": [key[0]], "status": [status], "attempts": [attempts], "reason": [reason]})
-
-    def _attempt(self, key, attempts: int, fails_left: int, now: int) -> Iterator[pd.DataFrame]:
-        if attempts >= self.max_attempts:
-            yield self._event(key, "FAILED", attempts, "claim_race_lost")
-            return
-        attempts += 1
-        ok = fails_left <= 0
-        self.task.update(("COMPLETED" if ok else "FAILED", attempts, max(0, fails_left - 1)))
-        if not ok:
-            self.handle.registerTimer(now + self.age_ms)
-        yield self._event(key, "COMPLETED" if ok else "FAILED", attempts, "retry_invoked")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fails = max((int(pdf["fails"].max()) for pdf in rows if len(pdf)), default=0)
-        if not self.task.exists():
-            self.task.update(("PENDING", 0, fails))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.age_ms)
-            yield self._event(key, "PENDING", 0, "received")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, attempts, fails_left = self.task.get()
-        yield from self._attempt(key, attempts, fails_left, timerValues.getCurrentProcessingTimeInMs())
+def start_retries(
+    ticks: DataFrame, read: Callable[[], DataFrame], handler: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None],
+    checkpoint: str, every: str = "60 seconds", max_attempts: int = K.MAX_ATTEMPTS, age: float = K.RETRY_AGE_SECONDS, once: bool = False,
+) -> StreamingQuery:
+    """On every tick the tasks that may be claimed go through the handler, and the new states are written.
 
-    def close(self) -> None:
-        pass
+    read: the task table. handler: claimed tasks -> request_id, ok, error; it runs once for each tick, and its results
+    are kept before states are derived from them. write: states as of retry_scan, with the tick's number.
+    """
 
+    def batch(df: DataFrame, epoch: int) -> None:
+        tasks, now = read(), F.lit(time.time())
+        claimed = tasks.where((F.col("unwired_skipped") == 0) & TS.claimable(now, max_attempts, age))
+        results = cut_lineage(handler(claimed).select("request_id", F.col("ok").alias("_ok"), F.col("error").alias("_error")))
+        rows = tasks.join(results, "request_id", "left")
+        write(TS.retry_scan(rows, now, F.coalesce("_ok", F.lit(False)), F.col("_error"), max_attempts=max_attempts, age=age), epoch)
 
-def retry_states(tasks: DataFrame, max_attempts: int = K.MAX_ATTEMPTS, age_seconds: float = K.RETRY_AGE_SECONDS) -> DataFrame:
-    """Retry events of tasks (request_id, fails = attempts that will fail) under processing-time timers."""
-    return tasks.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=_Retry(max_attempts, int(age_seconds * 1000)),
-        outputStructType="request_id string, status string, attempts int, reason string",
-        outputMode="Append",
-        timeMode="ProcessingTime",
-    )
+    writer = ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def start_drift_checks(
