@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
+from ..functions import ids
 from ..operators import audit as AU
 from ..operators import labels as L
 from ..operators import retrieval as R
@@ -16,6 +17,7 @@ from ..sources import blocks as B
 from ..sources import files as FS
 from ..streaming import jobs as J
 from .base import CENTROIDS, DOC_LINES, block_lines, centroids, event_seconds, query, rounded, table
+from .search_queries import doc_chunks_sql
 
 # --- versions and the store: orders as (document = customer, version = year) ----------------------
 
@@ -71,14 +73,17 @@ def delete_leaves(spark, d):
 
 @query(
     "upsert_snapshot",
-    """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders), n AS (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+    """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders), n AS (SELECT l_orderkey AS k, l_quantity AS v FROM lineitem WHERE l_linestatus = 'O'
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1)
 SELECT coalesce(n.k, o.k) AS k, round(coalesce(n.v, o.v), 2) AS v FROM o FULL JOIN n USING (k)""",
 )
 def upsert_snapshot(spark, d):
-    """New rows replace stored rows of the same key."""
+    """New rows replace stored rows of the same key; the last of several new ones counts."""
     old = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    new = table(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("v"))
-    return ST.upsert(old, new, ["k"]).select("k", rounded("v", 2))
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("place")
+    new = table(spark, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"), place)
+    old = old.withColumn("place", F.lit(None).cast(new.schema["place"].dataType))
+    return ST.upsert(old, new, ["k"], [F.col("place")]).select("k", rounded("v", 2))
 
 
 @query(
@@ -177,10 +182,30 @@ def payload_defaults(spark, d):
     )
 
 
-@query("full_text_migration", "SELECT p_brand AS doc_hash, count(*) AS rows_written FROM part GROUP BY 1")
+@query(
+    "full_text_migration",
+    """SELECT p_brand AS doc_hash, CASE WHEN bool_or(p_partkey % 501 = 0) THEN 'failed' ELSE 'migrated' END AS outcome,
+  CASE WHEN bool_or(p_partkey % 501 = 0) THEN 0 ELSE count(*) END AS rows_written FROM part GROUP BY 1""",
+)
 def full_text_migration(spark, d):
-    """Dry run of the full-text rebuild, rows per document."""
-    return ST.migrate_full_text(_mini_chunks(spark, d))
+    """Dry run of the full-text rebuild: rows per document, and documents that fail because a chunk has no text."""
+    c = _mini_chunks(spark, d)
+    whole = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long") % 501 != 0
+    return ST.migrate_full_text(c.withColumn("text", F.when(whole, F.col("text"))))
+
+
+@query(
+    "limited_migration",
+    """WITH f AS (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 3)
+SELECT 'c' || p_partkey::VARCHAR AS chunk_id, p_brand AS doc_hash, CASE WHEN p_brand IN (SELECT * FROM f) THEN 'again' ELSE 'first' END AS text FROM part""",
+)
+def limited_migration(spark, d):
+    """A migration of the first three documents over a store of all: the others' rows stay."""
+    c = _mini_chunks(spark, d)
+    path = fresh_path(spark, "full-text")
+    ST.migrate_full_text(c.withColumn("text", F.lit("first")), apply_to=path)
+    ST.migrate_full_text(c.withColumn("text", F.lit("again")), apply_to=path, limit=3)
+    return spark.read.parquet(path).select("chunk_id", "doc_hash", "text")
 
 
 @query("distinct_documents", "SELECT DISTINCT p_brand AS doc_hash FROM part")
@@ -285,15 +310,31 @@ def task_outcomes(spark, d):
 
 @query(
     "duplicate_notices",
-    "WITH n AS (SELECT o_custkey, year(o_orderdate) AS v, count(*) AS n FROM orders GROUP BY 1, 2) SELECT md5('t|' || o_custkey::VARCHAR || '|' || v::VARCHAR) AS request_id, n - 1 AS duplicates FROM n WHERE n > 1",
+    """WITH n AS (SELECT o_custkey, year(o_orderdate) AS v, count(*) AS n FROM orders GROUP BY 1, 2),
+r AS (SELECT md5('t|' || o_custkey::VARCHAR || '|' || v::VARCHAR) AS request_id, n - (NOT (c_mktsegment = 'BUILDING' AND v = 1995))::INTEGER AS duplicates FROM n JOIN customer ON c_custkey = o_custkey)
+SELECT * FROM r WHERE duplicates > 0""",
 )
 def duplicate_notices(spark, d):
     """Notices that were already queued, counted per request."""
     n = table(spark, d, "orders").select(F.lit("t").alias("trace_id"), F.col("o_custkey").cast("string").alias("doc_hash"), F.year("o_orderdate").alias("version"))
-    known = spark.createDataFrame([], "request_id string")
+    building = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    known = building.select(ids.request_id(F.lit("t"), F.col("c_custkey").cast("string"), F.lit(1995)).alias("request_id"))
     return TS.new_tasks(n, known)[1]
 
 
+@query(
+    "first_notices",
+    """SELECT md5('t|' || o_custkey::VARCHAR || '|' || year(o_orderdate)::VARCHAR) AS request_id, min(o_orderkey) AS notice FROM orders GROUP BY o_custkey, year(o_orderdate)""",
+)
+def first_notices(spark, d):
+    """The first of equal notices becomes the task."""
+    n = table(spark, d, "orders").select(
+        F.lit("t").alias("trace_id"), F.col("o_custkey").cast("string").alias("doc_hash"), F.year("o_orderdate").alias("version"), F.col("o_orderkey").alias("notice")
+    )
+    known = spark.createDataFrame([], "request_id string")
+    return TS.new_tasks(n, known, [F.col("notice")])[0].select("request_id", "notice")
+
+
 @query(
     "replay_gate",
     f"""WITH {TK_SQL}, r AS (SELECT l_orderkey + (CASE WHEN l_returnflag = 'R' THEN 10000000 ELSE 0 END) AS request_id FROM lineitem GROUP BY 1)
@@ -363,13 +404,13 @@ def triage_offline(spark, d):
     "SELECT o_orderkey::VARCHAR AS doc_hash, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderstatus END AS status FROM orders",
 )
 def checkpoint_entries(spark, d):
-    """Checkpoint files of a customer and up to 10,000 orders, with entries as objects or plain names."""
+    """One checkpoint file for each customer, with entries as objects or plain names."""
     entry = F.when(
         F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('"'))
     ).when(
         F.col("o_orderpriority") == "2-HIGH", F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("status")))
     ).otherwise(F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("doc_hash"), F.col("o_orderstatus").alias("status"))))
-    files = table(spark, d, "orders").groupBy("o_custkey", F.floor(F.col("o_orderkey") / 10_000)).agg(F.concat(F.lit('{"version": 1, "failed": ['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value"))
+    files = table(spark, d, "orders").groupBy("o_custkey").agg(F.concat(F.lit('{"version": 1, "failed": ['), F.array_join(F.collect_list(entry), ","), F.lit("]}")).alias("value"))
     return FS.parse_checkpoint(files)
 
 
@@ -751,9 +792,16 @@ def classify_files(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), B.classify(F.concat(lead, F.col("p_name")), rules, default).getField("doc_type").alias("doc_type"))
 
 
-@query("classify_pages", "SELECT page_id, 'unknown' AS doc_type, 40 AS priority FROM pages")
+@query(
+    "classify_pages",
+    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'national_standard' WHEN 1 THEN 'industry_standard' WHEN 2 THEN 'enterprise_spec' WHEN 3 THEN 'lot_checklist' WHEN 4 THEN 'project_spec' ELSE 'unknown' END AS doc_type,
+  CASE page_id % 6 WHEN 0 THEN 100 WHEN 1 THEN 80 WHEN 2 THEN 60 WHEN 3 THEN 60 ELSE 40 END AS priority FROM pages""",
+)
 def classify_pages(spark, d):
-    name = F.element_at(F.split(F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1), "/"), -1)
+    """Document types from file names: the last part of a page's address behind a code that depends on the page."""
+    last = F.element_at(F.split(F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1), "/"), -1)
+    codes = F.array(*[F.lit(c) for c in ("GB50010 ", "hg/20592 ", "Q-12 ", "7 lot 003 ", "sa-", "")])
+    name = F.concat(F.get(codes, (F.col("page_id") % 6).cast("int")), last)
     return table(spark, d, "pages").select("page_id", B.classify(name).alias("r")).select("page_id", "r.doc_type", "r.priority")
 
 
@@ -785,7 +833,11 @@ def ingest_outcomes(spark, d):
     return outcomes.select("doc_hash", "error_code", "rag_status")
 
 
-@query("ingest_chunks")
+@query(
+    "ingest_chunks",
+    f"""WITH RECURSIVE {doc_chunks_sql()}
+SELECT doc_id::VARCHAR AS doc_hash, chunk_index, 'national_standard' AS doc_type, md5(text) AS text_md5, token_count FROM dc WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'es')""",
+)
 def ingest_chunks(spark, d):
     """Chunks of the same ingest, from JSON lines through the block path."""
     docs = table(spark, d, "documents")
@@ -863,8 +915,8 @@ def stream_live_audit(spark, d):
 
 @query("stream_unique_notices", "SELECT count(*) AS notices FROM (SELECT DISTINCT user_id, event_type FROM events)")
 def stream_unique_notices(spark, d):
-    """Repeated notices in a stream pass once."""
+    """Repeated notices in a stream pass once, however far apart they are."""
     e = _stream(spark, d).select(
         F.col("user_id").cast("string").alias("trace_id"), F.col("event_type").alias("doc_hash"), F.lit(1).alias("version"), F.col("ts").cast("timestamp").alias("at")
     )
-    return _drain(spark, J.unique_notices(e, "at", "60 days").select("request_id"), "notices").agg(F.count(F.lit(1)).alias("notices"))
+    return _drain(spark, J.unique_notices(e, "at", "36500 days").select("request_id"), "notices").agg(F.count(F.lit(1)).alias("notices"))

@@ -11,6 +11,7 @@ from ..operators import chunking as CH
 from ..operators import retrieval as R
 from ..operators import stats as SX
 from ..plans import answer as A
+from ..session import cut_lineage
 from .base import CENTROIDS, DOC_LINES, PART_CHUNKS, centroids, doc_corpus, documents, part_chunks, query, rounded, table
 
 
@@ -21,7 +22,62 @@ def doc_chunks(spark, d, budget=K.MAX_CHUNK_TOKENS):
     )
 
 
-@query("chunk_documents")
+_BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_SAFE = r"\s\x1C-\x1F\x0B.,;:!?()\[\]{}\"''\-/\\|<>=+*&%@#$^_~`\x{3000}-\x{303F}\x{FF00}-\x{FFEF}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
+_GLUED = "^([0-9][A-Za-z.]|[A-Za-z][0-9]|[.][0-9]|[A-Za-z][A-Za-z])$"
+
+
+def cut_sql(p: str, source: str, limit: int, budget: int) -> str:
+    """CTEs that cut the texts of a relation (id, text) into pieces, a step of the recursion for each, and merge pieces
+    left to right: {p}t (id, g, piece) with g counting from 1."""
+    return rf"""
+{p}c AS (SELECT id, text, length(text)::BIGINT AS n, 0::BIGINT AS start, 0::BIGINT AS stop, 0::BIGINT AS i FROM {source}
+  UNION ALL
+  SELECT id, text, n, stop, CASE WHEN inside AND target > stop THEN target ELSE e END, i + 1
+  FROM (SELECT *, CASE WHEN substr(text, e, 1) SIMILAR TO '[0-9.]' AND other + 1 < e AND regexp_matches(substr(text, other + 1, 1), '[{_SAFE}]') THEN other + 1
+                       WHEN loose < e - f THEN e - loose ELSE e END AS target
+        FROM (SELECT *, greatest(e - 1 - length(regexp_extract(back, '[0-9.]*$')), f) AS other, length(regexp_extract(back, '[^{_SAFE}]*$')) AS loose
+              FROM (SELECT *, substr(text, f + 1, e - f) AS back
+                    FROM (SELECT *, e < n AND stop + 1 < e AND n > {limit} AND regexp_matches(substr(text, e, 2), '^([0-9A-Za-z][0-9A-Za-z]|[0-9][.]|[.][0-9])$') AS inside,
+                                 greatest(0, e - greatest(8, floor(e * 0.2)::BIGINT)) AS f
+                          FROM (SELECT *, least(stop + {limit}, n) AS e FROM {p}c WHERE stop < n)))))),
+{p}f AS (SELECT id, piece, greatest(1, length(piece) // 4) AS tok, row_number() OVER (PARTITION BY id ORDER BY i) AS k
+  FROM (SELECT id, i, substr(text, start + 1, stop - start) AS piece FROM {p}c WHERE i > 0) WHERE trim(piece, {_BLANK}) <> ''),
+{p}m AS (SELECT id, k, piece, tok AS acc, 1::BIGINT AS g FROM {p}f WHERE k = 1
+  UNION ALL
+  SELECT f.id, f.k, f.piece, CASE WHEN NOT regexp_matches(right(m.piece, 1) || left(f.piece, 1), '{_GLUED}') AND m.acc + f.tok <= {budget} THEN m.acc + f.tok ELSE f.tok END,
+    CASE WHEN NOT regexp_matches(right(m.piece, 1) || left(f.piece, 1), '{_GLUED}') AND m.acc + f.tok <= {budget} THEN m.g ELSE m.g + 1 END
+  FROM {p}m m JOIN {p}f f ON f.id = m.id AND f.k = m.k + 1),
+{p}t AS (SELECT id, g, string_agg(piece, '' ORDER BY k) AS piece FROM {p}m GROUP BY id, g)"""
+
+
+def doc_chunks_sql(budget: int = K.MAX_CHUNK_TOKENS) -> str:
+    """CTEs up to dc (doc_id, doc_hash, chunk_index, text, token_count, n_blocks): the documents' chunks, a block per line."""
+    return f"""{DOC_LINES}, b AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
+   greatest(1, length(raw) // 4) AS tok FROM dl WHERE raw <> ''),
+w AS (SELECT doc_id, i, n, tok, tok AS acc, i AS key FROM b WHERE i = 0
+  UNION ALL SELECT b.doc_id, b.i, b.n, b.tok, CASE WHEN w.tok > {budget} OR w.acc + b.tok > {budget} THEN b.tok ELSE w.acc + b.tok END,
+    CASE WHEN w.tok > {budget} OR w.acc + b.tok > {budget} THEN b.i ELSE w.key END FROM w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i + 1),
+gl AS (SELECT w.doc_id, w.key, w.i, w.n, w.tok, b.raw, coalesce(regexp_matches(right(lag(b.raw) OVER p, 1) || left(b.raw, 1), '{_GLUED}'), false) AS glued
+  FROM w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i WINDOW p AS (PARTITION BY w.doc_id, w.key ORDER BY w.i)),
+gr AS (SELECT doc_id, key, count(*) AS n_blocks, string_agg(raw, chr(10) ORDER BY i) AS whole, bool_or(glued) AS glued,
+    CASE WHEN max(tok) > {budget} THEN 'split' WHEN max(i) = any_value(n) - 1 THEN 'flush' ELSE 'route' END AS kind FROM gl GROUP BY doc_id, key),
+gk AS (SELECT *, kind = 'split' OR (kind = 'route' AND (glued OR greatest(1, length(whole) // 4) > {budget})) AS cut FROM gr),
+ln AS (SELECT doc_id, key, n_blocks, i, string_split(whole, chr(10))[i] AS line FROM (SELECT *, unnest(generate_series(1, len(string_split(whole, chr(10))))) AS i FROM gk WHERE cut)),
+lo AS (SELECT doc_id::VARCHAR || ' ' || key::VARCHAR || ' ' || i::VARCHAR AS id, line AS text FROM ln WHERE length(line) > {budget * 4}),
+{cut_sql('x', 'lo', budget * 4, budget)},
+ch AS (SELECT doc_id, key, 0::BIGINT AS i, 0::BIGINT AS g, n_blocks, trim(whole, {_BLANK}) AS text FROM gk WHERE NOT cut AND trim(whole, {_BLANK}) <> ''
+  UNION ALL SELECT doc_id, key, i, 0, n_blocks, line FROM ln WHERE length(line) <= {budget * 4} AND trim(line, {_BLANK}) <> ''
+  UNION ALL SELECT doc_id, key, i, g, n_blocks, piece FROM ln JOIN xt ON xt.id = doc_id::VARCHAR || ' ' || key::VARCHAR || ' ' || i::VARCHAR),
+dc AS (SELECT doc_id, md5(doc_id::VARCHAR) AS doc_hash, row_number() OVER (PARTITION BY doc_id ORDER BY key, i, g) - 1 AS chunk_index, text,
+    greatest(1, length(text) // 4) AS token_count, n_blocks FROM ch)"""
+
+
+@query(
+    "chunk_documents",
+    f"""WITH RECURSIVE {doc_chunks_sql()}
+SELECT doc_hash, chunk_index, substr(doc_hash, 1, 8) || '-' || lpad(chunk_index::VARCHAR, 4, '0') AS chunk_id, md5(text) AS text_md5, token_count, n_blocks FROM dc""",
+)
 def chunk_documents(spark, d):
     """Scope-aware chunks of all documents, a block per line."""
     c = doc_chunks(spark, d)
@@ -76,23 +132,42 @@ def chunk_short_documents(spark, d):
     return c.select("doc_hash", F.md5("text").alias("text_md5"), F.col("token_count").cast("long").alias("token_count"))
 
 
-@query("chunk_budget")
+@query(
+    "chunk_budget",
+    f"""WITH RECURSIVE {doc_chunks_sql(200)}, pd AS (SELECT doc_hash, count(*) AS n, count(*) FILTER (token_count > 200) AS over FROM dc GROUP BY 1)
+SELECT count(*) AS n_docs, sum(n)::BIGINT AS total_chunks, avg(n) AS avg_chunks, sum(over)::BIGINT AS violations FROM pd""",
+)
 def chunk_budget(spark, d):
     return SX.chunk_budget(doc_chunks(spark, d, 200), 200)
 
 
-@query("chunk_spread")
+@query(
+    "chunk_spread",
+    f"""WITH RECURSIVE {doc_chunks_sql()}, pd AS (SELECT count(*) AS n FROM dc GROUP BY doc_id HAVING count(*) > 1),
+ls AS (SELECT list_sort(list(n)) AS v, count(*) AS n FROM pd)
+SELECT v[1]::DOUBLE AS smallest, v[greatest(1, floor(0.5::DOUBLE * n))::BIGINT]::DOUBLE AS median, v[greatest(1, floor(0.99::DOUBLE * n))::BIGINT]::DOUBLE AS p99, v[n]::DOUBLE AS largest, n FROM ls""",
+)
 def chunk_spread(spark, d):
     """Spread of chunks per document."""
     return SX.chunk_spread(doc_chunks(spark, d))
 
 
-@query("chunk_id_collisions", "SELECT NULL::VARCHAR AS chunk_id, NULL::BIGINT AS n WHERE false")
+@query(
+    "chunk_id_collisions",
+    f"WITH RECURSIVE {doc_chunks_sql()} SELECT substr(doc_hash, 1, 2) || '-' || lpad(chunk_index::VARCHAR, 4, '0') AS chunk_id, count(*) AS n FROM dc GROUP BY 1 HAVING count(*) > 1",
+)
 def chunk_id_collisions(spark, d):
-    return SX.id_collisions(doc_chunks(spark, d).select(F.concat_ws(":", "doc_hash", "chunk_id").alias("chunk_id")))
+    """Identifiers that name several chunks, if they had only two characters of the document's hash."""
+    short = F.concat(F.substring("chunk_id", 1, 2), F.substring("chunk_id", 9, 5))
+    return SX.id_collisions(doc_chunks(spark, d).select(short.alias("chunk_id")))
 
 
-@query("chunk_boundaries")
+@query(
+    "chunk_boundaries",
+    f"""WITH RECURSIVE {doc_chunks_sql()}
+SELECT a.doc_hash, a.chunk_index, NOT regexp_matches(right(a.text, 1) || left(b.text, 1), '{_GLUED}') AS safe
+FROM dc a JOIN dc b ON b.doc_id = a.doc_id AND b.chunk_index = a.chunk_index + 1""",
+)
 def chunk_boundaries(spark, d):
     """Whether neighbouring chunks of a document could be joined, by an equi-join on position."""
     c = doc_chunks(spark, d).select("doc_hash", "chunk_index", "text")
@@ -104,12 +179,12 @@ def chunk_boundaries(spark, d):
 
 @query(
     "doc_doc_types",
-    """SELECT lang AS doc_type, count(*) AS n_docs FROM documents GROUP BY lang""",
+    f"""WITH RECURSIVE {doc_chunks_sql()} SELECT lang AS doc_type, count(DISTINCT dc.doc_id) AS n_docs, count(*) AS n_chunks FROM dc JOIN documents d ON d.doc_id = dc.doc_id GROUP BY lang""",
 )
 def doc_doc_types(spark, d):
-    """Distribution of document types over ingested documents."""
-    docs = documents(spark, d).withColumn("doc_type", F.col("lang"))
-    return docs.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Distribution of document types over the chunks of ingested documents."""
+    chunks = doc_chunks(spark, d).withColumn("doc_type", F.get("scope_path", F.lit(0)))
+    return chunks.groupBy("doc_type").agg(F.count_distinct("doc_hash").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"))
 
 
 @query(
@@ -126,24 +201,28 @@ def line_joins(spark, d):
     return j.select("doc_id", F.col("pos").cast("long").alias("pos"), safe.alias("safe"))
 
 
-@query("split_by_tokens")
+@query(
+    "split_by_tokens",
+    f"""WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents), {cut_sql('x', 'src', 400, 100)}
+SELECT doc_id, count(piece) AS n_pieces, md5(coalesce(string_agg(piece, '|' ORDER BY g), '')) AS pieces_md5 FROM documents LEFT JOIN xt ON id = doc_id GROUP BY doc_id""",
+)
 def split_by_tokens(spark, d):
     """Two-phase split of every document text as one string."""
     docs = documents(spark, d).select("doc_id", X.split_by_tokens(F.col("text"), 100).alias("p"))
-    return docs.select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "")).alias("joined_md5"))
+    return docs.select("doc_id", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "|")).alias("pieces_md5"))
 
 
 @query(
     "split_is_loss_free",
-    "SELECT doc_id, length(text) AS n_chars, true AS bounded FROM documents WHERE NOT regexp_matches(text, '\\s{400}')",
+    "SELECT doc_id, length(text) AS n_chars, true AS bounded FROM documents",
 )
 def split_is_loss_free(spark, d):
-    """Pieces put together give the text back, each within the limit."""
-    docs = documents(spark, d).where(~F.col("text").rlike(r"\s{400}"))
-    docs = docs.select("doc_id", "text", X.split_by_tokens(F.col("text"), 100).alias("p"))
+    """Pieces put together give all but the white space of the text back, each within the limit."""
+    solid = lambda c: F.regexp_replace(c, r"\s+", "")
+    docs = documents(spark, d).select("doc_id", "text", X.split_by_tokens(F.col("text"), 100).alias("p"))
     return docs.select(
         "doc_id",
-        F.when(F.array_join("p", "") == F.col("text"), F.length("text")).otherwise(-1).cast("long").alias("n_chars"),
+        F.when(solid(F.array_join("p", "")) == solid(F.col("text")), F.length("text")).otherwise(-1).cast("long").alias("n_chars"),
         (F.array_max(F.transform("p", lambda s: F.length(s))) <= 440).alias("bounded"),
     )
 
@@ -162,16 +241,16 @@ def table_headers(spark, d):
 
 @query("table_chunks")
 def table_chunks(spark, d):
-    """Orders of each customer as table blocks of up to 10,000 keys, split by rows under a small budget."""
+    """Orders of each customer as one table block, split by rows under a small budget."""
     o = table(spark, d, "orders")
     seg = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    lists = o.join(seg, "o_custkey").groupBy("o_custkey", "c_mktsegment", F.floor(F.col("o_orderkey") / 10_000).alias("part")).agg(
+    lists = o.join(seg, "o_custkey").groupBy("o_custkey", "c_mktsegment").agg(
         F.sort_array(F.collect_list(F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"))).alias("rows")
     )
     structured = F.concat(F.array(F.array(F.lit("order"), F.lit("status"), F.lit("priority"))), F.col("rows"))
     blocks = lists.select(
-        F.col("o_custkey").cast("string").alias("doc_hash"), F.lit(1).alias("version"), F.lit("unknown").alias("doc_type"), F.col("part").alias("block_ord"),
-        F.concat(F.lit("t"), F.col("part").cast("string")).alias("block_id"), F.lit("table").alias("type"),
+        F.col("o_custkey").cast("string").alias("doc_hash"), F.lit(1).alias("version"), F.lit("unknown").alias("doc_type"), F.lit(0).cast("long").alias("block_ord"),
+        F.lit("t0").alias("block_id"), F.lit("table").alias("type"),
         F.struct(
             F.array("c_mktsegment").alias("heading_path"), F.lit(1).alias("page_number"), F.lit(None).cast("array<map<string,string>>").alias("form_fields"),
             F.lit(None).cast("array<struct<index:int,header:string>>").alias("column_headers"),
@@ -295,21 +374,21 @@ def l2_normalize(spark, d):
 
 
 SPARSE = """
-w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE length(word) >= 9 GROUP BY doc_id, word),
-qw AS (SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 9 GROUP BY item_id, word),
+w AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE word <> '' GROUP BY doc_id, word),
+qw AS (SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE word <> '' GROUP BY item_id, word),
 sd AS (SELECT item_id AS query_id, doc_id AS chunk_id, sum(w.n * qw.n)::DOUBLE AS score FROM w JOIN qw USING (word) GROUP BY 1, 2),
 st AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sd)"""
 
 
-def _long_words(df, key):
-    words = df.select(F.col(key), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where(F.length("term") >= 9)
-    return words.groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def _words(df, key, name):
+    """Every word of a text, in an array."""
+    return df.select(F.col(key).alias(name), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("terms"))
 
 
 def _sparse_hits(spark, d):
-    q = _long_words(table(spark, d, "benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    c = _long_words(documents(spark, d), "doc_id").withColumnRenamed("doc_id", "chunk_id")
-    return R.sparse_topk(q, c)
+    q = _words(table(spark, d, "benchmark"), "item_id", "query_id").select("query_id", F.explode("terms").alias("term"))
+    q = q.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return R.sparse_topk(q, _words(documents(spark, d), "doc_id", "chunk_id"))
 
 
 @query("sparse_dot", f"WITH {SPARSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM st WHERE rank <= 40")
@@ -332,6 +411,38 @@ def sparse_weights(spark, d):
     return R.sparse_weights(li, "text_id", F.col("imp"), [0, 1, 2]).select("text_id", "term", rounded("weight"))
 
 
+VECTORS = """
+lv AS (SELECT doc_id AS chunk_id, list_transform(range(97, 123), lambda c: (length(lower(text)) - length(replace(lower(text), chr(c::INTEGER), '')))::DOUBLE) AS v FROM documents),
+qv AS (SELECT item_id AS query_id, list_transform(range(97, 123), lambda c: (length(lower(text)) - length(replace(lower(text), chr(c::INTEGER), '')))::DOUBLE) AS v FROM benchmark),
+dv AS (SELECT query_id, chunk_id, list_dot_product(qv.v, lv.v) / (greatest(sqrt(list_dot_product(qv.v, qv.v)), 1e-9) * greatest(sqrt(list_dot_product(lv.v, lv.v)), 1e-9)) AS score FROM qv, lv),
+dt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM dv)"""
+
+
+def _letters(df, key, name):
+    """Counts of the letters a to z as a vector."""
+    low = F.lower("text")
+    counts = [(F.length(low) - F.length(F.replace(low, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)]
+    return df.select(F.col(key).alias(name), F.array(*counts).alias("vector"))
+
+
+def _dense_hits(spark, d):
+    return R.dense_topk(_letters(table(spark, d, "benchmark"), "item_id", "query_id"), _letters(documents(spark, d), "doc_id", "chunk_id"))
+
+
+@query(
+    "hybrid_vector_topk",
+    f"""WITH {SPARSE}, {VECTORS},
+vl AS (SELECT query_id, 0 AS list_id, chunk_id AS key, rank AS pos FROM dt WHERE rank <= 40 UNION ALL SELECT query_id, 1, chunk_id, rank FROM st WHERE rank <= 40),
+vf AS (SELECT query_id, key, sum(1.0::DOUBLE / (60 + pos)) AS score, min(list_id * 1000000000000 + pos) AS seen FROM vl GROUP BY 1, 2),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank FROM vf)
+SELECT query_id, key AS chunk_id, round(score, 9) AS score, rank FROM vr WHERE rank <= 40""",
+)
+def hybrid_vector_topk(spark, d):
+    """Dense and sparse candidates fused into one vector list."""
+    hits = R.hybrid_vector_topk(_dense_hits(spark, d), _sparse_hits(spark, d))
+    return hits.select("query_id", "chunk_id", rounded("score", 9), F.col("rank").cast("long").alias("rank"))
+
+
 # --- full text ---------------------------------------------------------------------------------------------
 
 FTS = r"""
@@ -341,13 +452,17 @@ st AS (SELECT count(*) AS n_rows, avg(dl) AS avg_len FROM len),
 tf AS (SELECT chunk_id, word, count(*) AS n FROM tok GROUP BY chunk_id, word),
 qt AS (SELECT item_id AS query_id, i AS pos, trim(lower(strip_accents(regexp_replace(ws[i], '[^\p{L}\p{N}]+', ' ', 'g')))) AS phrase
        FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM benchmark))),
-q1 AS (SELECT * FROM qt WHERE phrase <> '' AND phrase NOT LIKE '% %'),
-multi AS (SELECT DISTINCT query_id FROM qt WHERE phrase LIKE '% %'),
+q1 AS (SELECT * FROM qt WHERE phrase <> ''),
 vocab AS (SELECT DISTINCT word FROM tf),
-pre AS (SELECT p.phrase, v.word FROM (SELECT DISTINCT phrase FROM q1) p JOIN vocab v ON starts_with(v.word, p.phrase)),
-ptf AS (SELECT pre.phrase, tf.chunk_id, sum(tf.n)::DOUBLE AS n FROM pre JOIN tf USING (word) GROUP BY 1, 2),
+pre AS (SELECT p.phrase, v.word FROM (SELECT DISTINCT phrase FROM q1 WHERE phrase NOT LIKE '% %') p JOIN vocab v ON starts_with(v.word, p.phrase)),
+mp AS (SELECT DISTINCT phrase, len(string_split(phrase, ' ')) AS m FROM q1 WHERE phrase LIKE '% %'),
+dl AS (SELECT doc_id AS chunk_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ts FROM documents),
+mtf AS (SELECT phrase, chunk_id, count(*)::DOUBLE AS n
+        FROM (SELECT phrase, m, chunk_id, ts, unnest(generate_series(1, len(ts) - m + 1)) AS i FROM mp, dl WHERE len(ts) >= m)
+        WHERE starts_with(array_to_string(ts[i : i + m - 1], ' '), phrase) GROUP BY 1, 2),
+ptf AS (SELECT pre.phrase, tf.chunk_id, sum(tf.n)::DOUBLE AS n FROM pre JOIN tf USING (word) GROUP BY 1, 2 UNION ALL SELECT * FROM mtf),
 df AS (SELECT phrase, count(*) AS n_docs FROM ptf GROUP BY phrase),
-need AS (SELECT query_id, count(*) AS k FROM q1 WHERE query_id NOT IN (SELECT query_id FROM multi) GROUP BY query_id),
+need AS (SELECT query_id, count(*) AS k FROM q1 GROUP BY query_id),
 hit AS (SELECT q1.query_id, ptf.chunk_id, count(*) AS k,
           sum(greatest(ln((st.n_rows - df.n_docs + 0.5::DOUBLE) / (df.n_docs + 0.5::DOUBLE)), 1e-6::DOUBLE) * ptf.n * 2.2::DOUBLE /
               (ptf.n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len.dl / st.avg_len))) AS bm25
@@ -359,8 +474,7 @@ ft AS (SELECT hit.query_id, hit.chunk_id, bm25, greatest(bm25 / (1 + bm25), 0.01
 
 def _fts(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    single = q.where(~F.exists(TK.search_terms(F.col("query")), lambda t: F.size(t.phrase) > 1))
-    return R.bm25_topk(single, doc_corpus(spark, d).select("chunk_id", "text"))
+    return R.bm25_topk(q, doc_corpus(spark, d).select("chunk_id", "text"))
 
 
 @query("bm25_topk", f"WITH {FTS} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ft WHERE rank <= 40")
@@ -380,29 +494,30 @@ def bm25_with_text(spark, d):
     "boolean_search",
     r"""WITH tok AS (SELECT p_partkey AS chunk_id, unnest(string_split(p_name, ' ')) AS w FROM part),
 s AS (SELECT * FROM part)
-SELECT a.p_size AS query_id, b.p_partkey AS chunk_id FROM (SELECT DISTINCT p_size FROM part) a JOIN part b
-  ON (a.p_size % 2 = 0 AND starts_with(split_part(b.p_name, ' ', 1), 'bl') AND NOT (split_part(b.p_name, ' ', 2) = 'bolt'))
-  OR (a.p_size % 2 = 1 AND (starts_with(split_part(b.p_name, ' ', 2), 'gi')))""",
+SELECT a.k AS query_id, b.p_partkey AS chunk_id FROM (SELECT DISTINCT p_size % 2 AS k FROM part) a JOIN part b
+  ON (a.k = 0 AND starts_with(split_part(b.p_name, ' ', 1), 'bl') AND NOT (split_part(b.p_name, ' ', 2) = 'bolt'))
+  OR (a.k = 1 AND (starts_with(split_part(b.p_name, ' ', 2), 'gi')))""",
 )
 def boolean_search(spark, d):
     """AND-ed prefix terms with a negated term."""
     p = table(spark, d, "part")
-    q = p.select(F.col("p_size").alias("query_id")).distinct().withColumn(
-        "query", F.when(F.col("query_id") % 2 == 0, "BL -bolt").otherwise("gi")
-    )
-    return R.bm25_topk(q, p.select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text")), k=10**6).select("query_id", "chunk_id")
+    q = p.select((F.col("p_size") % 2).alias("query_id")).distinct().withColumn("query", F.when(F.col("query_id") == 0, "BL -bolt").otherwise("gi"))
+    return R.bm25_topk(q, p.select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text")), k=None).select("query_id", "chunk_id")
 
 
 @query(
     "phrase_search",
-    """SELECT p_size AS query_id, count(*) AS n FROM (SELECT DISTINCT p_size FROM part) a JOIN (SELECT p_partkey, p_name FROM part) b ON starts_with(b.p_name, 'small ri') GROUP BY 1""",
+    """WITH h AS (SELECT p_partkey AS chunk_id, len(string_split(p_name, ' ')) + 0.0::DOUBLE AS dl, starts_with(p_name, 'small ri') AS hit FROM part),
+s AS (SELECT count(*) AS n, avg(dl) AS avg_len, count(*) FILTER (hit) AS df FROM h)
+SELECT chunk_id, round(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * 2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_len)), 6) AS bm25
+FROM h, s WHERE hit""",
 )
 def phrase_search(spark, d):
-    """A term with a separator is a phrase whose last word may continue."""
+    """A term with a separator is a phrase whose last word may continue; it counts and scores as one term."""
     p = table(spark, d, "part")
-    q = p.select(F.col("p_size").alias("query_id")).distinct().withColumn("query", F.lit("small-ri"))
-    hits = R.bm25_topk(q, p.select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text")), k=10**6)
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    q = p.agg(F.min(F.lit(1)).alias("query_id")).withColumn("query", F.lit("small-ri"))
+    hits = R.bm25_topk(q, p.select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text")), k=None)
+    return hits.select("chunk_id", rounded("bm25"))
 
 
 @query(
@@ -417,7 +532,7 @@ def scope_restricted_search(spark, d):
         F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text"), F.array("p_type").alias("scope_path"),
         F.when(F.col("p_size") > 0, "active").otherwise("illegal").alias("status"),
     )
-    return R.bm25_topk(q, corpus, k=10**6, scope_filter=["economy", "small"]).select("query_id", "chunk_id")
+    return R.bm25_topk(q, corpus, k=None, scope_filter=["economy", "small"]).select("query_id", "chunk_id")
 
 
 @query(
@@ -540,15 +655,8 @@ def vector_only_retrieve(spark, d):
     """SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, trim(b.text)) AND trim(b.text) <> ''""",
 )
 def exact_match(spark, d):
-    """Documents that hold a benchmark text literally; full text search finds the candidates."""
-    pairs = _all_word_matches(spark, d)
-    return pairs.where(R.is_exact_match(F.col("query"), F.col("text"))).select("query_id", "chunk_id")
-
-
-def _all_word_matches(spark, d):
-    q = _queries(spark, d)
-    hits = R.bm25_topk(q.select("query_id", "query"), doc_corpus(spark, d).select("chunk_id", "text"), k=10**9)
-    return hits.select("query_id", "chunk_id").join(q.select("query_id", "query"), "query_id").join(doc_corpus(spark, d).select("chunk_id", "text"), "chunk_id")
+    """Documents that hold a benchmark text literally, wherever it begins."""
+    return R.literal_matches(_queries(spark, d), doc_corpus(spark, d)).select("query_id", "chunk_id")
 
 
 @query(
@@ -604,6 +712,46 @@ def answer_queries(spark, d):
     return verdict.select("query_id", "n_chunks", "n_constraints", "gate", "code", "mode")
 
 
+_LISTS_SQL, _RANKED = RETRIEVE_SQL.removeprefix("WITH ").replace("ELSE 0.4 END", "WHEN 'reference' THEN 0.2 ELSE 0.4 END").rsplit("\nSELECT query_id, key", 1)
+QUESTIONS_SQL = f"""WITH {PART_CHUNKS},
+documents AS (SELECT chunk_id AS doc_id, CASE scope0 WHEN 'national' THEN 'en' WHEN 'industry' THEN 'de' WHEN 'enterprise' THEN 'fr' ELSE scope0 END AS lang, p_brand AS source,
+  p_name || ': ' || CASE k WHEN 0 THEN 'length at most ' || p_size || ' mm' WHEN 1 THEN 'pressure at least ' || p_size || '.5 MPa' WHEN 2 THEN '温度不得超过' || p_size || '°C'
+    WHEN 3 THEN '温度大于' || p_size || ' K' WHEN 4 THEN '掺量 is ' || p_size || '%' ELSE 'from 10 cm to ' || (p_size + 10) || ' cm' END AS text FROM ph),
+benchmark AS (SELECT min(p_partkey) * 2 + e AS item_id, split_part(p_name, ' ', 1) || CASE e WHEN 0 THEN '' ELSE ' mm' END AS text FROM part, (SELECT unnest([0, 1]) AS e) GROUP BY split_part(p_name, ' ', 1), e),
+{_LISTS_SQL},
+rt AS (SELECT query_id, key{_RANKED}),
+i AS (SELECT query_id, k, parameter, CASE k WHEN 1 THEN norm_value WHEN 3 THEN norm_value WHEN 5 THEN 0.1::DOUBLE END AS lower,
+   CASE k WHEN 0 THEN norm_value WHEN 2 THEN norm_value WHEN 5 THEN (p_size + 10)::DOUBLE * 0.01::DOUBLE END AS upper, k <> 3 AS lower_inc, norm_unit FROM rt JOIN ph USING (chunk_id)),
+dd AS (SELECT DISTINCT query_id, parameter, lower, upper, norm_unit, k = 4 AS scalar FROM i),
+r AS (SELECT query_id, parameter, max(lower) AS lo, min(upper) AS up, bool_and(lower_inc) AS inc FROM i WHERE k <> 4 GROUP BY 1, 2),
+c AS (SELECT query_id, bool_or(coalesce(lo > up OR (lo = up AND NOT inc), false)) AS conflict FROM r GROUP BY 1)
+SELECT b.item_id AS query_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_constraints, 0) AS n_constraints, short_circuit,
+  CASE WHEN n_chunks IS NULL THEN 'insufficient_recall' WHEN conflict THEN 'conflict' ELSE 'success' END AS gate, CASE WHEN n_chunks IS NULL THEN 404 WHEN conflict THEN 409 ELSE 200 END AS code
+FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS n_chunks, bool_or(short_circuit) AS short_circuit FROM rt GROUP BY 1) q ON q.query_id = b.item_id
+LEFT JOIN (SELECT query_id, count(*) AS n_constraints FROM dd GROUP BY 1) n ON n.query_id = b.item_id LEFT JOIN c ON c.query_id = b.item_id"""
+
+
+@query("question_constraints", QUESTIONS_SQL)
+def question_constraints(spark, d):
+    """From a question's text to its constraints in one plan: sparse and full-text search, fusion, short circuit,
+    re-ranking, hints, gates, ranges and status."""
+    word = F.split("p_name", " ")[0]
+    first = table(spark, d, "part").groupBy(word.alias("word")).agg((F.min("p_partkey") * 2).alias("low"))
+    ask = F.explode(F.array(F.struct(F.col("low").alias("query_id"), F.col("word").alias("query")), F.struct((F.col("low") + 1).alias("query_id"), F.concat("word", F.lit(" mm")).alias("query"))))
+    q = first.select(ask.alias("q")).select("q.query_id", "q.query", F.lit(None).cast("array<string>").alias("active_scope"))
+    chunks = part_chunks(spark, d).select(
+        "chunk_id", "text", "scope_path", F.lit(None).cast("string").alias("doc_type"), "doc_hash", F.array().cast("array<map<string,string>>").alias("form_fields"),
+        F.array().cast("array<struct<index:int,header:string>>").alias("column_headers"),
+    )
+    terms = _words(q.withColumn("text", F.col("query")), "query_id", "query_id").select("query_id", F.explode("terms").alias("term"))
+    sparse = R.sparse_topk(terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight")), _words(chunks, "chunk_id", "chunk_id"))
+    hits, _ = R.retrieve(q, chunks, sparse, R.bm25_topk(q.select("query_id", "query"), chunks.select("chunk_id", "text")))
+    hits = cut_lineage(hits)  # read by recall, hints and constraints
+    verdict, _, _ = A.answer(q.select("query_id", "active_scope", F.lit(True).alias("strict")), hits)
+    short = hits.groupBy("query_id").agg(F.bool_or("short_circuit").alias("short_circuit"))
+    return verdict.join(short, "query_id", "left").select("query_id", "n_chunks", "n_constraints", "short_circuit", "gate", "code")
+
+
 @query(
     "gate_ladder",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'insufficient_recall' WHEN o_orderkey % 5 = 0 THEN 'no_constraints_extracted'

@@ -44,22 +44,35 @@ def test_quota_stream_equals_batch(spark, sf):
     assert key(got) == key(want)
 
 
-def test_retry_timers(spark):
-    src = fresh_path(spark, "tasks")
-    spark.createDataFrame([("a", 0), ("b", 9), ("c", 1)], "request_id string, fails int").write.parquet(src)
-    stream = spark.readStream.schema("request_id string, fails int").parquet(src)
-    out, mark = fresh_path(spark, "retry"), fresh_path(spark, "retry")
-    q = J.retry_states(stream, 3, 0.2).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(processingTime="500 milliseconds").start()
-    try:
-        for _ in range(60):
-            q.awaitTermination(1)
-            rows = spark.read.schema("request_id string, status string, attempts int, reason string").parquet(out).collect() if os.path.exists(out) else []
-            if sum(r.reason == "claim_race_lost" for r in rows) == 1 and any(r.request_id == "c" and r.status == "COMPLETED" for r in rows):
-                break
-    finally:
-        q.stop()
-    tries = lambda k: [r.status for r in sorted((r for r in rows if r.request_id == k and r.reason == "retry_invoked"), key=lambda r: r.attempts)]
-    assert tries("a") == ["COMPLETED"] and tries("b") == ["FAILED"] * 3 and tries("c") == ["FAILED", "COMPLETED"]
+def test_retries_call_the_handler(spark):
+    """Three ticks: a task that works, one that works at the second attempt, one that never does, one set aside."""
+    state = {
+        k: {"request_id": k, "status": "FAILED", "attempts": 0, "last_error": None, "updated_at": 0.0, "unwired_skipped": int(k == "d")} for k in "abcd"
+    }
+    schema = "request_id string, status string, attempts int, last_error string, updated_at double, unwired_skipped int"
+    calls, events = [], []
+
+    def handler(claimed):
+        names = sorted(r.request_id for r in claimed.collect())
+        calls.append(names)
+        return spark.createDataFrame([(k, k == "a" or (k == "c" and len(calls) > 1), "boom" if k == "b" else None) for k in names], "request_id string, ok boolean, error string")
+
+    def write(rows, epoch):
+        for r in rows.collect():
+            events.append((r.request_id, r.status, r.reason))
+            state[r.request_id] |= {k: r[k] for k in ("status", "attempts", "last_error", "updated_at", "unwired_skipped")}
+
+    src = fresh_path(spark, "ticks")
+    mark = fresh_path(spark, "retry")
+    for i in range(3):
+        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(src)
+    ticks = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+    read = lambda: spark.createDataFrame([tuple(v.values()) for v in state.values()], schema)
+    J.start_retries(ticks, read, handler, write, mark, max_attempts=2, age=1, once=True).awaitTermination()
+    assert calls == [["a", "b", "c"], ["b", "c"], []]
+    assert [state[k]["status"] for k in "abcd"] == ["COMPLETED", "FAILED", "COMPLETED", "FAILED"]
+    assert state["b"]["attempts"] == 2 and state["b"]["last_error"] == "boom | boom" and state["d"]["attempts"] == 0
+    assert events[-1] == ("b", "FAILED", "claim_race_lost")
 
 
 def test_versions_merge_in_any_order(spark):
@@ -70,8 +83,7 @@ def test_versions_merge_in_any_order(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     table = fresh_path(spark, "store")
     J.merge_versions(stream, table, fresh_path(spark, "merge")).awaitTermination()
-    last = max(int(n.split("=")[1]) for n in os.listdir(table) if n.startswith("snapshot="))
-    rows = {(r.doc_hash, r.version, r.chunk_id) for r in spark.read.parquet(f"{table}/snapshot={last}").collect()}
+    rows = {(r.doc_hash, r.version, r.chunk_id) for r in spark.read.parquet(table).collect()}
     assert rows == {("d", 3, "c0"), ("d", 3, "c1"), ("e", 1, "c0")}
 
 
