@@ -13,7 +13,7 @@ from clausemesh.session import get_session  # noqa: E402
 HEADLINE = [
     "interval_solve", "solve_status", "solve_trace", "constraint_dedup", "soft_fallback", "spec_constraints", "brand_solve",
     "chunk_documents", "cosine_topk", "sparse_dot", "bm25_topk", "hybrid_retrieve", "rrf_duplicates", "retry_scan", "replay_gate",
-    "triage_failures", "audit_required", "trace_summary", "latency_nearest", "histogram_buckets", "quota_flags", "ingest_outcomes",
+    "question_constraints", "hybrid_vector_topk", "triage_failures", "audit_required", "trace_summary", "latency_nearest", "histogram_buckets", "quota_flags", "ingest_outcomes",
 ]
 
 
@@ -38,11 +38,13 @@ def main() -> None:
             into[name] = round(time.perf_counter() - start, 3)
     n = QUERIES["chunk_documents"](spark, sf_dir).count()
     rate = n / seconds["chunk_documents"]
+    chars = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(length(text)) AS n").first()["n"]
     print(
         json.dumps(
             {
                 "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "chunks_per_second": round(rate, 1), "first_run": first,
+                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "chunks_per_second": round(rate, 1),
+                "chunk_characters_per_second": round(chars / seconds["chunk_documents"]), "first_run": first,
             }
         )
     )
