@@ -130,14 +130,14 @@ def with_next(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str)
     bucket = _bucket(F.col("k_id"), bounds)
     firsts = {r[0]: r[1] for r in ids.groupBy(bucket.alias("b")).agg(F.min("k_id")).collect()}
     used = sorted(firsts)
-    before = {firsts[b]: used[i - 1] for i, b in enumerate(used)}  # the first goes behind the last
+    before = {b: used[i - 1] for i, b in enumerate(used)}  # the first of all goes behind the last
+    of_bucket = lambda values, kind: F.get(F.array(*[F.lit(values.get(b)).cast(kind) for b in range(len(bounds) + 1)]), F.col("bucket"))
     rows = rows.withColumn("bucket", bucket)
-    to = F.coalesce(*[F.when(F.col("k_id") == k, b) for k, b in before.items()], F.lit(0))
+    first = F.col("k_id") == of_bucket(firsts, "long")
     # the copies go in the same pass: a first document is sent to its own bucket and to the one before
-    roles = F.array(F.struct(F.lit(0).alias("role"), F.col("bucket").alias("to")))
-    more = F.array(F.struct(F.lit(0).alias("role"), F.col("bucket").alias("to")), F.struct(F.lit(1).alias("role"), to.cast("int").alias("to")))
-    first = F.col("k_id").isin(list(before)) if before else F.lit(False)
-    sent = rows.withColumn("r", F.explode(F.when(first, more).otherwise(roles))).select("r.to", "r.role", "k_id", "k_h", "text")
+    own = F.struct(F.lit(0).alias("role"), F.col("bucket").alias("to"))
+    roles = F.when(first, F.array(own, F.struct(F.lit(1).alias("role"), of_bucket(before, "int").alias("to")))).otherwise(F.array(own))
+    sent = rows.withColumn("r", F.explode(roles)).select("r.to", "r.role", "k_id", "k_h", "text")
     return sent.repartitionById(len(bounds) + 1, F.col("to").cast("int")).sortWithinPartitions("role", "k_id", "k_h")
 
 

@@ -169,7 +169,8 @@ def node_pairs(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS)
     depth, out = FIRST_BITS, []
     step = F.sequence(F.lit(0), F.lit((1 << BITS) - 1))
     every = F.sequence(F.lit(0), F.lit((1 << FIRST_BITS) - 1))
-    first = fps.sparkSession.range(1 << FIRST_BITS).select(F.col("id").alias("a"), F.explode(every).cast("long").alias("b")).where("a <= b")
+    first = fps.sparkSession.range(1 << FIRST_BITS).select(F.col("id").alias("a"), F.explode(every).alias("b"))
+    first = first.select("a", F.col("b").cast("long").alias("b")).where("a <= b")
     open_pairs = first.withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).where(F.col("bits") <= budget)
     while True:
         sizes = cut_lineage(fps.groupBy(_node(depth).alias("node")).agg(F.count(F.lit(1)).alias("rows")))

@@ -59,9 +59,7 @@ def test_trie_join_on_spark_splits_dense_nodes(spark):
     df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
     links = simhash.links(df, node_rows=40)
     got = {r.node: r.root for r in components(links).collect()}
-    groups = lambda m: sorted(sorted(k for k in {*m, *m.values()} if m.get(k, k) == r) for r in set(m.values()))
     unsigned = {k % 2**64: v % 2**64 for k, v in got.items() if k != v}
-    assert groups(unsigned) == groups(links_of(prints)) or len(unsigned) == len(links_of(prints))
     want = links_of(prints)
     low = {}
     for k, v in want.items():
@@ -149,7 +147,7 @@ def test_ledger_scans_unseen_pairs_only(spark):
     before = files()
     ledger.update(two)
     assert files() - before == len(secrets.RULES)  # one new blob
-    newer = (secrets.Rule("assign", "2", secrets.RULES[0].pattern, 3, 9), *secrets.RULES[1:])
+    newer = (secrets.Rule("assign", "2", secrets.RULES[0].pattern, 3, 10), *secrets.RULES[1:])
     ledger.update(two, rules=newer)
     assert files() - before == len(secrets.RULES) + 3  # three blobs, one rule
     found = {(r.path, r.version): len(r.assign) for r in ledger.findings(two).collect()}
