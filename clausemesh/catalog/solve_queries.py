@@ -173,15 +173,35 @@ SELECT request_id, parameter, coalesce(lo > up, false) AS had_conflict,
 )
 def calculate_requests(spark, d):
     """Direct calculation over submitted constraints with interval text."""
+    return A.calculate(_submitted(spark, d), ["request_id"]).select("request_id", "parameter", "had_conflict", "interval_text", "unit")
+
+
+@query(
+    "conflict_details",
+    """WITH k AS (SELECT o_custkey AS request_id, lower(replace(o_orderpriority, ' ', '_')) AS parameter, min(o_orderkey) AS place,
+        max(CASE WHEN o_orderstatus <> 'F' THEN round(o_totalprice, 0) END) AS lo,
+        min(CASE o_orderstatus WHEN 'F' THEN round(o_totalprice, 0) WHEN 'O' THEN NULL ELSE round(o_totalprice, 0) + 1000 END) AS up,
+        bool_or(o_custkey % 5 = 0) AS strict FROM orders GROUP BY 1, 2),
+r AS (SELECT request_id, bool_or(strict) AND bool_or(coalesce(lo > up, false)) AS failed, count(*) AS n, string_agg(parameter || ':soft_fallback', ',' ORDER BY place) FILTER (lo > up) AS details FROM k GROUP BY 1)
+SELECT request_id, NOT failed AS success, CASE WHEN failed THEN 0 ELSE n END AS branches_count, CASE WHEN NOT failed THEN details END AS details, CASE WHEN failed THEN 'strict_violation' END AS error FROM r""",
+)
+def conflict_details(spark, d):
+    """What a request of direct calculation answers besides its ranges; every fifth customer is strict."""
+    found = A.calculation_report(A.calculate(_submitted(spark, d).withColumn("strict", F.col("request_id") % 5 == 0), ["request_id"]), ["request_id"])
+    details = F.array_join(F.transform("conflict_details", lambda c: F.concat_ws(":", c["parameter"], c["type"])), ",")
+    return found.select("request_id", "success", "branches_count", details.alias("details"), "error")
+
+
+def _submitted(spark, d):
+    """Constraints as submitted: one request for each customer, one constraint for each order."""
     o = table(spark, d, "orders")
     v = F.round("o_totalprice", 0)
-    req = o.select(
+    return o.select(
         F.col("o_custkey").alias("request_id"), F.col("o_orderpriority").alias("parameter"), F.col("o_orderkey").alias("ord"),
         F.when(F.col("o_orderstatus") == "F", "<=").when(F.col("o_orderstatus") == "O", ">=").otherwise("range").alias("operator"),
         v.alias("lower"), (v + 1000).alias("upper"), F.lit("mm").alias("unit"), F.lit(40).alias("level"), F.lit(1.0).alias("confidence"),
         F.lit(None).cast("array<string>").alias("scope_path"), F.lit(False).alias("strict"), F.lit(True).alias("allow_soft_fallback"),
     )
-    return A.calculate(req, ["request_id"]).select("request_id", "parameter", "had_conflict", "interval_text", "unit")
 
 
 @query(

@@ -79,6 +79,20 @@ def calculate(requests: DataFrame, keys: list[str]) -> DataFrame:
     return SO.solve_with_fallback(SO.v1_to_v2(requests), keys)
 
 
+def calculation_report(results: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per request of calculate(): success, branches_count, and conflict_details, the parameters whose result
+    is marked as conflict, in the order of their first constraints (null: none). A strict violation has no branches."""
+    found = F.when(F.col("had_conflict"), F.struct("first_ord", F.col("parameter").alias("parameter")))
+    per = results.groupBy(*keys).agg(
+        F.bool_or(F.col("path") == "strict_violation").alias("_failed"), F.count("parameter").alias("branches_count"), F.sort_array(F.collect_list(found)).alias("_c"),
+    )
+    details = F.transform("_c", lambda c: F.struct(c["parameter"].alias("parameter"), F.lit("soft_fallback").alias("type")))
+    return per.select(
+        *keys, (~F.col("_failed")).alias("success"), "branches_count", F.when(F.size("_c") > 0, details).alias("conflict_details"),
+        F.when(F.col("_failed"), "strict_violation").alias("error"),
+    )
+
+
 # --- written down only: life cycle filter, overlays and clause history -------------------------
 
 
