@@ -7,8 +7,8 @@ scores of the pieces they make; characters outside the vocabulary as bytes. Batc
 threads. No piece may hold the marker behind another character; words can then be cut before the marker without any
 effect on the result, which lets the backend reuse words it has seen.
 
-Parity with the original library is verified on every distinct word of the rows that a task reads (encoding a text is
-encoding its words one after the other); rows with a word that differs are compared as a whole.
+Parity with the original library, and that decoding gives the text back, are verified on every distinct word of the rows
+that a task reads; a row's checks hold if those of all its words do.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-SEEN_WORDS = 200_000
+SEEN_WORDS = 400_000
+WORDS_AT_ONCE = 256
 
 
 # --- the model file ------------------------------------------------------------------------------
@@ -137,17 +138,27 @@ def backend(model: Model):
 
 
 class Codec:
-    """Encoder, decoder and check of one model file; made once in a worker."""
+    """Encoder, decoder and check of one model file; made once in a worker.
+
+    Where the normaliser only marks spaces, a text is encoded by its words: each distinct word goes once through the
+    backend, back through its decoder and through the original library, in batches, and is remembered (up to SEEN_WORDS,
+    then all are forgotten). The ids of a text are those of its words one after the other.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         with open(path, "rb") as f:
             data = f.read()
-        self.model, self.seen = parse_model(data), set()
+        self.model = parse_model(data)
         self.own = backend(self.model)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.plain = not self.model.character_map and not self.model.remove_extra_spaces and self.model.dummy_prefix
+        self.by_word = not self.model.character_map and not self.model.remove_extra_spaces and self.model.dummy_prefix
+        self.marked = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
+        self.marks = np.array([p.strip(MARK) == "" for p, *_ in self.model.pieces])
+        self.known: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
+        self.unequal: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
@@ -155,22 +166,54 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.own.decode_batch(ids, skip_special_tokens=False)
 
-    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        """Whether the original library gives the same ids. Without a normaliser that changes words, texts are compared
-        by their distinct words, remembered up to SEEN_WORDS."""
-        if not self.plain:
-            return [a == b for a, b in zip(ids, self.original.encode(texts, num_threads=1))]
-        words = [set(re.findall(" *[^ ]+| +", f" {t}")) for t in texts if t]
-        new = list(set().union(*words) - self.seen)
-        bare = [w[1:] for w in new]
-        wrong = {w for w, a, b in zip(new, self.encode(bare), self.original.encode(bare, num_threads=1)) if a != b}
-        if len(self.seen) > SEEN_WORDS:
-            self.seen.clear()
-        self.seen.update(set(new) - wrong)
-        if not wrong:
-            return [True] * len(texts)
-        suspect = [bool(t) and not wrong.isdisjoint(re.findall(" *[^ ]+| +", f" {t}")) for t in texts]
-        return [a == self.original.encode(t) if s else True for t, a, s in zip(texts, ids, suspect)]
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The runs of spaces and the other characters behind them, without the first space; a text begins with one more."""
+        if not text:
+            return []
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [w[1:] for w in re.findall(" *[^ ]+| +", f" {text}")]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode, decode and check new words, many in one text; a text whose checks fail is looked at word by word."""
+        if len(self.known) + len(new) > SEEN_WORDS:
+            self.known.clear()
+        blank = [[w] for w in new if not w.strip(" ")]  # these would melt into the next word
+        words = [w for w in new if w.strip(" ")]
+        groups = blank + [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        texts = [" ".join(g) for g in groups]
+        ids = self.encode(texts)
+        for group, text, i, back, theirs in zip(groups, texts, ids, self.decode(ids), self.original.encode(texts, num_threads=1)):
+            flat = np.array(i, np.int32)
+            # a word begins at a piece with the marker in front, unless just markers come before
+            begins = np.flatnonzero(self.marked[flat] & ~np.append(False, self.marks[flat[:-1]]))
+            if len(begins) == len(group) and back == text and theirs == i:
+                ends, flat = [*(begins[1:] * 4).tolist(), 4 * len(flat)], flat.tobytes()
+                self.known.update((w, flat[x:y]) for w, x, y in zip(group, [0, *ends], ends))
+                continue
+            own = self.encode(group)
+            self.known.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(group, own))
+            self.lossy.update(w for w, back in zip(group, self.decode(own)) if back != w)
+            self.unequal.update(w for w, x in zip(group, own) if x != self.original.encode(w))
+
+    def run(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """For each text its ids, whether decoding gives it back, and whether the original library gives these ids."""
+        if not self.by_word:
+            ids = self.encode(texts)
+            checks = zip(ids, self.decode(ids), texts, self.original.encode(texts, num_threads=1))
+            return [(np.array(i, np.int32), back == t, i == o) for i, back, t, o in checks]
+        cut = [self.words(t) for t in texts]
+        every = set().union(*cut)
+        new = every - self.known.keys()
+        if len(self.known) + len(new) > SEEN_WORDS:
+            new = every
+        if new:
+            self._learn(new)
+        known = self.known.__getitem__
+        ids = [np.frombuffer(b"".join(map(known, ws)), np.int32) for ws in cut]
+        good = lambda bad, ws: not bad or bad.isdisjoint(ws)
+        return [(i, good(self.lossy, ws), good(self.unequal, ws)) for i, ws in zip(ids, cut)]
 
 
 _codecs: dict[str, Codec] = {}
@@ -216,10 +259,8 @@ def encode_documents(
         for batch in batches:
             rows = []
             for part in _pieces(batch.tolist()):
-                texts = [t or "" for t in part]
-                got = own.encode(texts)
-                back, same = own.decode(got), own.parity(texts, got)
-                rows += [(None, 0, None, None) if t is None else (np.array(i, np.int32), len(i), b == t, s) for t, i, b, s in zip(part, got, back, same)]
+                found = own.run([t or "" for t in part])
+                rows += [(None, 0, None, None) if t is None else (i, len(i), back, same) for t, (i, back, same) in zip(part, found)]
             yield pd.DataFrame(rows, columns=["ids", "n", "back", "same"])
 
     encoded = F.pandas_udf(run, "ids array<int>, n long, back boolean, same boolean")

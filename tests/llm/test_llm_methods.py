@@ -233,10 +233,24 @@ def test_merge_model_on_odd_texts():
     original = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     texts = ["", " ", "   a", "a   ", "a  b   c", "<s> </s> <unk> <0x41>", "▁x ▁▁", "\t\n\r", "日本語 😀 ñ", "aaaaaaaaaaaa" * 50, "é" * 30, "x" * 5000, "\u0000a"]
     ids = codec.encode(texts)
-    assert ids == original.encode(texts) and codec.parity(texts, ids) == [True] * len(texts)
+    assert ids == original.encode(texts)
+    for _ in range(2):  # with new and with remembered words
+        found = codec.run(texts)
+        assert [i.tolist() for i, _, _ in found] == ids and all(same for _, _, same in found)
+        assert [back for _, back, _ in found] == [t == codec.decode([i])[0] for t, i in zip(texts, ids)]
     plain = [t for t in texts if "▁" not in t]
     assert codec.decode(codec.encode(plain)) == plain
-    assert codec.parity(["abc def"], [[1, 2, 3]]) == [True]  # words were checked; the ids given are those of encode()
+
+
+def test_codec_forgets_words_and_reports_differences(monkeypatch):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.MODEL)
+    monkeypatch.setattr(sentencepiece_codec, "SEEN_WORDS", 3)
+    texts = ["a b c", "d e", "a b", "f g h i j"]
+    for t in texts:
+        assert codec.run([t])[0][0].tolist() == codec.encode([t])[0]
+    codec.unequal.add("b")
+    codec.lossy.add("e")
+    assert [(x, y) for _, x, y in codec.run(texts)] == [(True, False), (False, True), (True, False), (True, True)]
 
 
 # --- language, quality ---------------------------------------------------------------------------
