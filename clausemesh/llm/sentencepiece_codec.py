@@ -262,6 +262,7 @@ def encode_documents(
                 found = own.run([t or "" for t in part])
                 rows += [(None, 0, None, None) if t is None else (i, len(i), back, same) for t, (i, back, same) in zip(part, found)]
             yield pd.DataFrame(rows, columns=["ids", "n", "back", "same"])
+        own.known.clear()  # the worker lives on, and what comes next may need the memory
 
     encoded = F.pandas_udf(run, "ids array<int>, n long, back boolean, same boolean")
     rows = docs.withColumn(coded, encoded(F.col(text_col)))
