@@ -10,7 +10,7 @@ offset, bytes), and written out again by the text writer, whose rows are raw byt
 byte (the high byte of its length, see `_member`), which serves as line separator, so a file is exactly its members one
 after the other and any WARC reader can read it, from the front or by offset.
 
-Reading: a record is the member found at its offset in the file.
+Reading: archives are walked member by member, and every record has to be where the index lists it.
 """
 
 from __future__ import annotations
@@ -48,7 +48,10 @@ def capture_plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     kinds = pages.select(F.col(id_col).cast("long").alias("page_id"), payload.alias("payload"))
     kinds = kinds.where(F.length("payload") >= MIN_REVISIT_BYTES).groupBy(F.sha2("payload", 256).alias("payload_digest"))
     first = kinds.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = named.join(first, "payload_digest", "left")
+    # as a table its size is known: payloads are shuffled only if it is too large to be sent to the tasks
+    place = fresh_path(pages.sparkSession, "repeated-payloads")
+    first.write.parquet(place)
+    rows = named.join(pages.sparkSession.read.schema("payload_digest string, first long").parquet(place), "payload_digest", "left")
     revisit = large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -94,6 +97,9 @@ def _member(record: bytes, level: int = 6) -> bytes:
     return out if out[-1] == 0 else out + _member(b"")
 
 
+_EMPTY = _member(b"")
+
+
 def _headers(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -156,12 +162,22 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 def normalise(spark: SparkSession, source: str, target: str) -> None:
     """Rewrite the gzip archives below source: `target/archives/archive=NAME/*` with one member for each record, and
     `target/index`, the sidecar (archive, record_id, offset, length)."""
+    cut_members(spark, source, target)
+    write_members(spark, target)
+
+
+def cut_members(spark: SparkSession, source: str, target: str) -> None:
+    """The first half of normalise(): inflate every archive once, and keep its records as members in `target/members`."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # an archive at a time
     try:
         members = _files(spark, source, "*.gz").select("path", "content").mapInArrow(_members, _MEMBERS)
         members.write.parquet(f"{target}/members")
     finally:
         small_batches(spark)
+
+
+def write_members(spark: SparkSession, target: str) -> None:
+    """The second half of normalise(): archives and index from `target/members`."""
     kept = spark.read.schema(_MEMBERS).parquet(f"{target}/members")
     kept.drop("member").write.parquet(f"{target}/index")
     raw = kept.select("archive", "offset", F.substring("member", 1, F.length("member") - 1).cast("string").alias("value"))
@@ -169,39 +185,57 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
     raw.write.partitionBy("archive").option("compression", "none").option("lineSep", "\u0000").text(f"{target}/archives")
 
 
+def members(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, headers and bytes of the records of an archive of one member for each record."""
+    at = 0
+    while at < len(data):
+        stream, parts, size = zlib.decompressobj(31), [], 0
+        while not stream.eof and at + size < len(data):  # in pieces, as what lies behind a member is copied
+            piece = data[at + size : at + size + (1 << 14)]
+            parts.append(stream.decompress(piece))
+            size += len(piece)
+        if not stream.eof:
+            raise ValueError("the archive ends inside a member")
+        record = b"".join(parts)
+        size -= len(stream.unused_data)
+        if data[at + size : at + size + len(_EMPTY)] == _EMPTY:  # what _member() adds to a very long record
+            size += len(_EMPTY)
+        yield at, size, _headers(record[: record.find(_END)]), record
+        at += size
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    page = lambda urn: None if urn is None or urn == "<urn:page:none>" else int(urn[10:-1])
+    fields = [("archive", pa.string()), ("record_id", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()),
+              ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())]
     for batch in batches:
-        out = []
-        for content, index in zip(batch.column(0), batch.column(1)):
-            data = memoryview(content.as_buffer())
-            for at in index.as_py():
-                [(head, record)] = list(records(bytes(data[at["offset"] : at["offset"] + at["length"]])))
-                if head["warc-record-id"] != at["record_id"]:
-                    raise ValueError(f"the index names {at['record_id']}, the archive has {head['warc-record-id']}")
+        for content, name in zip(batch.column(0), batch.column(1).to_pylist()):
+            out = []
+            for offset, length, head, record in members(content.as_py()):
                 block = record[record.find(_END) + 4 : -4]
                 payload = block[block.find(_END) + 4 :]
                 digest = head["warc-payload-digest"].partition(":")[2]
                 if head["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(head["x-payload-length"])):
-                    raise ValueError(f"the payload of {at['record_id']} differs from its digest")
-                page = lambda urn: None if urn is None or urn == "<urn:page:none>" else int(urn[10:-1])
-                out.append((page(head["warc-record-id"]), int(head["x-payload-length"]), digest, head["warc-type"], page(head.get("warc-refers-to")), head["warc-target-uri"]))
-        columns = list(zip(*out)) or [()] * 6
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, type=t) for c, t in zip(columns, types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
-        )
+                    raise ValueError(f"the payload of {head['warc-record-id']} differs from its digest")
+                out.append((name, head["warc-record-id"], offset, length, page(head["warc-record-id"]), int(head["x-payload-length"]), digest, head["warc-type"],
+                            page(head.get("warc-refers-to")), head["warc-target-uri"]))
+            columns = list(zip(*out)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
-    """The records of normalised archives, each found by its offset, and checked against its digest and id."""
+    """The records of normalised archives, checked against their digests; each must be where the index says, else the
+    read fails. Archives are read where they are, and only their records' figures meet the index."""
     small_batches(spark)
     index = spark.read.schema(_INDEX).parquet(f"{target}/index")
-    index = index.groupBy("archive").agg(F.collect_list(F.struct("record_id", "offset", "length")).alias("entries"))  # RECORDS_PER_FILE at most
     files = _files(spark, f"{target}/archives", "*.txt").select("content", F.regexp_extract("path", "/archive=([^/]+)/", 1).alias("name"))
-    both = files.join(index, F.col("name") == F.col("archive"))
-    return both.select("content", "entries").mapInArrow(
-        _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
+    found = files.mapInArrow(
+        _read, f"{_INDEX}, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
     )
+    placed = found.join(index.withColumn("_listed", F.lit(True)), ["archive", "record_id", "offset", "length"], "full_outer")
+    wrong = F.raise_error(F.concat(F.lit("archive and index differ at "), "archive", F.lit(" "), F.col("offset").cast("string")))
+    ok = F.when(F.col("_listed").isNotNull() & F.col("record_type").isNotNull(), F.col("record_type")).otherwise(wrong.cast("string"))
+    return placed.select("page_id", "payload_bytes", "payload_digest", ok.alias("record_type"), "refers_to", "target_uri")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -209,5 +243,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     raw, target = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc")
     write_archives(capture_plan(pages, id_col, url_col, html_col), raw)
-    normalise(spark, raw, target)
+    cut_members(spark, raw, target)
+    path = spark._jvm.org.apache.hadoop.fs.Path(raw)  # its records are kept as members now
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    write_members(spark, target)
     return read_archives(spark, target)
