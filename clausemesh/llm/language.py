@@ -6,7 +6,7 @@ the two states at a byte give the probabilities of its language. A document's pr
 of its letters. Every byte of a text is read: a text is cut into segments, the last one padded.
 
 The net is fitted on the driver on a bounded sample: at most DOCS_PER_LANG documents of each language, chosen by the
-hash of their text, and of each at most SEGMENTS_PER_DOC segments spread evenly over the whole text. Prediction runs in
+hash of their id, and of each at most SEGMENTS_PER_DOC segments spread evenly over the whole text. Prediction runs in
 Arrow batches on all documents, with the net (some thousands of numbers) sent along.
 """
 
@@ -19,9 +19,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.scan import first_rows
 from .common import small_batches
 from .words import strings
 
@@ -207,13 +207,18 @@ def held_out(id_col: str):
 
 
 def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """lang, segment: at most per_lang x SEGMENTS_PER_DOC rows of each language. A null id is learned from."""
-    own = F.coalesce(held_out(id_col), F.lit(False))
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~own)
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_lang)
+    """lang, segment: at most per_lang x SEGMENTS_PER_DOC rows of each language.
+
+    Documents are chosen by id and language alone, so only numbers are shuffled; then their texts are looked up, one for
+    each id. Documents without an id, or without a letter, are not learned from.
+    """
+    key = F.col(id_col).cast("long").alias("k_id")
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(key, F.col(lang_col).alias("lang"))
+    chosen = first_rows(known, ["lang"], [F.xxhash64("k_id"), F.col("k_id")], per_lang).distinct()
+    rows = docs.where(F.col(text_col).rlike(r"\p{L}")).select(key, F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    rows = first_rows(rows.join(F.broadcast(chosen), ["k_id", "lang"]), ["k_id", "lang"], [F.xxhash64("text")])
     size = F.length("text")
-    step = F.greatest(F.lit(SEGMENT), F.floor(size / SEGMENTS_PER_DOC)).cast("int")
+    step = F.greatest(F.lit(SEGMENT), F.ceil(size / SEGMENTS_PER_DOC)).cast("int")
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), size - 1), step))
     return rows.select("lang", "text", at.alias("at")).select("lang", F.substring("text", F.col("at") + 1, F.lit(SEGMENT)).alias("segment"))
 
