@@ -227,13 +227,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.join(of_fp, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The documents, one of each group of near copies: that of the smallest id (a null id comes last), and among rows
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, one of each group (k_id, k_h, root): that of the smallest id (a null id comes last), and among rows
     of that id the one with the smallest hash of its text. Of rows equal in id and text one stays.
     """
     a, b = unused(docs, "_id", "_hash")
-    groups = near_groups(docs, id_col, text_col, budget)
     best = groups.groupBy("root").agg(F.min(F.struct(id_of().isNull(), "k_id", "k_h")).alias("best"))
     best = best.select(F.col("best.k_id").alias(a), F.col("best.k_h").alias(b)).distinct()
     rows = docs.withColumns({a: key_id(id_col), b: F.xxhash64(F.col(text_col))}).join(best, [a, b], "left_semi")
     return rows.dropDuplicates([a, b]).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """The documents, one of each group of near copies; which one, see one_of_each()."""
+    return one_of_each(docs, near_groups(docs, id_col, text_col, budget), id_col, text_col)
