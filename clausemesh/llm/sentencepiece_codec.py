@@ -7,8 +7,7 @@ scores of the pieces they make; characters outside the vocabulary as bytes. Batc
 threads. No piece may hold the marker behind another character; words can then be cut before the marker without any
 effect on the result, which lets the backend reuse words it has seen.
 
-Parity with the original library, and that decoding gives the text back, are verified on every distinct word of the rows
-that a task reads; a row's checks hold if those of all its words do.
+Parity with the original library, and that decoding gives the text back, are verified on the ids of every whole text.
 """
 
 from __future__ import annotations
@@ -141,8 +140,8 @@ class Codec:
     """Encoder, decoder and check of one model file; made once in a worker.
 
     Where the normaliser only marks spaces, a text is encoded by its words: each distinct word goes once through the
-    backend, back through its decoder and through the original library, in batches, and is remembered (up to SEEN_WORDS,
-    then all are forgotten). The ids of a text are those of its words one after the other.
+    backend, in batches, and is remembered (up to SEEN_WORDS, then all are forgotten). The ids of a text are those of its
+    words one after the other; these are decoded, and compared with those of the original library, for each whole text.
     """
 
     def __init__(self, path: str):
@@ -157,6 +156,12 @@ class Codec:
         self.marked = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
         self.marks = np.array([p.strip(MARK) == "" for p, *_ in self.model.pieces])
         self.known: dict[str, bytes] = {}
+        #: A single space at the end of a text, which words() gives as an empty word, is a marker with nothing behind it.
+        a, with_space = self.encode(["a", "a "])
+        self.last_space = np.array(with_space[len(a) :], np.int32).tobytes()
+        #: What a piece decodes to, as bytes.
+        self.plain = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+        #: Words whose rows fail a check whatever their ids give.
         self.lossy: set[str] = set()
         self.unequal: set[str] = set()
 
@@ -176,26 +181,25 @@ class Codec:
         return [w[1:] for w in re.findall(" *[^ ]+| +", f" {text}")]
 
     def _learn(self, new: set[str]) -> None:
-        """Encode, decode and check new words, many in one text; a text whose checks fail is looked at word by word."""
+        """Encode new words, many in one text; a text that does not fall into its words is encoded word by word."""
         if len(self.known) + len(new) > SEEN_WORDS:
             self.known.clear()
         blank = [[w] for w in new if not w.strip(" ")]  # these would melt into the next word
         words = [w for w in new if w.strip(" ")]
         groups = blank + [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
-        texts = [" ".join(g) for g in groups]
-        ids = self.encode(texts)
-        for group, text, i, back, theirs in zip(groups, texts, ids, self.decode(ids), self.original.encode(texts, num_threads=1)):
+        for group, i in zip(groups, self.encode([" ".join(g) for g in groups])):
             flat = np.array(i, np.int32)
             # a word begins at a piece with the marker in front, unless just markers come before
             begins = np.flatnonzero(self.marked[flat] & ~np.append(False, self.marks[flat[:-1]]))
-            if len(begins) == len(group) and back == text and theirs == i:
+            if len(begins) == len(group):
                 ends, flat = [*(begins[1:] * 4).tolist(), 4 * len(flat)], flat.tobytes()
                 self.known.update((w, flat[x:y]) for w, x, y in zip(group, [0, *ends], ends))
-                continue
-            own = self.encode(group)
-            self.known.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(group, own))
-            self.lossy.update(w for w, back in zip(group, self.decode(own)) if back != w)
-            self.unequal.update(w for w, x in zip(group, own) if x != self.original.encode(w))
+            else:
+                self.known.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(group, self.encode(group)))
+
+    def _gives(self, ids: list[int], text: str) -> bool:
+        """Whether the ids decode to the text; the backend decides unless the bytes of the pieces are those of the text."""
+        return b"".join(map(self.plain.__getitem__, ids)) == (b" " if ids else b"") + text.encode() or self.decode([ids])[0] == text
 
     def run(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """For each text its ids, whether decoding gives it back, and whether the original library gives these ids."""
@@ -204,16 +208,19 @@ class Codec:
             checks = zip(ids, self.decode(ids), texts, self.original.encode(texts, num_threads=1))
             return [(np.array(i, np.int32), back == t, i == o) for i, back, t, o in checks]
         cut = [self.words(t) for t in texts]
-        every = set().union(*cut)
+        every = set().union(*cut) - {""}
         new = every - self.known.keys()
         if len(self.known) + len(new) > SEEN_WORDS:
             new = every
         if new:
             self._learn(new)
         known = self.known.__getitem__
-        ids = [np.frombuffer(b"".join(map(known, ws)), np.int32) for ws in cut]
+        glued = [b"".join(map(known, ws)) if not ws or ws[-1] else b"".join(map(known, ws[:-1])) + self.last_space for ws in cut]
+        ids = [np.frombuffer(g, np.int32) for g in glued]
+        lists = [i.tolist() for i in ids]
         good = lambda bad, ws: not bad or bad.isdisjoint(ws)
-        return [(i, good(self.lossy, ws), good(self.unequal, ws)) for i, ws in zip(ids, cut)]
+        checks = zip(ids, lists, cut, texts, self.original.encode(texts, num_threads=1))
+        return [(i, self._gives(own, t) and good(self.lossy, ws), own == theirs and good(self.unequal, ws)) for i, own, ws, t, theirs in checks]
 
 
 _codecs: dict[str, Codec] = {}
