@@ -6,7 +6,8 @@ fitted on labelled documents. In each round, each model scores every unlabelled
 documents it is surest of, GIVEN of each class and only above CONFIDENCE, with their pseudo-labels to the other model,
 which is fitted again. In the end each view is calibrated on labelled documents that no fit has seen, the two calibrated
 log-odds are combined by a last logistic model, and all documents are scored. A document is good if its quality is 1
-and it is not toxic.
+and it is not toxic. Words are chosen for poor and for toxic documents apart, and a model of its own tells toxic content
+from other; a document's score is never above its probability of not being toxic.
 
 The fits run on the driver on a bounded sample: at most MAX_LABELLED labelled documents, chosen by the hash of their id,
 and 2 x GIVEN pseudo-labelled ones for each view and round. Everything else covers all documents: the texts are read
@@ -208,6 +209,8 @@ class CoTrained:
     calibration: tuple[tuple[float, float], tuple[float, float]]
     combination: Logistic
     n_words: int
+    clean: Logistic | None = None
+    clean_scale: tuple[float, float] = (1.0, 0.0)
 
     def odds(self, frame: pd.DataFrame) -> np.ndarray:
         """Calibrated log-odds of both views: (rows, 2)."""
@@ -216,7 +219,11 @@ class CoTrained:
 
     def scores(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         odds = self.odds(frame)
-        return odds, 1 / (1 + np.exp(-np.clip(self.combination.odds(odds), -30, 30)))
+        least = self.combination.odds(odds)
+        if self.clean is not None:
+            a, b = self.clean_scale
+            least = np.minimum(least, a * self.clean.odds(content_matrix(frame["shapes"], frame["present"], self.n_words)) + b)
+        return odds, 1 / (1 + np.exp(-np.clip(least, -30, 30)))
 
 
 def _platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -231,11 +238,13 @@ def _platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _labels(labels: DataFrame, limit: int) -> DataFrame:
-    """k_id, good (1 or 0): at most `limit` rows, by the hash of the id. A document with labels that disagree is bad; a
-    document without any label value is none."""
+    """k_id, good, rich and clean (1 or 0; the last two are null without a label of quality or toxic): at most `limit` rows,
+    by the hash of the id. A document with labels that disagree is bad; a document without any label value is none."""
     rows = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
     good = (F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    rows = rows.groupBy(key_id("doc_id").alias("k_id")).agg(F.min(good.cast("int")).alias("good"))
+    rows = rows.groupBy(key_id("doc_id").alias("k_id")).agg(
+        F.min(good.cast("int")).alias("good"), F.min((F.col("quality") == 1).cast("int")).alias("rich"), F.min((F.col("toxic") == 0).cast("int")).alias("clean")
+    )
     return rows.orderBy(F.xxhash64("k_id"), "k_id").limit(limit)
 
 
@@ -256,7 +265,7 @@ def _surest(figures: DataFrame, columns: list[str], odds: Callable[[pd.DataFrame
 
 
 def co_train(figures: DataFrame, n_words: int, rounds: int = ROUNDS, given: int = GIVEN, confidence: float = CONFIDENCE) -> CoTrained | None:
-    """Fit both views on figures (k_id, k_h, shapes, present, meta, good); None without labels of both classes."""
+    """Fit both views on figures (k_id, k_h, shapes, present, meta, good, clean); None without labels of both classes."""
     known = figures.where("good is not null").toPandas().sort_values(["k_id", "k_h"], ignore_index=True)
     if known["good"].nunique() < 2:
         return None
@@ -289,7 +298,15 @@ def co_train(figures: DataFrame, n_words: int, rounds: int = ROUNDS, given: int
         models = [fit[i](sets[i]) for i in (0, 1)]
     scales = tuple(_platt(models[i].odds(read[i](test)), y) for i in (0, 1))
     odds = np.stack([a * models[i].odds(read[i](test)) + b for i, (a, b) in enumerate(scales)], axis=1)
-    return CoTrained(models[0], models[1], scales, fit_logistic(odds, y, penalty=1e-4, steps=400), n_words)
+    clean, clean_scale = None, (1.0, 0.0)
+    if known["clean"].nunique() == 2:
+        told = known["clean"].notna().to_numpy()
+        learn, prove = known[told & ~held], known[told & held]
+        if learn["clean"].nunique() < 2 or prove["clean"].nunique() < 2:
+            learn = prove = known[told]
+        clean = fit_logistic(content(learn), learn["clean"].to_numpy(float), dense=2 * SHAPES)
+        clean_scale = _platt(clean.odds(content(prove)), prove["clean"].to_numpy(float))
+    return CoTrained(models[0], models[1], scales, fit_logistic(odds, y, penalty=1e-4, steps=400), n_words, clean, clean_scale)
 
 
 def classify(
@@ -305,11 +322,12 @@ def classify(
     small_batches(docs.sparkSession)
     known = cut_lineage(_labels(labels, max_labelled))
     keys = [key_id(id_col).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_h"), F.col(text_col).alias("text")]
-    sample = docs.select(*keys).join(F.broadcast(known), "k_id").select("good", "text")
-    words = choose_words(sample)
+    sample = docs.select(*keys).join(F.broadcast(known), "k_id")
+    apart = [choose_words(sample.where(F.col(c).isNotNull()).select(F.col(c).alias("good"), "text")) for c in ("rich", "clean")]
+    words = np.union1d(*apart)
     rows = docs.select(*keys, _metadata(text_col, source_col, lang_col).alias("meta"))
     figures = rows.mapInArrow(_figures(words), "k_id long, k_h long, shapes array<float>, present array<smallint>, meta array<float>")
-    figures = cut_lineage(figures.join(F.broadcast(known), "k_id", "left"))
+    figures = cut_lineage(figures.join(F.broadcast(known.select("k_id", "good", "clean")), "k_id", "left"))
     model = co_train(figures, len(words))
     if model is None:
         empty = F.lit(None).cast("double")
