@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontamination, language, line_dedup, merkle, quality, secrets, sentencepiece_codec, sharding, simhash, warc
+from . import decontamination, hard_negatives, language, line_dedup, merkle, multi_index, pair_maxscore, quality, secrets, sentencepiece_codec, sharding, simhash, warc
 from .common import id_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +190,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         id_of().alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op11_angular_hard_negatives",
+    """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_dot_product(a.v::DOUBLE[], r.v::DOUBLE[])::BIGINT AS score
+      FROM e a JOIN e r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every positive of every anchor."""
+    return hard_negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_multi_index_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every row whose id is divisible by 20."""
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(
+    "op13_pair_maxscore",
+    r"""
+WITH low AS (SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+             UNION ALL SELECT 'i', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM low),
+d AS (SELECT id AS doc_id, ws, len(ws) AS n FROM w WHERE side = 'd' AND len(ws) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
+i AS (SELECT DISTINCT id AS item_id, unnest(ws) AS term FROM w WHERE side = 'i'),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, g GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+      FROM i JOIN tf USING (term) JOIN wt USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER r)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r <= 10""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    found = pair_maxscore.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
