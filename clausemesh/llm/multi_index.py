@@ -33,9 +33,11 @@ from .query_blocks import Batches, Best, column, in_blocks, lists, matrix, passe
 WORDS, SUB = 4, 16
 BITS = 64 * WORDS
 PARTS = BITS // SUB
-SAMPLE, SAMPLE_QUERIES, AIM = 8192, 512, 0.98
+SAMPLE, SAMPLE_QUERIES, AIM = 8192, 512, 0.95
 TURNS = 30
 QUERIES_AT_ONCE, SEGMENT_ROWS = 4096, 16384
+#: One value in FEW is within the tolerance, or fewer: rows are looked up by value.
+FEW = 64
 
 _ROW = "id long, v array<double>, words array<long>, w0 long"
 _SEGMENT = "ids array<long>, owners array<int>, vectors array<double>, words array<long>, orders array<int>"
@@ -175,23 +177,33 @@ class _Segment:
         self.words = column(batch, "words", row).reshape(n, WORDS).view(np.uint64)
         self.orders = column(batch, "orders", row).reshape(PARTS, n)
         subs = _substrings(self.words)
-        self.values, self.begin = [], []
+        self.columns = np.ascontiguousarray(self.words.T)
+        self.values, self.begin, self.place = [], [], np.zeros((PARTS, n), np.int32)
         for j in range(PARTS):
-            value, begin = np.unique(subs[self.orders[j], j], return_index=True)
+            value, begin, place = np.unique(subs[self.orders[j], j], return_index=True, return_inverse=True)
             self.values.append(value)
             self.begin.append(np.append(begin, n))
+            self.place[j, self.orders[j]] = place
 
     def within(self, words: np.ndarray, subs: np.ndarray, radius: int, tolerance: list[int]) -> np.ndarray:
         """Rows whose code differs from the query's in at most `radius` bits."""
         seen = np.zeros(len(self.words), bool)
         for j in range(PARTS):
-            near = np.flatnonzero(np.bitwise_count(self.values[j] ^ subs[j]) <= tolerance[j]) if tolerance[j] >= 0 else ()
-            if len(near):
+            if tolerance[j] < 0:
+                continue
+            hit = np.bitwise_count(self.values[j] ^ subs[j]) <= tolerance[j]
+            near = np.flatnonzero(hit)
+            if len(near) > len(hit) // FEW:  # many values: mark rows by the flag of their value
+                seen |= hit[self.place[j]]
+            elif len(near):
                 begin, many = self.begin[j][near], self.begin[j][near + 1] - self.begin[j][near]
                 places = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
                 seen[self.orders[j][places]] = True
         rows = np.flatnonzero(seen)
-        return rows[np.bitwise_count(self.words[rows] ^ words).sum(axis=1, dtype=np.int64) <= radius]
+        differ = np.zeros(len(rows), np.uint16)
+        for w in range(WORDS):
+            differ += np.bitwise_count(self.columns[w][rows] ^ words[w])
+        return rows[differ <= radius]
 
 
 def _search(block: dict, k: int) -> Callable[[Batches], Batches]:
