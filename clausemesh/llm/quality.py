@@ -1,18 +1,21 @@
 """Quality classifier by co-training.
 
 Two views of a document: its content (which of the selected words it holds, and shape figures such as the share of
-repeated words or of punctuation) and its metadata (source, language, length, lines). A logistic model of each view is
-fitted on labelled documents. In each round, each model scores every unlabelled document of the corpus and hands the
-documents it is surest of, GIVEN of each class and only above CONFIDENCE, with their pseudo-labels to the other model,
-which is fitted again. In the end each view is calibrated on labelled documents that no fit has seen, the two calibrated
-log-odds are combined by a last logistic model, and all documents are scored. A document is good if its quality is 1
-and it is not toxic. Words are chosen for poor and for toxic documents apart, and a model of its own tells toxic content
-from other; a document's score is never above its probability of not being toxic.
-
-The fits run on the driver on a bounded sample: at most MAX_LABELLED labelled documents, chosen by the hash of their id,
-and 2 x GIVEN pseudo-labelled ones for each view and round. Everything else covers all documents: the texts are read
-once to choose words (sampled rows only) and once to turn every document into a small row of figures, on which rounds
-and scores run.
+repeated words or of punctuation) and its metadata (source, language, and the text's length and number of lines). A
+logistic model of each view is fitted on labelled documents. In each round, each model scores every unlabelled text of the
+corpus and hands its surest ones to the other model, which is fitted again: those beyond the odds of its surest TAIL of the
+held-out documents on either side, GIVEN different texts of each class at most. How often a view is right in that tail is
+measured on the held-out documents, and a pseudo-label weighs as much as its view is better than chance there; a tail
+that is right less often than SURE hands over nothing. In the end each view is calibrated on the held-out documents,
+which no fit and no choice of words has seen, the two calibrated log-odds are combined by a last logistic model, and all
+documents are scored. A document is good if its quality is 1 and it is not toxic. Words are chosen for poor and for toxic
+documents apart, and a model of its own tells toxic content from other; a document's score is never above its probability
+of not being toxic.
+
+The fits run on the driver on a bounded sample: at most MAX_LABELLED labelled texts, one of each labelled id, chosen by the
+hash of the id, and 2 x GIVEN pseudo-labelled ones for each view and round. Everything else covers all documents: the texts
+are read once to choose words (sampled rows only) and once to turn every document into a small row of figures, on which
+rounds and scores run.
 """
 
 from __future__ import annotations
@@ -33,16 +36,17 @@ from .words import Block, blocks
 MAX_LABELLED = 20_000
 ROUNDS = 2
 GIVEN = 500
-CONFIDENCE = 0.97
+TAIL, SURE = 0.1, 0.6
 BUCKETS = 1 << 20
 MAX_WORDS = 512
-MIN_DOCS = 5
+MIN_DOCS = 4
 MIN_Z = 5.0
 THRESHOLD = 0.5
 HELD_OUT = 0.25
 SHAPES = 9
 SOURCES = 64
-_META = 2 * SOURCES + 4
+SIZES = 24
+_META = 2 * SOURCES + 4 + 2 * SIZES
 
 
 # --- figures of a text ---------------------------------------------------------------------------
@@ -156,28 +160,34 @@ class Logistic:
     bias: float
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights + self.bias
+        own = self.weights / self.scale
+        return x @ own.astype(x.dtype) + (self.bias - float(self.mean @ own))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300, dense: int | None = None) -> Logistic:
-    """Full-batch Adam on the mean log loss with an L2 penalty. Only the first `dense` columns are standardised."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300, dense: int | None = None, weights: np.ndarray | None = None) -> Logistic:
+    """Full-batch Adam on the weighted mean log loss with an L2 penalty. Only the first `dense` columns are standardised,
+    for which x is changed and changed back, so that there is no second copy of it."""
     mean, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
     k = x.shape[1] if dense is None else dense
+    part = np.ones(len(y)) if weights is None else weights
+    part = part / max(part.sum(), 1e-9)
+    own = x[:, :k].copy()
     if len(x):
-        mean[:k], scale[:k] = _standard(x[:, :k])
-    z = ((x - mean) / scale).astype(np.float32)
+        mean[:k], scale[:k] = _standard(own.astype(float))
+    x[:, :k] = (own - mean[:k]) / scale[:k]
     w = np.zeros(x.shape[1] + 1)
     if len(y):
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        share = np.clip(part @ y, 1e-3, 1 - 1e-3)
         w[-1] = np.log(share / (1 - share))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(z @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
-        e = (p - y) / max(1, len(y))
-        g = np.append(z.T @ e.astype(np.float32) + penalty * w[:-1], e.sum())
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
+        e = (p - y) * part
+        g = np.append(x.T @ e.astype(x.dtype) + penalty * w[:-1], e.sum())
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= 0.1 * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    x[:, :k] = own
     return Logistic(mean, scale, w[:-1], float(w[-1]))
 
 
@@ -199,6 +209,8 @@ def meta_matrix(meta: list) -> np.ndarray:
     out[:, :4] = rows[:, 2:]
     out[at, 4 + rows[:, 0].astype(int)] = 1
     out[at, 4 + rows[:, 1].astype(int)] = 1
+    for i, (column, unit) in enumerate(((2, 10), (3, 5))):  # doublings of length and of lines
+        out[at, 4 + 2 * SOURCES + i * SIZES + np.minimum(rows[:, column] * (unit / np.log(2)), SIZES - 1).astype(int)] = 1
     return out
 
 
@@ -211,6 +223,8 @@ class CoTrained:
     n_words: int
     clean: Logistic | None = None
     clean_scale: tuple[float, float] = (1.0, 0.0)
+    #: For each round what the content view and the metadata view handed over: good and bad documents.
+    given: tuple[tuple[tuple[int, int], tuple[int, int]], ...] = ()
 
     def odds(self, frame: pd.DataFrame) -> np.ndarray:
         """Calibrated log-odds of both views: (rows, 2)."""
@@ -248,65 +262,101 @@ def _labels(labels: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("k_id"), "k_id").limit(limit)
 
 
-def _surest(figures: DataFrame, columns: list[str], odds: Callable[[pd.DataFrame], np.ndarray], given: int, confidence: float) -> pd.DataFrame:
-    """The unlabelled documents of the highest and lowest log-odds beyond the confidence, `given` of each, ties by id."""
+def labelled_texts(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """k_h, good, rich, clean, held: one text of each labelled id (the smallest hash), each text once. Labels of equal texts
+    are combined like labels of one document. held marks the HELD_OUT that only calibration and measures see."""
+    one = keys.join(F.broadcast(known), "k_id").groupBy("k_id", "good", "rich", "clean").agg(F.min("k_h").alias("k_h"))
+    rows = one.groupBy("k_h").agg(*[F.min(c).alias(c) for c in ("good", "rich", "clean")])
+    return rows.withColumn("held", F.pmod(F.xxhash64("k_h", F.lit("held")), F.lit(1000)) < int(1000 * HELD_OUT))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for frame in batches:
-            yield pd.Series(odds(frame))
 
-    edge = float(np.log(confidence / (1 - confidence)))
-    rows = figures.where("good is null").withColumn("odds", score(F.struct(*columns)))
-    every = ["k_id", "k_h", "shapes", "present", "meta"]
-    top = rows.where(F.col("odds") >= edge).orderBy(F.desc("odds"), "k_id", "k_h").limit(given).select(*every, F.lit(1).alias("good"))
-    low = rows.where(F.col("odds") <= -edge).orderBy("odds", "k_id", "k_h").limit(given).select(*every, F.lit(0).alias("good"))
-    return top.union(low).toPandas()
+_EVERY = ["k_h", "shapes", "present", "meta"]
 
 
-def co_train(figures: DataFrame, n_words: int, rounds: int = ROUNDS, given: int = GIVEN, confidence: float = CONFIDENCE) -> CoTrained | None:
-    """Fit both views on figures (k_id, k_h, shapes, present, meta, good, clean); None without labels of both classes."""
-    known = figures.where("good is not null").toPandas().sort_values(["k_id", "k_h"], ignore_index=True)
+def _surest(figures: DataFrame, columns: list[str], odds: Callable[[pd.DataFrame], np.ndarray], edges: tuple[float, float], given: int) -> pd.DataFrame:
+    """The unlabelled texts of the highest and lowest log-odds beyond the edges, `given` of each, ties by the text's hash."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for frame in batches:
+            yield pd.Series(np.asarray(odds(frame), float))
+
+    rows = figures.where("good is null").select("k_h", score(F.struct(*columns)).alias("odds"))
+    rows = rows.where((F.col("odds") <= edges[0]) | (F.col("odds") >= edges[1])).groupBy("k_h").agg(F.max("odds").alias("odds"))
+    top = rows.where(F.col("odds") >= edges[1]).orderBy(F.desc("odds"), F.hash("k_h"), "k_h").limit(given).select("k_h", F.lit(1).alias("good"))
+    low = rows.where(F.col("odds") <= edges[0]).orderBy("odds", F.hash("k_h"), "k_h").limit(given).select("k_h", F.lit(0).alias("good"))
+    chosen = F.broadcast(top.union(low).dropDuplicates(["k_h"]))
+    return figures.select(*_EVERY).join(chosen, "k_h").dropDuplicates(["k_h"]).toPandas().sort_values("k_h", ignore_index=True)
+
+
+def _tail(odds: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Edges of the surest TAIL of held-out documents on the bad and on the good side, and the weight of a pseudo-label
+    there: 2 p - 1, p the share that is right, or 0 and an edge that nothing reaches if p is below SURE."""
+    edges, weights = [-np.inf, np.inf], [0.0, 0.0]
+    for side, sign in ((0, -1), (1, 1)):
+        edge = np.quantile(sign * odds, 1 - TAIL)
+        inside = sign * odds >= edge
+        p = ((y[inside] == side).sum() + 1) / (inside.sum() + 2)
+        if p >= SURE:
+            edges[side], weights[side] = float(sign * edge), 2 * float(p) - 1
+    return (edges[0], edges[1]), (weights[0], weights[1])
+
+
+def co_train(figures: DataFrame, n_words: int, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained | None:
+    """Fit both views on figures (k_h, shapes, present, meta, good, clean, held); None without labels of both classes."""
+    known = figures.where("good is not null").select(*_EVERY, "good", "clean", "held").dropDuplicates(["k_h"])
+    known = known.toPandas().sort_values("k_h", ignore_index=True)
     if known["good"].nunique() < 2:
         return None
-    rng = np.random.default_rng(11)
-    held = rng.random(len(known)) < HELD_OUT
+    held = known["held"].to_numpy(bool)
     if known["good"][held].nunique() < 2 or known["good"][~held].nunique() < 2:
-        held[:] = False
+        held = np.zeros(len(known), bool)  # too few labels to hold any out
     test = known[held] if held.any() else known
-    sets = [known[~held], known[~held]]
+    learn = known[~held].assign(weight=1.0)
     content = lambda f: content_matrix(f["shapes"], f["present"], n_words)
-    fit = (
-        lambda f: fit_logistic(content(f), f["good"].to_numpy(float), dense=2 * SHAPES),
-        lambda f: fit_logistic(meta_matrix(f["meta"]), f["good"].to_numpy(float), penalty=1e-2, dense=4),
-    )
     read = (content, lambda f: meta_matrix(f["meta"]))
     columns = (["shapes", "present"], ["meta"])
+    fit = lambda i, f: fit_logistic(
+        read[i](f), f["good"].to_numpy(float), penalty=(1e-3, 1e-2)[i], dense=(2 * SHAPES, 4)[i], weights=f["weight"].to_numpy(float)
+    )
     y = test["good"].to_numpy(float)
-
-    def calibrated(i: int, model: Logistic) -> Callable[[pd.DataFrame], np.ndarray]:
-        a, b = _platt(model.odds(read[i](test)), y)
-        return lambda frame: a * model.odds(read[i](frame)) + b
-
-    models = [fit[i](sets[i]) for i in (0, 1)]
+    sets, counts = [learn, learn], []
+    models = [fit(i, sets[i]) for i in (0, 1)]
     for _ in range(rounds):
-        found = [_surest(figures, columns[i], calibrated(i, models[i]), given, confidence) for i in (0, 1)]
+        found = []
+        for i in (0, 1):
+            edges, weights = _tail(models[i].odds(read[i](test)), y)
+            more = _surest(figures, columns[i], lambda f, i=i, m=models[i]: m.odds(read[i](f)), edges, given)
+            found.append(more.assign(weight=more["good"].map({0: weights[0], 1: weights[1]}).astype(float)))
+        counts.append(tuple((int((f["good"] == 1).sum()), int((f["good"] == 0).sum())) for f in found))
         for i in (0, 1):
             more = found[1 - i]
-            more = more[~more.set_index(["k_id", "k_h"]).index.isin(sets[i].set_index(["k_id", "k_h"]).index)]
-            sets[i] = pd.concat([sets[i], more], ignore_index=True)
-        models = [fit[i](sets[i]) for i in (0, 1)]
+            sets[i] = pd.concat([sets[i], more[~more["k_h"].isin(sets[i]["k_h"])]], ignore_index=True)
+        models = [fit(i, sets[i]) for i in (0, 1)]
     scales = tuple(_platt(models[i].odds(read[i](test)), y) for i in (0, 1))
-    odds = np.stack([a * models[i].odds(read[i](test)) + b for i, (a, b) in enumerate(scales)], axis=1)
+    odds = np.stack([a * models[i].odds(read[i](test)) + b for i, (a, b) in enumerate(scales)], axis=1).astype(float)
     clean, clean_scale = None, (1.0, 0.0)
     if known["clean"].nunique() == 2:
         told = known["clean"].notna().to_numpy()
-        learn, prove = known[told & ~held], known[told & held]
-        if learn["clean"].nunique() < 2 or prove["clean"].nunique() < 2:
-            learn = prove = known[told]
-        clean = fit_logistic(content(learn), learn["clean"].to_numpy(float), dense=2 * SHAPES)
+        some, prove = known[told & ~held], known[told & held]
+        if some["clean"].nunique() < 2 or prove["clean"].nunique() < 2:
+            some = prove = known[told]
+        clean = fit_logistic(content(some), some["clean"].to_numpy(float), dense=2 * SHAPES)
         clean_scale = _platt(clean.odds(content(prove)), prove["clean"].to_numpy(float))
-    return CoTrained(models[0], models[1], scales, fit_logistic(odds, y, penalty=1e-4, steps=400), n_words, clean, clean_scale)
+    return CoTrained(models[0], models[1], scales, fit_logistic(odds, y, penalty=1e-4, steps=400), n_words, clean, clean_scale, tuple(counts))
+
+
+def figures_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, max_labelled: int) -> tuple[DataFrame, int]:
+    """(k_id, k_h, shapes, present, meta, good, clean, held) of every row, and the number of selected words."""
+    small_batches(docs.sparkSession)
+    own = docs.select(key_id(id_col).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_h"), F.col(text_col).alias("text"), _metadata(text_col, source_col, lang_col).alias("meta"))
+    known = cut_lineage(labelled_texts(own.select("k_id", "k_h"), _labels(labels, max_labelled)))
+    learn = known.where("not held") if known.where("not held").select("good").distinct().count() == 2 else known
+    sample = own.select("k_h", "text").join(F.broadcast(learn), "k_h").dropDuplicates(["k_h"])
+    apart = [choose_words(sample.where(F.col(c).isNotNull()).select(F.col(c).alias("good"), "text")) for c in ("rich", "clean")]
+    words = np.union1d(*apart)
+    figures = own.select("k_id", "k_h", "text", "meta").mapInArrow(_figures(words), "k_id long, k_h long, shapes array<float>, present array<smallint>, meta array<float>")
+    return cut_lineage(figures.join(F.broadcast(known.select("k_h", "good", "clean", "held")), "k_h", "left")), len(words)
 
 
 def classify(
@@ -319,16 +369,8 @@ def classify(
     languages are values of their own. Without labels of both classes nothing can be learned: scores are null and every
     document is kept. An empty table gives no row.
     """
-    small_batches(docs.sparkSession)
-    known = cut_lineage(_labels(labels, max_labelled))
-    keys = [key_id(id_col).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_h"), F.col(text_col).alias("text")]
-    sample = docs.select(*keys).join(F.broadcast(known), "k_id")
-    apart = [choose_words(sample.where(F.col(c).isNotNull()).select(F.col(c).alias("good"), "text")) for c in ("rich", "clean")]
-    words = np.union1d(*apart)
-    rows = docs.select(*keys, _metadata(text_col, source_col, lang_col).alias("meta"))
-    figures = rows.mapInArrow(_figures(words), "k_id long, k_h long, shapes array<float>, present array<smallint>, meta array<float>")
-    figures = cut_lineage(figures.join(F.broadcast(known.select("k_id", "good", "clean")), "k_id", "left"))
-    model = co_train(figures, len(words))
+    figures, n_words = figures_of(docs, labels, id_col, text_col, source_col, lang_col, max_labelled)
+    model = co_train(figures, n_words)
     if model is None:
         empty = F.lit(None).cast("double")
         return figures.select("k_id", "k_h", empty.alias("content_score"), empty.alias("meta_score"), empty.alias("score"), F.lit(True).alias("keep"))
