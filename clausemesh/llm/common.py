@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,16 @@ def id_of(col: str = "k_id") -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+def give_back_memory() -> None:
+    """Return what this Python worker has freed to the system, where its C library can. Workers live on between tasks and
+    would keep it, beside the full heap of their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def all_equal(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 

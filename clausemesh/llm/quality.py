@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import id_of, key_id, small_batches, unused
+from .common import give_back_memory, id_of, key_id, small_batches, unused
 from .words import Block, blocks
 
 MAX_LABELLED = 20_000
@@ -132,6 +132,7 @@ def _figures(words: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), lists, pa.array(present, type=pa.list_(pa.int16())), batch.column(3)], names=["k_id", "k_h", "shapes", "present", "meta"]
             )
+        give_back_memory()
 
     return run
 

@@ -24,14 +24,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, unused
+from .common import give_back_memory, small_batches, unused
 
 #: Folder of public vocabularies; the model is sent to executors from the driver's copy.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-SEEN_WORDS = 400_000
+SEEN_WORDS = 200_000
 WORDS_AT_ONCE = 256
 
 
@@ -232,7 +232,7 @@ def codec(name: str) -> Codec:
     return _codecs[name]
 
 
-def _pieces(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str | None]]:
+def _pieces(texts: list[str | None], limit: int = 1 << 19) -> Iterator[list[str | None]]:
     """Runs of texts of about `limit` characters."""
     part, size = [], 0
     for text in texts:
@@ -269,7 +269,8 @@ def encode_documents(
                 found = own.run([t or "" for t in part])
                 rows += [(None, 0, None, None) if t is None else (i, len(i), back, same) for t, (i, back, same) in zip(part, found)]
             yield pd.DataFrame(rows, columns=["ids", "n", "back", "same"])
-        own.known.clear()  # the worker lives on, and what comes next may need the memory
+        own.known.clear()
+        give_back_memory()
 
     encoded = F.pandas_udf(run, "ids array<int>, n long, back boolean, same boolean")
     rows = docs.withColumn(coded, encoded(F.col(text_col)))
