@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed as K
 from ..operators.inverted import InvertedIndex
+from ..plans import ingest as IN
 from ..session import fresh_path
-from .base import doc_corpus, query, rounded, table
-from .search_queries import FTS
+from ..streaming import jobs as J
+from ..streaming import stateful as SF
+from ..streaming.committed import CommittedTable
+from .base import block_lines, doc_corpus, event_seconds, query, rounded, table
+from .ops_queries import QUOTA_SQL
+from .search_queries import FTS, doc_chunks_sql
 
 
 def _kept_index(spark, d, name: str) -> InvertedIndex:
@@ -58,3 +64,167 @@ def index_phrases(spark, d):
     index.update(p)
     q = p.agg(F.min(F.lit(1)).alias("query_id")).withColumn("query", F.lit("small-ri"))
     return index.bm25(q, k=None).select("chunk_id", rounded("bm25"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+def _files(df, name: str) -> str:
+    """The rows as a folder of files, as they would arrive."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def _retry_tasks(spark, d):
+    o = table(spark, d, "orders")
+    n = F.col("o_orderkey")
+    return o.select(
+        F.concat(n.cast("string"), F.lit("/"), (F.col("o_custkey") % 5 + 1).cast("string")).alias("request_id"),
+        F.when(n % 11 == 0, "COMPLETED").when(n % 2 == 0, "PENDING").otherwise("FAILED").alias("status"),
+        (n % 4).cast("int").alias("attempts"), F.when(n % 3 == 0, "old").alias("last_error"), F.lit(0.0).alias("updated_at"), (n % 13 == 0).cast("int").alias("unwired_skipped"),
+    )
+
+
+def third_time_lucky(request_id: str, attempt: int) -> tuple[bool, str | None]:
+    """A handler that works from the attempt on that the task's name ends in."""
+    need = int(request_id.rsplit("/", 1)[1])
+    return attempt >= need, f"no {attempt}" if attempt < need and attempt % 2 else None
+
+
+@query(
+    "stream_retry_timers",
+    f"""WITH t AS (SELECT o_orderkey::VARCHAR || '/' || (o_custkey % 5 + 1) AS request_id, o_custkey % 5 + 1 AS need, (o_orderkey % 4)::INTEGER AS had, CASE WHEN o_orderkey % 3 = 0 THEN 'old' END AS err
+  FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 4 < {K.MAX_ATTEMPTS}),
+a AS (SELECT *, greatest(had + 1, least(need, {K.MAX_ATTEMPTS}))::INTEGER AS attempts FROM t)
+SELECT request_id, CASE WHEN attempts >= need THEN 'COMPLETED' ELSE 'FAILED' END AS status, attempts,
+  CASE WHEN attempts < need THEN array_to_string(list_filter(list_concat([err],
+    list_transform(generate_series(had + 1, attempts), lambda i: CASE WHEN i % 2 = 1 THEN 'no ' || i ELSE '{K.RETRY_FALSE_ERROR}' END)), lambda x: x IS NOT NULL), ' | ') END AS last_error
+FROM a""",
+)
+def stream_retry_timers(spark, d):
+    """Where every task ends that waits on a timer of its own for each attempt."""
+    tasks = _retry_tasks(spark, d)
+    stream = spark.readStream.schema(tasks.schema).parquet(_files(tasks, "tasks"))
+    path = fresh_path(spark, "attempts")
+    rows = SF.timed_retries(stream, third_time_lucky, age=0.001)
+    n = tasks.where(F.col("status").isin(*K.RETRY_STATUSES) & (F.col("unwired_skipped") == 0) & (F.col("attempts") < K.MAX_ATTEMPTS)).count()
+    spark.createDataFrame([], SF.RETRY_SCHEMA).write.parquet(path)
+    done = lambda: spark.read.schema(SF.RETRY_SCHEMA).parquet(path).where((F.col("status") == "COMPLETED") | (F.col("attempts") >= K.MAX_ATTEMPTS)).count() >= n
+    keep = lambda df, epoch: df.write.mode("append").parquet(path)
+    SF.run_until(rows.writeStream.foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "retry-progress")).start(), done)
+    every = spark.read.schema(SF.RETRY_SCHEMA).parquet(path)
+    last = every.groupBy("request_id").agg(F.max_by(F.struct("status", "attempts", "last_error"), "attempts").alias("s"))
+    return last.select("request_id", "s.*")
+
+
+def letter_vectors(texts: list[str]) -> list[list[float]]:
+    """An encoder: length and number of vowels."""
+    return [[float(len(t)), float(sum(c in "aeiou" for c in t))] for t in texts]
+
+
+def _drained(spark, stream, name: str, progress: str | None = None):
+    path = fresh_path(spark, name)
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress or fresh_path(spark, f"{name}-progress"))
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q, path
+
+
+@query(
+    "stream_encodings_ttl",
+    QUOTA_SQL.format(us=36_000_000_000) + """ SELECT w.event_id AS id, pos > 1 AS reused,
+  (first_value(e2.ts_s) OVER (PARTITION BY w.user_id ORDER BY e2.ts_s, w.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) IS NOT NULL AS encoded
+  FROM w JOIN (SELECT event_id, epoch_us(ts) / 1e6 AS ts_s FROM events) e2 ON e2.event_id = w.event_id""",
+)
+def stream_encodings_ttl(spark, d):
+    """An encoding of each user's text is kept for ten hours; a stale one is made again."""
+    e = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("cache_key"), F.col("event_id").alias("id"), F.concat(F.lit("text of "), F.col("user_id").cast("string")).alias("text"), event_seconds().alias("at")
+    )
+    stream = spark.readStream.schema(e.schema).parquet(_files(e, "texts"))
+    # ten hours less a millisecond: a window of the quota ends at ten hours, a kept encoding is still good then
+    _, path = _drained(spark, SF.encodings_with_ttl(stream, letter_vectors, 36_000 - 0.001), "encodings")
+    rows = spark.read.parquet(path)
+    return rows.select("id", "reused", (F.col("vector")[0] == F.length(F.concat(F.lit("text of "), F.col("cache_key")))).alias("encoded"))
+
+
+LATE_SQL = """
+s AS (SELECT *, epoch_us(ts) AS us, event_id % 40 = 0 AS held FROM events),
+cut AS (SELECT quantile_disc(us, 0.7) AS us FROM s),
+a AS (SELECT s.* FROM s, cut WHERE s.us <= cut.us AND NOT held),
+b AS (SELECT s.* FROM s, cut WHERE NOT (s.us <= cut.us AND NOT held)),
+wa AS (SELECT max(us) // 1000 - 3600000 AS ms FROM a),
+wb AS (SELECT greatest((SELECT ms FROM wa), max(us) // 1000 - 3600000) AS ms FROM b),
+good AS (SELECT * FROM a UNION ALL SELECT b.* FROM b, wa WHERE us > ms * 1000),
+late AS (SELECT count(*) AS n FROM b, wa WHERE us <= ms * 1000)"""
+
+
+@query(
+    "stream_windows_late",
+    f"""WITH {LATE_SQL},
+w AS (SELECT event_type AS label, us // 7200000000 * 7200000 AS start_ms, count(*) AS total, count(*) FILTER (value <= 10) AS le_0, count(*) FILTER (value <= 100) AS le_1 FROM good GROUP BY 1, 2)
+SELECT label, start_ms, total, le_0, le_1, late.n AS late_rows FROM w, wb, late WHERE start_ms + 7200000 <= wb.ms""",
+)
+def stream_windows_late(spark, d):
+    """Windows of two hours as the watermark closes them, in a stream that stops and goes on; one event in forty comes
+    with the second part, and those of them that are too late are counted and left out."""
+    e = table(spark, d, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    us = F.unix_micros("ts")
+    cut = e.agg(F.expr("percentile_disc(0.7) WITHIN GROUP (ORDER BY unix_micros(ts))").alias("us")).first()["us"]
+    first = (us <= cut) & (F.col("event_id") % 40 != 0)
+    path, progress = fresh_path(spark, "events"), fresh_path(spark, "windows-progress")
+    out, late = [], 0
+    for part in (e.where(first), e.where(~first)):
+        part.write.mode("append").parquet(path)
+        stream = SF.closed_windows(spark.readStream.schema(e.schema).parquet(path), "ts", "event_type", "value", [10.0, 100.0], 7200, "1 hour")
+        q, where = _drained(spark, stream, "windows", progress)
+        out.append(where)
+        late += SF.late_rows(q)
+    rows = spark.read.schema("label string, start_ms long, total long, value_sum double, below array<long>").parquet(*out)
+    return rows.select("label", "start_ms", "total", F.col("below")[0].alias("le_0"), F.col("below")[1].alias("le_1"), F.lit(late).cast("long").alias("late_rows"))
+
+
+class Crash(RuntimeError):
+    """A planned failure between the rows of a batch and its commit."""
+
+
+@query(
+    "stream_ingest",
+    f"""WITH RECURSIVE {doc_chunks_sql()}
+SELECT doc_id::VARCHAR AS doc_hash, 2 AS version, chunk_index, md5(text) AS text_md5, token_count FROM dc WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'es')""",
+)
+def stream_ingest(spark, d):
+    """Bundles arrive in two versions, the newer one first; the stream fails between the rows and the commit of its second
+    batch, and is started again. Every chunk of the newer version is there once."""
+    lines = block_lines(spark, d).where("lang <> 'es'")
+    path, progress = fresh_path(spark, "bundles"), fresh_path(spark, "ingest-progress")
+    wide = lines.withColumn("folder", F.concat(F.lit("part"), F.pmod(F.xxhash64("bundle_id"), F.lit(3)).cast("string")))
+    present = wide.select("folder", F.to_json(F.struct("bundle_id", F.lit(2).alias("version"), "line_no", F.col("value").alias("line"))).alias("value"))
+    older = wide.where("line_no = 0").select(F.lit("zold").alias("folder"), F.to_json(F.struct("bundle_id", F.lit(1).alias("version"), "line_no", F.col("value").alias("line"))).alias("value"))
+    present.unionByName(older).repartition("folder").write.partitionBy("folder").text(path)
+    target = CommittedTable(spark, fresh_path(spark, "chunks"))
+
+    def chunks_of(arrived):
+        row = F.from_json("value", "bundle_id string, version int, line_no long, line string")
+        block = arrived.select(row.alias("r")).select(F.concat_ws("@", "r.bundle_id", "r.version").alias("bundle_id"), "r.line_no", F.col("r.line").alias("value"))
+        names = block.select("bundle_id").distinct()
+        notices = names.select("bundle_id", F.split("bundle_id", "@")[0].alias("doc_hash"), F.split("bundle_id", "@")[1].cast("int").alias("version"))
+        chunks, _ = IN.ingest(notices, block, names.withColumn("file_name", F.lit(None).cast("string")), spark.createDataFrame([], "doc_hash string, version int, chunks_indexed bigint"))
+        return chunks
+
+    def fail(epoch: int) -> None:
+        if epoch == 1 and not crashed:
+            crashed.append(epoch)
+            raise Crash("between rows and commit")
+
+    crashed: list[int] = []
+    start = lambda: J.ingest_once(spark, f"{path}/*/*.txt", progress, target, chunks_of, max_files=1, before_commit=fail)
+    try:
+        start().awaitTermination()
+    except Exception as error:  # the stream reports the failure of its batch in an error of its own
+        if not crashed or "between rows and commit" not in str(error):
+            raise
+        start().awaitTermination()
+    target.compact(J.newest_versions)
+    return J.newest_versions(target.read()).select("doc_hash", "version", "chunk_index", F.md5("text").alias("text_md5"), "token_count")

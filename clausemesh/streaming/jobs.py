@@ -20,6 +20,7 @@ from ..operators import store as ST
 from ..operators import tasks as TS
 from ..session import cut_lineage
 from ..sources import files as FS
+from .committed import CommittedTable
 
 
 def start_ingest(
@@ -52,6 +53,24 @@ def start_ingest(
     )
 
 
+def ingest_once(
+    spark: SparkSession, bundle_dir: str, checkpoint: str, target: CommittedTable, chunks_of: Callable[[DataFrame], DataFrame], stream: str = "ingest",
+    max_files: int = 1000, before_commit: Callable[[int], None] = lambda epoch: None,
+) -> StreamingQuery:
+    """Arriving bundles to stored chunks, exactly once: chunks_of(lines) of each batch goes into the table with its epoch."""
+
+    def handle(lines: DataFrame, epoch: int) -> None:
+        target.append(chunks_of(lines), stream, epoch, lambda: before_commit(epoch))
+
+    return start_ingest(spark, bundle_dir, checkpoint, handle, max_files)
+
+
+def newest_versions(chunks: DataFrame) -> DataFrame:
+    """Chunks of the newest version of each document, once for equal keys, whatever order versions arrived in."""
+    newest = chunks.groupBy("doc_hash").agg(F.max("version").alias("keep_version"))
+    return ST.delete_old_versions(chunks, newest).dropDuplicates(["doc_hash", "version", "chunk_index"])
+
+
 def unique_notices(notices: DataFrame, event_time: str, lateness: str = "1 day") -> DataFrame:
     """Notices by request_id, repeats within the lateness dropped."""
     keyed = notices.withColumn("request_id", ids.request_id(F.col("trace_id"), F.col("doc_hash"), F.col("version")))
