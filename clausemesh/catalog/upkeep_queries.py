@@ -109,9 +109,9 @@ def stream_retry_timers(spark, d):
     path = fresh_path(spark, "attempts")
     rows = SF.timed_retries(stream, third_time_lucky, age=0.001)
     n = tasks.where(F.col("status").isin(*K.RETRY_STATUSES) & (F.col("unwired_skipped") == 0) & (F.col("attempts") < K.MAX_ATTEMPTS)).count()
-    spark.createDataFrame([], SF.RETRY_SCHEMA).write.parquet(path)
+    spark.createDataFrame([], SF.RETRY_SCHEMA).write.parquet(f"{path}/epoch=-1")
     done = lambda: spark.read.schema(SF.RETRY_SCHEMA).parquet(path).where((F.col("status") == "COMPLETED") | (F.col("attempts") >= K.MAX_ATTEMPTS)).count() >= n
-    keep = lambda df, epoch: df.write.mode("append").parquet(path)
+    keep = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")  # noqa: E731  a batch that runs again writes it over
     SF.run_until(rows.writeStream.foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "retry-progress")).start(), done)
     every = spark.read.schema(SF.RETRY_SCHEMA).parquet(path)
     last = every.groupBy("request_id").agg(F.max_by(F.struct("status", "attempts", "last_error"), "attempts").alias("s"))
@@ -131,22 +131,22 @@ def _drained(spark, stream, name: str, progress: str | None = None):
     return q, path
 
 
-@query(
-    "stream_encodings_ttl",
-    QUOTA_SQL.format(us=36_000_000_000) + """ SELECT w.event_id AS id, pos > 1 AS reused,
-  (first_value(e2.ts_s) OVER (PARTITION BY w.user_id ORDER BY e2.ts_s, w.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) IS NOT NULL AS encoded
-  FROM w JOIN (SELECT event_id, epoch_us(ts) / 1e6 AS ts_s FROM events) e2 ON e2.event_id = w.event_id""",
-)
+@query("stream_encodings_ttl", QUOTA_SQL.format(us=36_000_000_000) + " SELECT event_id AS id, pos > 1 AS reused, true AS right_vector FROM w")
 def stream_encodings_ttl(spark, d):
     """An encoding of each user's text is kept for ten hours; a stale one is made again."""
     e = table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("cache_key"), F.col("event_id").alias("id"), F.concat(F.lit("text of "), F.col("user_id").cast("string")).alias("text"), event_seconds().alias("at")
     )
     stream = spark.readStream.schema(e.schema).parquet(_files(e, "texts"))
-    # ten hours less a millisecond: a window of the quota ends at ten hours, a kept encoding is still good then
-    _, path = _drained(spark, SF.encodings_with_ttl(stream, letter_vectors, 36_000 - 0.001), "encodings")
-    rows = spark.read.parquet(path)
-    return rows.select("id", "reused", (F.col("vector")[0] == F.length(F.concat(F.lit("text of "), F.col("cache_key")))).alias("encoded"))
+    # a window of the quota ends at ten hours, when a kept encoding would still be good
+    rows = SF.encodings_with_ttl(stream, letter_vectors, 36_000 - 1e-6)
+    path, n = fresh_path(spark, "encodings"), e.count()
+    spark.createDataFrame([], SF.ENCODING_SCHEMA).write.parquet(f"{path}/epoch=-1")
+    kept = lambda: spark.read.schema(SF.ENCODING_SCHEMA).parquet(path)
+    keep = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    SF.run_until(rows.writeStream.foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "encodings-progress")).start(), lambda: kept().count() >= n)
+    right = F.col("vector")[0] == F.length(F.concat(F.lit("text of "), F.col("cache_key")))
+    return kept().select("id", "reused", (right & (F.col("encoded_at") <= F.col("at"))).alias("right_vector"))
 
 
 LATE_SQL = """

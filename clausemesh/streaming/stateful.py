@@ -90,7 +90,7 @@ def timed_retries(tasks: DataFrame, handler: Handler, max_attempts: int = K.MAX_
     )
 
 
-def run_until(query: StreamingQuery, done: Callable[[], bool], timeout: float = 600.0, every: float = 0.5) -> None:
+def run_until(query: StreamingQuery, done: Callable[[], bool], timeout: float = 300.0, every: float = 0.5) -> None:
     """Let a query run until done() and stop it: for streams whose timers fire after their input has ended."""
     end = time.time() + timeout
     while time.time() < end and query.isActive and not done():
