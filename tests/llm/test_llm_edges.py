@@ -7,6 +7,7 @@ from clausemesh.llm import decontamination, language, line_dedup, merkle, qualit
 from clausemesh.llm.queries import QUERIES
 
 NAMES = ["_id", "_hash", "_removed", "n_lines", "slot", "blob", "token_ids", "fp", "k_id", "score", "_lines", "_gone", "assign", "_label"]
+CLASHES = ["id", "v", "anchor", "_numbers", "_moved", "asked", "words", "rank", "place", "query_id", "score"]
 LONG = "\n".join(" ".join(f"word{i}x{j}" for j in range(60)) for i in range(400))
 SAME = "the very same line of text with enough words in it " * 6
 ROWS = [
@@ -33,13 +34,19 @@ def folder(spark, docs, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     pages = [(1, "http://a b/\r\nX: y", SAME), (2, None, SAME), (2, None, SAME), (3, "u", None), (None, "u", SAME), (None, "v", "x" * 100), (None, "v", "x" * 100), (4, "u", "")]
     spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload int").write.parquet(f"{d}/pages.parquet")
+    one, inf, nan = [0.5, -0.25, 0.125], float("inf"), float("nan")
+    rows = [
+        (0, one, 1), (0, one, 1), (1, one, 1), (2, [0.4, -0.2, 0.1], 2), (3, None, 1), (4, [0.5, None, 0.1], 1), (5, [inf, 0.0, 0.0], 1), (6, [nan, 0.0, 0.0], 2),
+        (8, one, None), (None, one, 1), (10, [], 2), (20, [0.0, 0.0, 0.0], 1), (100, [0.5, -0.25], 2), (11, [9e9, 1.0, 1.0], 3), (12, one, 2), (12, one, 2), (13, [0.001, 0.0, 0.0], 1),
+    ]
+    spark.createDataFrame([(*r, *range(len(CLASHES))) for r in rows], "vec_id long, embedding array<float>, label int, " + ", ".join(f"`{n}` int" for n in CLASHES)).write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
@@ -47,7 +54,43 @@ def empty(spark, folder, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_on_odd_rows(spark, folder, name):
     rows = QUERIES[name](spark, folder).collect()
-    assert len(rows) == (8 if name.startswith("op9_") else len(ROWS))
+    if name.startswith(("op11_", "op12_", "op13_")):  # results of searches: see below
+        assert rows
+    else:
+        assert len(rows) == (8 if name.startswith("op9_") else len(ROWS))
+
+
+def test_hard_negatives_on_odd_rows(spark, folder):
+    got = {tuple(r) for r in QUERIES["op11_angular_hard_negatives"](spark, folder).collect()}
+    # anchor 0 (label 2 by its number): only row 2 is near enough of label 2, 12 equals it; row 100 has label 2 and no partner of a window
+    rows = {0: ([128, -64, 32], 2), 1: ([128, -64, 32], 1), 2: ([102, -52, 25], 2), 10: ([], 2), 20: ([0, 0, 0], 1), 100: ([128, -64, 0], 2), 11: ([256 * 9_000_000_000, 256, 256], 3), 12: ([128, -64, 32], 2), 13: ([0, 0, 0], 1)}
+    dot = lambda a, b: sum(x * y for x, y in zip(rows[a][0], rows[b][0]))
+    big = [int(x) for x in __import__("numpy").floor(256 * __import__("numpy").float32(9e9).astype(float)).reshape(1)]
+    rows[11] = ([big[0], 256, 256], 3)
+    want = set()
+    for a in (0, 100):
+        same = sorted(((-dot(a, i), i) for i in rows if i != a and rows[i][1] == rows[a][1]))[:5]
+        for s, p in same:
+            far = sorted((-dot(a, i), i) for i in rows if rows[i][1] != rows[a][1] and -80 * s <= 100 * dot(a, i) <= -100 * s)[:5]
+            want |= {(a, p, k + 1, i, -s, -t) for k, (t, i) in enumerate(far)}
+    assert got == want
+
+
+def test_neighbours_on_odd_rows(spark, folder):
+    got = {}
+    for r in QUERIES["op12_multi_index_neighbours"](spark, folder).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    usable = [0, 1, 2, 8, 11, 12, 13, 100]
+    assert set(got) == {0, 100} and all(sorted([*found, q]) == usable for q, found in got.items())
+    assert got[0][0] == 11 and got[0][1:4] == [1, 8, 12]
+
+
+def test_search_on_odd_rows(spark, folder):
+    got = {}
+    for r in QUERIES["op13_pair_maxscore"](spark, folder).orderBy("item_id", "rank").collect():
+        got.setdefault(r.item_id, []).append((r.rank, r.doc_id))
+    assert set(got) == {None, 4}  # the other items have no term, or terms that no document holds
+    assert got[None][0] == (1, None) and {i for _, i in got[4]} == {6, 7}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -11,7 +11,7 @@ import xxhash
 
 from clausemesh.llm.queries import ORACLES, QUERIES
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings".split()
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,39 @@ def test_quality_query(spark, sf, con):
     right = [got[i].keep == (q == 1 and t == 0) for i, q, t in labelled]
     assert len(got) == 200 and np.mean(right) > 0.85
     assert all(0 <= r.score <= 1 and not math.isnan(r.score) for r in got.values())
+
+
+def test_neighbours_recall(spark, sf, con):
+    """At least nine in ten of the true neighbours, in order, each with its exact inner product."""
+    rows = con.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    x = np.array([v for _, v in rows], float)
+    got = {}
+    for r in QUERIES["op12_multi_index_neighbours"](spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    at = {i: k for k, (i, _) in enumerate(rows)}
+    right = []
+    for q, found in got.items():
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in {i for _, i, _ in found}
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        assert all(abs(s - x[at[q]] @ x[at[i]]) < 1e-12 for _, i, s in found)
+        scores = x @ x[at[q]]
+        scores[at[q]] = -np.inf
+        true = {rows[k][0] for k in np.argsort(-scores, kind="stable")[:20]}
+        right.append(len(true & {i for _, i, _ in found}) / 20)
+    assert np.mean(right) >= 0.9
+
+
+def test_both_views_hand_over_documents(spark):
+    """At two sizes each view gives documents in every round, and held-out labels are told as well as without it."""
+    from clausemesh.llm import quality
+
+    for sf, least in (("/root/testdata/sf0.01", 20), ("/root/testdata/sf0.1", 200)):
+        docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+        figures, n_words = quality.figures_of(docs, labels.where("doc_id % 3 <> 0"), "doc_id", "text", "source", "lang", quality.MAX_LABELLED)
+        truth = labels.where("doc_id % 3 = 0").selectExpr("doc_id AS k_id", "int(quality = 1 AND toxic = 0) AS y")
+        unseen = figures.drop("good", "clean").join(truth, "k_id").toPandas()
+        model = quality.co_train(figures, n_words)
+        assert all(sum(view) >= least for given in model.given for view in given)
+        right = lambda m: ((m.scores(unseen)[1] >= 0.5) == unseen["y"]).mean()
+        assert right(model) >= max(0.9, right(quality.co_train(figures, n_words, rounds=0)) - 0.02)
