@@ -1,20 +1,25 @@
 """Document fingerprints: a Merkle tree over blocks, paragraphs and sections.
 
-A text is cut at line breaks into paragraphs and these into blocks of BLOCK_WORDS words; nothing is dropped by a cut, so
-the blocks spell the text. A section is a run of paragraphs that ends with a blank one or with one whose digest is
-divisible by SECTION_EVERY, so that an insertion moves no later section border. A node's digest is that of its
-children's digests; the root also covers the whole text, and equal roots mean equal texts.
-
-A fingerprint holds the root, and below it the digests of the blocks with the borders of paragraphs (`,`) and sections
-(`;`), from which the upper nodes follow. Comparing two fingerprints takes equal roots, then equal sections, then equal
-paragraphs as one step each, and looks at blocks only in branches that differ; these also say where an edit is.
+A text is cut at line breaks into paragraphs, and these into leaves: a leaf ends behind a word whose checksum is divisible
+by LEAF_EVERY (or has MAX_WORDS words), so that an insertion moves no later border. Nothing is dropped by a cut, so the
+leaves spell the text. A section is a run of paragraphs that ends with a blank one or with one whose digest is divisible by
+SECTION_EVERY. The digest of a leaf is that of its words, the digest of a paragraph, a section and the root that of its
+children's digests, all of 128 bits; so equal roots mean equal texts.
+
+A fingerprint is the whole tree as text: root/section:paragraph leaf leaf,paragraph leaf;section:... with the root's 32 hex
+digits and HEX of every other node, without blanks. Comparing two of them begins at the roots. Where these differ, sections of equal
+digests are matched in order, then paragraphs in the gaps between them, then leaves in the gaps that are left; branches
+that match are not entered. The likeness is the share of leaves that lie in matched branches (Dice), which a change of order
+lowers; paragraphs without a match are where the edits are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Iterator
+import zlib
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -24,77 +29,159 @@ from pyspark.sql.types import StringType
 
 from .common import key_id, partitions, small_batches
 
-BLOCK_WORDS = 8
+LEAF_EVERY, MAX_WORDS = 8, 64
 SECTION_EVERY = 8
-_HEX = 10
+HEX = 10
 
 
-def _digest(data: str) -> str:
-    return hashlib.blake2b(data.encode("utf-8"), digest_size=_HEX // 2).hexdigest()
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def fingerprint(text: str | None) -> str:
-    """root/block block,block;block ... of a whole text; a null is the empty text."""
-    text = text or ""
-    sections: list[list[str]] = [[]]
-    for paragraph in text.split("\n"):
-        words = paragraph.split(" ")
-        leaves = "".join([_digest(" ".join(words[i : i + BLOCK_WORDS])) for i in range(0, len(words), BLOCK_WORDS)])
-        sections[-1].append(leaves)
-        if not paragraph.strip() or int(_digest(leaves), 16) % SECTION_EVERY == 0:
-            sections.append([])
-    body = ";".join(",".join(s) for s in sections if s)
-    return f"{hashlib.blake2b(text.encode('utf-8'), digest_size=16).hexdigest()}/{body}"
+def _short(digest: bytes) -> str:
+    return digest.hex()[:HEX]
 
 
-def _sections(print_: str) -> list[str]:
-    return print_.partition("/")[2].split(";")
+@dataclass
+class Tree:
+    """Digests as in the fingerprint: sections have paragraphs, these have leaves."""
 
+    root: str
+    sections: list[tuple[str, list[tuple[str, list[str]]]]]
 
-def _only(mine: list[str], theirs: list[str]) -> tuple[list[str], list[str], int]:
-    """The entries that each has beyond the other, and how many blocks the common ones hold."""
-    if mine == theirs:
-        return [], [], sum(len(x.replace(",", "")) // _HEX for x in mine)
-    a, b = Counter(mine), Counter(theirs)
-    both = a & b
-    return list((a - b).elements()), list((b - a).elements()), sum(len(x.replace(",", "")) // _HEX * n for x, n in both.items())
+    def __str__(self) -> str:
+        return self.root + "/" + ";".join(s + ":" + ",".join(p + "".join(ls) for p, ls in ps) for s, ps in self.sections)
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of blocks that two fingerprints have in common (Dice), found from the root downwards."""
-    if a == b:
-        return 1.0
-    total = sum(len(x.partition("/")[2].replace(",", "").replace(";", "")) // _HEX for x in (a, b))
-    mine, theirs, same = _only(_sections(a), _sections(b))
-    mine, theirs, more = _only([p for s in mine for p in s.split(",")], [p for s in theirs for p in s.split(",")])
-    cut = lambda ps: [p[i : i + _HEX] for p in ps for i in range(0, len(p), _HEX)]
-    _, _, last = _only(cut(mine), cut(theirs))
-    return 2 * (same + more + last) / total
+def _leaves(paragraph: bytes) -> list[bytes]:
+    words = paragraph.split(b" ")
+    ends = [i for i, w in enumerate(words, 1) if zlib.crc32(w) % LEAF_EVERY == 0]
+    if not ends or ends[-1] != len(words):
+        ends.append(len(words))
+    out, begin = [], 0
+    for end in ends:
+        for at in range(begin, end, MAX_WORDS):
+            out.append(_digest(b" ".join(words[at : min(at + MAX_WORDS, end)])))
+        begin = end
+    return out
 
 
-def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """Ranges [first, end) of paragraphs of a that hold changes against b: branches of a that b lacks."""
-    theirs_s = Counter(_sections(b))
-    theirs_p = Counter(p for s in _sections(b) for p in s.split(","))
+def tree(text: str | None) -> Tree:
+    """The tree of a whole text; a null is the empty text."""
+    sections, whole, open_, digests = [], [], [], []
+
+    def close() -> None:
+        if open_:
+            own = _digest(b"".join(digests))
+            whole.append(own)
+            sections.append((_short(own), list(open_)))
+            open_.clear()
+            digests.clear()
+
+    for paragraph in (text or "").encode("utf-8").split(b"\n"):
+        leaves = _leaves(paragraph)
+        own = _digest(b"".join(leaves))
+        digests.append(own)
+        open_.append((_short(own), [_short(x) for x in leaves]))
+        if not paragraph.strip() or own[0] % SECTION_EVERY == 0:
+            close()
+    close()
+    return Tree(_digest(b"".join(whole)).hex(), sections)
+
+
+def fingerprint(text: str | None) -> str:
+    return str(tree(text))
+
+
+def parsed(print_: str) -> Tree:
+    """The tree of a fingerprint."""
+    root, _, body = print_.partition("/")
+    cut = lambda p: [p[i : i + HEX] for i in range(0, len(p), HEX)]
+    sections = []
+    for section in body.split(";"):
+        name, _, paragraphs = section.partition(":")
+        sections.append((name, [(c[0], c[1:]) for c in map(cut, paragraphs.split(","))]))
+    return Tree(root, sections)
+
+
+def in_order(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal entries of two lists, rising in both: of each entry the n-th occurrences belong together, and the
+    longest rising run of these pairs stays."""
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    pairs = [(i, places[x].pop()) for i, x in enumerate(a) if places.get(x)]
+    tails, ends, before = [], [], [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before[n] = ends[at - 1] if at else -1
+        tails[at : at + 1], ends[at : at + 1] = [j], [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _gaps(a: list, b: list, key: Callable[[object], str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """Matched places, and the ranges (a from, a to, b from, b to) between them."""
+    match = in_order([key(x) for x in a], [key(x) for x in b])
+    edges = [(-1, -1), *match, (len(a), len(b))]
+    return match, [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:]) if i + 1 < k and j + 1 < m]
+
+
+def _aligned(a: Tree, b: Tree) -> tuple[int, list[bool]]:
+    """How many leaves lie in matched branches, and for each paragraph of a whether it is matched."""
+    flat = lambda sections: [p for _, ps in sections for p in ps]
+    first, at = [], 0
+    for _, ps in a.sections:
+        first.append(at)
+        at += len(ps)
+    matched, leaves = [False] * at, 0
+    same, gaps = _gaps(a.sections, b.sections, lambda s: s[0])
+    for i, _ in same:
+        own = a.sections[i][1]
+        leaves += sum(len(ls) for _, ls in own)
+        matched[first[i] : first[i] + len(own)] = [True] * len(own)
+    for i, k, j, m in gaps:
+        mine, theirs = flat(a.sections[i:k]), flat(b.sections[j:m])
+        same, inner = _gaps(mine, theirs, lambda p: p[0])
+        for x, _ in same:
+            leaves += len(mine[x][1])
+            matched[first[i] + x] = True
+        for x, y, v, w in inner:
+            leaves += len(in_order([h for _, ls in mine[x:y] for h in ls], [h for _, ls in theirs[v:w] for h in ls]))
+    return leaves, matched
+
+
+def _size(t: Tree) -> int:
+    return sum(len(ls) for _, ps in t.sections for _, ls in ps)
+
+
+def _like(a: Tree, b: Tree) -> float:
+    return 1.0 if a.root == b.root else 2 * _aligned(a, b)[0] / (_size(a) + _size(b))
+
+
+def _edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    at = 0
-    for section in _sections(a):
-        paragraphs = section.split(",")
-        if theirs_s[section] > 0:
-            theirs_s[section] -= 1
-            theirs_p.subtract(paragraphs)
-        else:
-            for i, p in enumerate(paragraphs, at):
-                if theirs_p[p] > 0:
-                    theirs_p[p] -= 1
-                elif out and out[-1][1] == i:
-                    out[-1] = (out[-1][0], i + 1)
-                else:
-                    out.append((i, i + 1))
-        at += len(paragraphs)
+    for i, same in enumerate(_aligned(a, b)[1] if a.root != b.root else []):
+        if not same and out and out[-1][1] == i:
+            out[-1] = (out[-1][0], i + 1)
+        elif not same:
+            out.append((i, i + 1))
     return out
 
 
+def likeness(a: str, b: str) -> float:
+    """Share of leaves that two fingerprints have in common, in order (Dice), found from the root downwards."""
+    return _like(parsed(a), parsed(b))
+
+
+def edits(a: str, b: str) -> list[tuple[int, int]]:
+    """Ranges [first, end) of paragraphs of a that have no match in b."""
+    return _edits(parsed(a), parsed(b))
+
+
 @F.pandas_udf(StringType())
 def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
@@ -149,13 +236,13 @@ def edited(text: str, following: str) -> str:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None
-    print_of = ""
+    print_of: Tree | None = None
 
-    def row(one: tuple, own: str, following: str, theirs: str) -> tuple:
+    def row(one: tuple, own: Tree, following: str, theirs: Tree) -> tuple:
         changed = edited(one[1], following)
-        changed_print = own if changed == one[1] else theirs if changed == following else fingerprint(changed)
-        return (one[0], len(one[1]), hashlib.sha256(changed.encode("utf-8")).hexdigest(), own, changed_print,
-                likeness(own, changed_print), likeness(own, theirs), ",".join(f"{x}-{y}" for x, y in edits(own, changed_print)))
+        other = own if changed == one[1] else theirs if changed == following else tree(changed)
+        return (one[0], len(one[1]), hashlib.sha256(changed.encode("utf-8")).hexdigest(), str(own), str(other),
+                _like(own, other), _like(own, theirs), ",".join(f"{x}-{y}" for x, y in _edits(own, other)))
 
     done = False
     for batch in batches:
@@ -163,7 +250,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for role, k, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()):
             if done:
                 break
-            own = fingerprint(text)
+            own = tree(text)
             if held is not None:
                 out.append(row(held, print_of, text, own))
             held, print_of = (k, text), own

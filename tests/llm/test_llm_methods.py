@@ -181,6 +181,71 @@ def test_merkle_roots_and_edits():
         assert merkle.fingerprint(other).split("/")[0] != merkle.fingerprint("a").split("/")[0]
 
 
+def slow_tree(text):
+    """The fingerprint by its definition, and its leaves with the section and paragraph each is in."""
+    import hashlib
+    import zlib
+
+    h = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    sections, open_ = [], []
+    for paragraph in text.split("\n"):
+        leaves, own = [], []
+        for word in paragraph.split(" "):
+            own.append(word.encode())
+            if zlib.crc32(word.encode()) % 8 == 0 or len(own) == 64:
+                leaves.append(h(b" ".join(own)))
+                own = []
+        if own:
+            leaves.append(h(b" ".join(own)))
+        open_.append((h(b"".join(leaves)), leaves))
+        if not paragraph.encode().strip() or open_[-1][0][0] % 8 == 0:
+            sections.append(open_)
+            open_ = []
+    if open_:
+        sections.append(open_)
+    tops = [h(b"".join(p for p, _ in s)) for s in sections]
+    short = lambda b: b.hex()[:10]
+    body = ";".join(short(t) + ":" + ",".join(short(p) + "".join(map(short, ls)) for p, ls in s) for t, s in zip(tops, sections))
+    return h(b"".join(tops)).hex() + "/" + body, [x for s in sections for _, ls in s for x in ls]
+
+
+def common_run(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_merkle_against_a_slow_tree():
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)] + ["é", ""]
+    near = []
+    for n in range(30):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 7, 40, 200]))) for _ in range(rng.randint(1, 30))]
+        text = "\n".join(lines)
+        shuffled = list(lines)
+        rng.shuffle(shuffled)
+        changed = text.split(" ")
+        changed[rng.randrange(len(changed))] += "x"
+        own, mine = slow_tree(text)
+        assert merkle.fingerprint(text) == own and str(merkle.parsed(own)) == own
+        for other in ("\n".join(shuffled), " ".join(changed), "new " + text, text + "\nend", text[: len(text) // 2]):
+            print_, theirs = slow_tree(other)
+            got = merkle.likeness(own, print_)
+            assert (got == 1) == (text == other) and got <= 2 * common_run(mine, theirs) / (len(mine) + len(theirs)) + 1e-12
+            near.append((got, 2 * common_run(mine, theirs) / (len(mine) + len(theirs))))
+    assert sum(a for a, _ in near) > 0.9 * sum(b for _, b in near)
+    long = " ".join(rng.choice(words) for _ in range(2000))
+    assert merkle.likeness(merkle.fingerprint(long), merkle.fingerprint("new " + long)) > 0.98
+    lines = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(60)]
+    assert merkle.likeness(merkle.fingerprint("\n".join(lines)), merkle.fingerprint("\n".join(reversed(lines)))) < 0.1
+
+
 def test_bucket_of_bounds(spark):
     bounds = [3, 5, 8, 13, 21, 34]
     df = spark.range(40).withColumn("b", merkle._bucket(F_col("id"), bounds))
