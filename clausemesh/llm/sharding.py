@@ -56,7 +56,7 @@ def assign_shards(df: DataFrame, key: Column, shards: list[str], size: int = TAB
     `shard`, the new one gets a trailing underscore. No shuffle: the table's `size` rows are broadcast.
     """
     slot, shard = unused(df, slot, shard)
-    own = "_slot_of_table"
+    [own] = unused(df.withColumns({slot: F.lit(0), shard: F.lit("")}), "_slot_of_table")
     rows = [(i, shards[s]) for i, s in enumerate(lookup_table(shards, size))]
     table = df.sparkSession.createDataFrame(rows, f"`{own}` int, `{shard}` string")
     return df.withColumn(slot, slot_of(key, size)).join(F.broadcast(table), F.col(slot) == F.col(own)).drop(own)
