@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import first_rows
-from .common import small_batches
+from .common import small_batches, unused
 from .words import strings
 
 SEGMENT = 64
 HIDDEN = 8
 BATCH = 2048
 DOCS_PER_LANG = 400
+EXTRA = 8
 SEGMENTS_PER_DOC = 8
 STEPS = 260
 TRAIN_BATCH = 384
@@ -209,13 +210,17 @@ def held_out(id_col: str):
 def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """lang, segment: at most per_lang x SEGMENTS_PER_DOC rows of each language.
 
-    Documents are chosen by id and language alone, so only numbers are shuffled; then their texts are looked up, one for
-    each id. Documents without an id, or without a letter, are not learned from.
+    Documents are chosen by the hash of their id among those with a letter. Of a frequent language only hashes below a bound
+    are looked at, EXTRA times as many documents as are taken, so that no task gets all of them. Only numbers are shuffled;
+    then the texts are looked up, one for each id. Documents without an id are not learned from.
     """
     key = F.col(id_col).cast("long").alias("k_id")
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(key, F.col(lang_col).alias("lang"))
+    readable = F.col(text_col).rlike(r"\p{L}")
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & readable).select(key, F.col(lang_col).alias("lang"))
+    bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * (EXTRA * per_lang) / F.col("n")
+    known = known.join(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang").where(F.xxhash64("k_id").cast("double") < bound)
     chosen = first_rows(known, ["lang"], [F.xxhash64("k_id"), F.col("k_id")], per_lang).distinct()
-    rows = docs.where(F.col(text_col).rlike(r"\p{L}")).select(key, F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.where(readable).select(key, F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     rows = first_rows(rows.join(F.broadcast(chosen), ["k_id", "lang"]), ["k_id", "lang"], [F.xxhash64("text")])
     size = F.length("text")
     step = F.greatest(F.lit(SEGMENT), F.ceil(size / SEGMENTS_PER_DOC)).cast("int")
@@ -256,11 +261,12 @@ def identify(docs: DataFrame, net: Net | None, text_col: str = "text") -> DataFr
 
     text = F.col(text_col)
     rows = docs.drop(*[n for n, _ in fields])
+    [own] = unused(rows, "_label")
     nothing = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("agreement"))
     if net is None:
-        rows = rows.withColumn("_label", nothing)
+        rows = rows.withColumn(own, nothing)
     else:
         readable = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-        rows = rows.withColumn("_label", label(F.when(readable, text)))
-        rows = rows.withColumn("_label", F.when(readable, F.col("_label")).otherwise(nothing))
-    return rows.select(*[c for c in rows.columns if c != "_label"], "_label.*")
+        rows = rows.withColumn(own, label(F.when(readable, text)))
+        rows = rows.withColumn(own, F.when(readable, F.col(own)).otherwise(nothing))
+    return rows.select(*[c for c in rows.columns if c != own], F.col(f"{own}.*"))

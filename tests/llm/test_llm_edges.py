@@ -6,7 +6,7 @@ import corpus_pipeline
 from clausemesh.llm import decontamination, language, line_dedup, merkle, quality, secrets, sentencepiece_codec, sharding, simhash, warc
 from clausemesh.llm.queries import QUERIES
 
-NAMES = ["_id", "_hash", "_removed", "n_lines", "slot", "blob", "token_ids", "fp", "k_id", "score", "_lines", "_gone", "assign", "_label"]
+NAMES = ["_id", "_hash", "_removed", "n_lines", "slot", "blob", "token_ids", "fp", "k_id", "score", "_lines", "_gone", "assign", "_label", "_slot_of_table"]
 CLASHES = ["id", "v", "anchor", "_numbers", "_moved", "asked", "words", "rank", "place", "query_id", "score"]
 LONG = "\n".join(" ".join(f"word{i}x{j}" for j in range(60)) for i in range(400))
 SAME = "the very same line of text with enough words in it " * 6
@@ -175,7 +175,7 @@ def test_languages_of_odd_rows(docs):
     net = language.fit(docs)
     out = language.identify(docs, net)
     rows = out.collect()
-    assert net.langs == ["de", "en"] and out.columns == [*[c for c in docs.columns if c not in ("score", "_label")], "lang_pred", "score", "agreement"]
+    assert net.langs == ["de", "en"] and out.columns == [*[c for c in docs.columns if c != "score"], "lang_pred", "score", "agreement"]
     for r in rows:
         und = r.text is None or not any(c.isalpha() for c in r.text)
         assert (r.lang_pred == "und") == und and 0 <= r.score <= 1
