@@ -1,19 +1,25 @@
-"""Queries on stores and streams that are kept up: what is left in them after several changes, against SQL over the tables."""
+"""Queries on stores and streams that are kept up (what is left in them after several changes), SQL functions, encodings and
+replays, against SQL over the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
+from ..functions import register as RG
+from ..functions import sparse as SV
+from ..operators import encoding as EN
+from ..operators import hints as H
+from ..operators import replay as RP
 from ..operators.inverted import InvertedIndex
 from ..plans import ingest as IN
 from ..session import fresh_path
 from ..streaming import jobs as J
 from ..streaming import stateful as SF
 from ..streaming.committed import CommittedTable
-from .base import block_lines, doc_corpus, event_seconds, query, rounded, table
+from .base import ORACLES, QUERIES, block_lines, doc_corpus, event_seconds, part_chunks, query, rounded, table
 from .ops_queries import QUOTA_SQL
-from .search_queries import FTS, doc_chunks_sql
+from .search_queries import FTS, SPARSE, _sparse_hits, _words, doc_chunks_sql
 
 
 def _kept_index(spark, d, name: str) -> InvertedIndex:
@@ -228,3 +234,149 @@ def stream_ingest(spark, d):
         start().awaitTermination()
     target.compact(J.newest_versions)
     return J.newest_versions(target.read()).select("doc_hash", "version", "chunk_index", F.md5("text").alias("text_md5"), "token_count")
+
+
+# --- SQL functions -----------------------------------------------------------------------------------------------
+
+
+@query("sql_hints", ORACLES["spec_hints"])
+def sql_hints(spark, d):
+    """Numbers with units by a lateral join with a table function."""
+    RG.register(spark)
+    part_chunks(spark, d).createOrReplaceTempView("sql_hints_parts")
+    return spark.sql("SELECT p.chunk_id, h.hint_ord, h.parameter_hint, h.value, h.unit FROM sql_hints_parts p, LATERAL hints(p.text) h")
+
+
+@query("sql_units", ORACLES["unit_normalize"])
+def sql_units(spark, d):
+    """Units by an SQL function."""
+    RG.register(spark)
+    table(spark, d, "events").createOrReplaceTempView("sql_units_events")
+    unit = "element_at(array('mm', '°F', 'K', 'MPa', 'acre', '小时', '%', 'widget'), int(user_id % 8) + 1)"
+    return spark.sql(f"SELECT event_id, round(r.value, 9) + 0D AS value, r.unit, r.category FROM (SELECT event_id, normalize_unit(value, {unit}) AS r FROM sql_units_events)")
+
+
+@query("sql_deadlines", ORACLES["deadlines"])
+def sql_deadlines(spark, d):
+    """Deadlines by an SQL function."""
+    RG.register(spark)
+    table(spark, d, "part").createOrReplaceTempView("sql_deadlines_part")
+    text = "p_name || if(p_partkey % 4 < 2, '后 ', '起') || p_size || element_at(array('天', '周', '个月', '工作日'), int(p_partkey % 4) + 1) || '内'"
+    return spark.sql(f"SELECT p_partkey AS part_id, r.* FROM (SELECT p_partkey, parse_deadline({text}) AS r FROM sql_deadlines_part)")
+
+
+@query(
+    "sql_provisions",
+    "SELECT p_partkey AS part_id, (p_size // 10)::VARCHAR || '.' || (p_size % 10)::VARCHAR AS provision_id, CASE WHEN p_partkey % 3 = 0 THEN 'Lot ' || p_size::VARCHAR END AS lot FROM part",
+)
+def sql_provisions(spark, d):
+    """Provision numbers and lots by SQL functions."""
+    RG.register(spark)
+    table(spark, d, "part").createOrReplaceTempView("sql_provisions_part")
+    return spark.sql(
+        "SELECT p_partkey AS part_id, provision_id(array('x', 'clause ' || (p_size DIV 10) || '.' || (p_size % 10))) AS provision_id,"
+        " lot_label(if(p_partkey % 3 = 0, '7-LOT 00' || p_size || ' NCR.doc', p_name)) AS lot FROM sql_provisions_part"
+    )
+
+
+# --- operators by distance ---------------------------------------------------------------------------------------
+
+
+@query(
+    "nearest_operators",
+    """SELECT p_partkey AS chunk_id, u.unit, u.near AS nearest_operator, u.near_lower, u.near_upper, '<=' AS first_operator FROM part,
+  (VALUES ('mm', '<=', false, true), ('MPa', '>=', true, false)) u(unit, near, near_lower, near_upper)""",
+)
+def nearest_operators(spark, d):
+    """'at most 5 mm, at least 6 MPa' in two scripts: each number has its own operator by distance, and both have the first
+    one by list order."""
+    size = F.col("p_size").cast("string")
+    low, high = F.when(F.col("p_partkey") % 2 == 0, "不超过").otherwise("at most "), F.when(F.col("p_partkey") % 3 == 0, "不低于").otherwise("at least ")
+    text = F.concat(low, size, F.lit(" mm, "), high, size, F.lit("8 MPa"))
+    hints = H.extract_hints(table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), text.alias("text")))
+    near = H.parse_operators(hints, nearest=True).select(
+        "chunk_id", "unit", F.col("operator").alias("nearest_operator"), F.col("interval.lower").isNotNull().alias("near_lower"), F.col("interval.upper").isNotNull().alias("near_upper")
+    )
+    return near.join(H.parse_operators(hints).select("chunk_id", "unit", F.col("operator").alias("first_operator")), ["chunk_id", "unit"])
+
+
+# --- sparse vectors ----------------------------------------------------------------------------------------------
+
+
+def _sorted_vectors(words, key):
+    counts = words.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.collect_list(F.struct(SV.term_index(F.col("term")).alias("index"), F.col("n").cast("double").alias("value")))
+    return counts.groupBy(key).agg(entries.alias("entries")).select(key, SV.sorted_vector(F.col("entries")).alias("vector"))
+
+
+@query("sparse_merge_dot", f"WITH {SPARSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM st WHERE rank <= 40")
+def sparse_merge_dot(spark, d):
+    """The scores of the sparse hits, once more by merging sorted vectors of query and document."""
+    hits = _sparse_hits(spark, d).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    docs = table(spark, d, "documents").join(hits.select(F.col("chunk_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    left = _sorted_vectors(_words(table(spark, d, "benchmark"), "item_id", "query_id"), "query_id").withColumnRenamed("vector", "a")
+    right = _sorted_vectors(_words(docs, "doc_id", "chunk_id"), "chunk_id").withColumnRenamed("vector", "b")
+    rows = hits.join(left, "query_id").join(right, "chunk_id").withColumn("score", SV.merge_dot(F.col("a"), F.col("b")))
+    return rows.select("query_id", "chunk_id", rounded("score"), "rank")
+
+
+# --- encodings ---------------------------------------------------------------------------------------------------
+
+
+def _known(spark, d):
+    """Stored vectors: those of the texts that only German documents have."""
+    docs = doc_corpus(spark, d).withColumn("cache_key", EN.cache_key(F.col("text"), F.lit("m1")))
+    return docs.groupBy("cache_key").agg(F.min(F.coalesce("lang", F.lit(""))).alias("low"), F.max(F.coalesce("lang", F.lit(""))).alias("high")).where("low = 'de' AND high = 'de'").select(
+        "cache_key", F.array(F.lit(-1.0)).alias("vector")
+    )
+
+
+@query(
+    "encode_fan_out",
+    """WITH k AS (SELECT text, min(coalesce(lang, '')) = 'de' AND max(coalesce(lang, '')) = 'de' AS known FROM documents GROUP BY text)
+SELECT doc_id, CASE WHEN k.known THEN -1 ELSE length(d.text) END::DOUBLE AS first FROM documents d JOIN k ON k.text = d.text""",
+)
+def encode_fan_out(spark, d):
+    """Each different text goes through the encoder once, its vector to all rows of the text."""
+    docs, stored = doc_corpus(spark, d), _known(spark, d)
+    new = EN.encode_missing(docs, stored, letter_vectors, F.lit("m1"))
+    return EN.encode_rows(docs, stored, new, F.lit("m1")).select(F.col("chunk_id").alias("doc_id"), F.col("vector")[0].alias("first"))
+
+
+@query(
+    "encode_calls",
+    """WITH k AS (SELECT text FROM documents GROUP BY text HAVING NOT (min(coalesce(lang, '')) = 'de' AND max(coalesce(lang, '')) = 'de'))
+SELECT count(*) AS texts, true AS in_batches, true AS refused FROM k""",
+)
+def encode_calls(spark, d):
+    """Texts that reached the encoder; no call had more than a batch; a dummy encoder's vectors were not stored."""
+    new = EN.encode_missing(doc_corpus(spark, d), _known(spark, d), letter_vectors, F.lit("m1"), batch=16)
+    refused, path = False, fresh_path(spark, "encodings")
+    try:
+        EN.store_encodings(new, path, dummy=True)
+    except EN.DummyWrite:
+        refused = True
+    calls = new.groupBy("call").agg(F.count(F.lit(1)).alias("n"))
+    return calls.agg(F.sum("n").alias("texts"), (F.max("n") <= 16).alias("in_batches")).withColumn("refused", F.lit(refused))
+
+
+# --- replay ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "replay_runs_again",
+    f"""SELECT (SELECT count(*) FROM ({ORACLES["question_constraints"]}))::BIGINT AS n_rows, 'full_match' AS same, 'input_changed' AS other_input, 'version_changed' AS other_version, 'mismatch' AS other_result""",
+)
+def replay_runs_again(spark, d):
+    """Questions are solved again from the same inputs and compared with the record of the first run; a changed input, a
+    changed plan and a changed result are told apart."""
+    names = ("documents", "benchmark")
+    inputs = lambda: {n: table(spark, d, n) for n in names}
+    run = lambda: QUERIES["question_constraints"](spark, d)
+    first = RP.record(run, inputs(), "1")
+    again = RP.replay(first, run, {n: df.repartition(3) for n, df in inputs().items()}, "1")
+    changed = inputs() | {"benchmark": table(spark, d, "benchmark").withColumn("text", F.reverse("text"))}
+    different = lambda: inputs()["benchmark"]
+    other = [RP.replay(first, run, changed, "1"), RP.replay(first, run, inputs(), "2"), RP.replay(first, different, inputs(), "1")]
+    columns = [F.lit(x).alias(c) for x, c in zip(other, ("other_input", "other_version", "other_result"))]
+    return spark.range(1).select(F.lit(int(first["n_rows"])).cast("long").alias("n_rows"), F.lit(again).alias("same"), *columns)

@@ -1,33 +1,66 @@
-"""Functions for use in SQL: pure expressions as SQL functions, spans and cuts as Arrow UDFs."""
+"""Functions for use in SQL, made from the same column expressions that the DataFrame operators use.
+
+A column is turned into the SQL text of its own expression, so nothing is written twice: value functions become temporary
+SQL functions, and the numbers with units of a text a table function, for `FROM t, LATERAL hints(t.text)`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from . import fixed as K
+from . import ids
+from . import scope as S
 from . import text as X
+from . import tokens as TK
+from . import units as U
 
+_STRING = re.compile(r"'(?:[^'\\]|\\.|'')*'", re.S)
+#: Operators and words that Spark writes like functions; between back quotes they can be called as such.
+_CALLED = re.compile(r"(?<![\w`'=<>!+*/%&|^~-])(<=>|<=|>=|!=|[=<>!+*/%&|^~-]|and|or|not|in|like|rlike|between)\(", re.I)
 
-def register(spark: SparkSession) -> list[str]:
-    """Create session functions; returns their names."""
-    namespace = K.UUID_DNS_NAMESPACE
-    bodies = {
-        "estimate_tokens(t STRING) RETURNS INT": "greatest(1, cast(floor(length(t) / 4) AS INT))",
-        "to_celsius(v DOUBLE, u STRING) RETURNS DOUBLE": (
-            "CASE replace(lower(u), '°', '') WHEN 'c' THEN v WHEN 'f' THEN (v - 32) * 5 / 9 WHEN 'k' THEN v - 273.15 END"
-        ),
-        "request_id(t STRING, d STRING, v INT) RETURNS STRING": "md5(concat_ws('|', t, d, cast(v AS STRING)))",
-        "lot_label(f STRING) RETURNS STRING": (
-            "CASE WHEN f RLIKE '(?i)\\\\blot\\\\s*0*[0-9]+' THEN "
-            "concat('Lot ', cast(cast(regexp_extract(f, '(?i)\\\\blot\\\\s*0*([0-9]+)', 1) AS DECIMAL(38,0)) AS STRING)) END"
-        ),
-        "sha1_uuid(n STRING) RETURNS STRING": (
-            f"(SELECT concat(substring(h, 1, 8), '-', substring(h, 9, 4), '-5', substring(h, 14, 3), '-', "
-            f"lower(hex(cast(conv(substring(h, 17, 1), 16, 10) AS INT) & 3 | 8)), substring(h, 18, 3), '-', substring(h, 21, 12)) "
-            f"FROM (SELECT sha1(concat(unhex('{namespace}'), encode(n, 'UTF-8'))) AS h))"
-        ),
+
+def sql_text(column: Column) -> str:
+    """SQL that gives the same expression when it is parsed again."""
+    text = column._jc.node().sql()
+    out, at = [], 0
+    for literal in _STRING.finditer(text):
+        out += [_CALLED.sub(r"`\1`(", text[at : literal.start()]), literal.group()]
+        at = literal.end()
+    return "".join(out) + _CALLED.sub(r"`\1`(", text[at:])
+
+
+def functions() -> dict[str, tuple[str, str, Column]]:
+    """name: (parameters, result, body over columns of the parameters' names)."""
+    c = F.col
+    return {
+        "estimate_tokens": ("t STRING", "INT", X.estimate_tokens(c("t")).cast("int")),
+        "to_celsius": ("v DOUBLE, u STRING", "DOUBLE", U.to_celsius(c("v"), c("u"))),
+        "normalize_unit": ("v DOUBLE, u STRING", "STRUCT<value: DOUBLE, unit: STRING, category: STRING>", U.normalize_unit(c("v"), c("u"))),
+        "normalize_parameter": ("n STRING", "STRING", U.normalize_parameter(c("n"))),
+        "parse_deadline": ("t STRING", "STRUCT<reference_event: STRING, offset_days: BIGINT, is_working_day: BOOLEAN>", U.parse_deadline(c("t"))),
+        "provision_id": ("s ARRAY<STRING>", "STRING", S.provision_id(c("s"))),
+        "search_tokens": ("t STRING", "ARRAY<STRING>", TK.tokenize(c("t"))),
+        "request_id": ("t STRING, d STRING, v INT", "STRING", ids.request_id(c("t"), c("d"), c("v"))),
+        "cache_key": ("t STRING, m STRING", "STRING", ids.cache_key(c("t"), c("m"))),
+        "lot_label": ("f STRING", "STRING", ids.lot_label(c("f"))),
+        "sha1_uuid": ("n STRING", "STRING", ids.uuid5(c("n"))),
     }
-    for head, body in bodies.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+
+
+HINTS = "hint_ord INT, parameter_hint STRING, value DOUBLE, unit STRING, start INT, end INT, source_text STRING"
+
+
+def register(spark: SparkSession) -> list[str]:
+    """Create the session's functions; returns their names."""
+    from ..operators.hints import hint_array
+
+    made = functions()
+    for name, (parameters, result, body) in made.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {sql_text(body)}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hints(t STRING) RETURNS TABLE({HINTS}) RETURN SELECT h.* FROM (SELECT explode({sql_text(hint_array(F.col('t')))}) AS h)")
     spark.udf.register("cut_lines", X.cut_lines_udf(K.MAX_CHUNK_TOKENS * K.CHARS_PER_TOKEN))
-    return [h.split("(")[0] for h in bodies] + ["cut_lines"]
+    return [*made, "hints", "cut_lines"]

@@ -183,10 +183,47 @@ def find_operator(context: Column, value: Column) -> Column:
     return chain
 
 
-def _with_operator(hints: DataFrame, text: str) -> DataFrame:
+def _spans(text: Column, pattern: str) -> Column:
+    """ARRAY<STRUCT<start, end>> of all matches of a pattern."""
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+    start = lambda i: total(F.slice(pieces, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
+    return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("end")))
+
+
+def nearest_operator(context: Column, value: Column, start: Column, end: Column) -> Column:
+    """STRUCT<operator, lower, upper>: the operator with the fewest characters between it and the number at start .. end
+    of the context, ties by list order, or null. A range word that has a number on both sides comes before others at its
+    distance; '==' must stand before the number and not behind a measuring verb."""
+    ends = range_endpoints(context, value)
+    none = F.lit(None).cast("double")
+    verbs = f"(?s)^({'|'.join(K.MEASURING_VERBS)}).{{0,3}}$"
+
+    def candidates(order: int, op: str, pattern: str) -> Column:
+        spans = _spans(context, pattern)
+        if op == "range":
+            spans = F.when(ends.isNotNull(), spans).otherwise(F.slice(spans, 1, 0))
+        if op == "==":
+            spans = F.filter(spans, lambda s: (s["end"] <= start) & ~F.substr(context, F.lit(1), s["start"]).rlike(verbs))
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                F.greatest(s["start"] - end, start - s["end"], F.lit(0)).alias("gap"), F.lit(order).alias("order"), F.lit(op).alias("operator"),
+                (ends.getField("lower") if op == "range" else none).alias("lower"), (ends.getField("upper") if op == "range" else none).alias("upper"),
+            ),
+        )
+
+    every = [candidates(-1, "range", K.RANGE_WORDS), *[candidates(i, op, p) for i, (op, p) in enumerate(K.OPERATOR_WORDS)]]
+    best = F.array_min(F.concat(*every))
+    return F.when(best.isNotNull(), F.struct(best["operator"].alias("operator"), best["lower"].alias("lower"), best["upper"].alias("upper")))
+
+
+def _with_operator(hints: DataFrame, text: str, nearest: bool = False) -> DataFrame:
     """Hints with their operator as `op`; the context is cut once and bound in a lambda."""
     context = _context(F.col(text), F.col("start"), F.col("end"))
-    op = F.transform(F.array(context), lambda c: find_operator(c, F.col("value")))
+    at = F.least(F.col("start"), F.lit(K.OPERATOR_RADIUS))  # where the number begins in its context
+    of = lambda c: nearest_operator(c, F.col("value"), at, at + F.col("end") - F.col("start"))
+    op = F.transform(F.array(context), of if nearest else lambda c: find_operator(c, F.col("value")))
     return hints.select("*", F.explode_outer(op).alias("op")).where(F.col("op").isNotNull())
 
 
@@ -204,12 +241,13 @@ def to_interval(operator: Column, value: Column, lower: Column, upper: Column) -
     )
 
 
-def parse_operators(hints: DataFrame, text: str = "text", compat: bool = False) -> DataFrame:
+def parse_operators(hints: DataFrame, text: str = "text", compat: bool = False, nearest: bool = False) -> DataFrame:
     """Hints with an operator: adds operator, norm_value, norm_unit and interval.
 
-    compat leaves range endpoints of non-temperature units unconverted.
+    compat leaves range endpoints of non-temperature units unconverted. nearest takes the operator closest to the number
+    instead of the first in list order.
     """
-    found = _with_operator(hints, text)
+    found = _with_operator(hints, text, nearest)
     norm = U.normalize_unit(F.col("value"), F.col("unit"))
 
     def bound(name: str) -> Column:
@@ -224,17 +262,17 @@ def parse_operators(hints: DataFrame, text: str = "text", compat: bool = False)
     ).drop("op")
 
 
-def parse_intervals(hints: DataFrame, chunk: list[str], text: str = "text", compat: bool = False) -> DataFrame:
+def parse_intervals(hints: DataFrame, chunk: list[str], text: str = "text", compat: bool = False, nearest: bool = False) -> DataFrame:
     """Intervals of a chunk, the first of equal (parameter_hint, bounds, unit) kept."""
-    parsed = parse_operators(hints, text, compat).withColumns(
+    parsed = parse_operators(hints, text, compat, nearest).withColumns(
         {"_lo": F.col("interval.lower"), "_up": F.col("interval.upper")}
     )
     return first_rows(parsed, [*chunk, "parameter_hint", "_lo", "_up", "norm_unit"], [F.col("hint_ord")]).drop("_lo", "_up")
 
 
-def parse_constraints(hints: DataFrame, chunk: list[str], text: str = "text") -> DataFrame:
+def parse_constraints(hints: DataFrame, chunk: list[str], text: str = "text", nearest: bool = False) -> DataFrame:
     """First-form constraints: parameter, operator, value or range in the source unit, unit."""
-    found = _with_operator(hints, text)
+    found = _with_operator(hints, text, nearest)
     rows = found.select(
         *[c for c in hints.columns if c not in ("value", "unit")],
         U.normalize_parameter(F.col("parameter_hint")).alias("parameter"),
