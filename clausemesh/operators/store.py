@@ -11,7 +11,12 @@ from ..functions import scope as S
 from ..session import cut_lineage
 from .scan import first_rows, numbered
 
-BUCKETS = 64
+#: Folders of a stored table. A document lies in one of them, so that replacing it reads and writes that one alone.
+BUCKETS = 256
+
+
+def doc_bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_hash"), F.lit(BUCKETS)).cast("int")
 
 
 def with_keys(chunks: DataFrame) -> DataFrame:
@@ -20,7 +25,7 @@ def with_keys(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", cid).withColumns(
         {
             "point_id": ids.point_id(F.col("doc_hash"), F.col("version"), F.col("chunk_id")),
-            "doc_bucket": F.pmod(F.xxhash64("doc_hash", "chunk_index"), F.lit(BUCKETS)).cast("int"),
+            "doc_bucket": doc_bucket(),
         }
     )
 
@@ -68,19 +73,17 @@ def write_buckets(rows: DataFrame, path: str) -> None:
 
 
 def replace_stored_docs(rows: DataFrame, path: str) -> None:
-    """Put the documents of `rows` in place of their stored rows. Other documents of the touched buckets are kept."""
+    """Put the documents of `rows` in place of their stored rows. Other documents of the touched buckets are kept; other
+    buckets are neither read nor written."""
     spark = rows.sparkSession
-    fresh = cut_lineage(rows)
+    fresh = cut_lineage(rows.withColumn("doc_bucket", doc_bucket()))
+    touched = [r["doc_bucket"] for r in fresh.select("doc_bucket").distinct().collect()]  # BUCKETS numbers at most
     try:
-        stored = spark.read.parquet(path)
+        stored = spark.read.parquet(path).where(F.col("doc_bucket").isin(touched))
     except AnalysisException:  # nothing is stored yet
         write_buckets(fresh, path)
         return
-    touched = fresh.select("doc_bucket").union(
-        stored.join(fresh.select("doc_hash").distinct(), "doc_hash", "left_semi").select("doc_bucket")
-    ).distinct()
-    kept = replace_docs(stored, fresh).join(touched, "doc_bucket", "left_semi").select(*fresh.columns)
-    write_buckets(cut_lineage(kept), path)
+    write_buckets(cut_lineage(replace_docs(stored.select(*fresh.columns), fresh)), path)
 
 
 def delete_old_versions(chunks: DataFrame, keep: DataFrame) -> DataFrame:
@@ -236,7 +239,7 @@ def migrate_full_text(chunks: DataFrame, apply_to: str | None = None, limit: int
     verdict = chunks.groupBy("doc_hash").agg(F.count(F.lit(1)).alias("_n"), F.count_if(bad).alias("_bad"))
     if apply_to:
         good = chunks.join(verdict.where("_bad = 0").select("doc_hash"), "doc_hash", "left_semi")
-        rows = full_text_rows(good).withColumn("doc_bucket", F.pmod(F.xxhash64("doc_hash", "chunk_id"), F.lit(BUCKETS)).cast("int"))
+        rows = full_text_rows(good).withColumn("doc_bucket", doc_bucket())
         replace_stored_docs(rows, apply_to)
     failed = F.col("_bad") > 0
     return verdict.select("doc_hash", F.when(failed, "failed").otherwise("migrated").alias("outcome"), F.when(failed, 0).otherwise(F.col("_n")).alias("rows_written"))

@@ -82,7 +82,7 @@ def reparse(notices: DataFrame, lines: DataFrame, indexed: DataFrame, force: boo
 def merge_store(stored: DataFrame, chunks: DataFrame, delete_old: bool = True) -> DataFrame:
     """Stored chunks after an ingest: new points replace equal ones, older versions go."""
     keyed = ST.with_keys(chunks)
-    merged = ST.upsert(stored, keyed, ["point_id"])
+    merged = ST.upsert(stored, keyed, ["point_id"], [F.col("chunk_index"), F.col("text")])
     if not delete_old:
         return merged
     keep = chunks.groupBy("doc_hash").agg(F.max("version").alias("keep_version"))
