@@ -29,7 +29,7 @@ from ..session import cut_lineage, fresh_path
 from .scan import first_rows
 
 QUERY_BLOCK = 4096
-#: Scores that a task holds at once.
+#: Scores, words and (word, query) pairs that a task holds at once.
 CELLS = 1 << 21
 IN_ROW_PHRASES = 20_000
 
@@ -97,6 +97,17 @@ class _Best:
         return rows
 
 
+def _runs(sizes: np.ndarray, limit: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows whose sizes are `limit` together at most, and `rows` rows at most; a larger row is
+    a run of its own."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        stop = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, side="right"))
+        stop = max(begin + 1, stop if rows is None else min(stop, begin + rows))
+        yield begin, stop
+        begin = stop
+
+
 def _query_blocks(queries: DataFrame, query_id: str, columns: list[str]) -> Iterator[pa.Table]:
     """The queries in blocks of about QUERY_BLOCK rows, by the hash of their id. They are computed once."""
     rows = cut_lineage(queries.select(query_id, *columns))
@@ -196,20 +207,27 @@ def sparse_topk(
             ids, known, starts, owner, value = packed.value
             found, step = _Best(k, len(ids)), max(1, CELLS // len(ids))
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
+                lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+                for at, stop in _runs(lengths, CELLS, step):
+                    part = batch.slice(at, stop - at)
                     lists = part.column(1)
-                    chunk = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                    chunk = np.repeat(np.arange(len(lists)), lengths[at:stop])
                     place = pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy()
                     weight = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float) if weights else np.ones(len(place))
-                    chunk, weight, place = chunk[place >= 0], weight[place >= 0], place[place >= 0]
+                    # what a chunk has of a term is added up before it meets the queries
+                    cell, own = np.unique(chunk[place >= 0] * len(known) + place[place >= 0], return_inverse=True)
+                    weight = np.bincount(own, weights=weight[place >= 0], minlength=len(cell))
+                    chunk, place = np.divmod(cell, max(1, len(known)))
                     count = starts[place + 1] - starts[place]
-                    own = np.repeat(np.arange(len(place)), count)
-                    nth = starts[place][own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-                    cell = owner[nth] * len(lists) + chunk[own]
                     size = (len(ids), len(lists))
-                    scores = np.bincount(cell, weights=value[nth] * weight[own], minlength=size[0] * size[1]).reshape(size)
-                    found.add(scores, part.column(0), np.bincount(cell, minlength=size[0] * size[1]).reshape(size) > 0)
+                    scores, shared = np.zeros(size[0] * size[1]), np.zeros(size[0] * size[1], bool)
+                    for low, high in _runs(count, CELLS):
+                        own = np.repeat(np.arange(low, high), count[low:high])
+                        nth = np.arange(len(own)) + np.repeat(starts[place[low:high]] - np.cumsum(count[low:high]) + count[low:high], count[low:high])
+                        cell = owner[nth] * len(lists) + chunk[own]
+                        scores += np.bincount(cell, weights=value[nth] * weight[own], minlength=len(scores))
+                        shared[cell] = True
+                    found.add(scores.reshape(size), part.column(0), shared.reshape(size))
             yield from _emit(found, ids, query_id, chunk_id)
 
         hits.append(chunk_rows.mapInArrow(best, schema))

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,24 @@ def test_dense_topk_over_several_query_blocks(spark, monkeypatch):
     assert {(r.query_id, r.chunk_id) for r in got} == want
 
 
+def test_sparse_scores_of_common_words_are_made_in_parts(spark, monkeypatch):
+    """500 words that all of 200 queries and 100 chunks have: 10 million (word, query) pairs, never held at once."""
+    words, tasks = [f"w{i}" for i in range(500)], []
+    kind = type(spark.range(1))
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, fn, schema: tasks.append(fn) or whole(self, fn, schema))
+    terms = spark.range(200).select(F.col("id").alias("query_id"), F.explode(F.array(*map(F.lit, words))).alias("term"), (F.col("id") % 3 + 1.0).alias("weight"))
+    chunks = spark.range(100).select(F.col("id").alias("chunk_id"), F.array(*map(F.lit, words + words[:1])).alias("terms"))
+    R.sparse_topk(terms, chunks, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([words + words[:1]] * 100)], names=["chunk_id", "terms"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(tasks[0](iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 600 and all(r["chunk_id"] < 3 and r["score"] == 501.0 * (r["query_id"] % 3 + 1) for r in found.to_pylist())
+    assert peak < 200e6
+
+
 DOCS = [
     (1, "pump A312-TP316 flange", ["national"], "active"), (2, "pump flange flange", ["project"], "active"), (3, "valve tp316", ["national"], "active"),
     (4, "Pümp station", ["industry"], "active"), (5, "pump flange", ["national"], "illegal"), (6, "a312 pump tp31", ["x"], "active"),
