@@ -3,12 +3,14 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clausemesh.functions import sparse as SV
 from clausemesh.operators import encoding as EN
 from clausemesh.operators import hints as H
+from clausemesh.operators import inverted
 from clausemesh.operators import replay as RP
 from clausemesh.operators.inverted import InvertedIndex
 from clausemesh.session import fresh_path
@@ -37,6 +39,20 @@ def test_index_writes_new_documents_only(spark):
     assert ask("green") == [] and ask("white") == ["a0"]
 
 
+def test_postings_are_columns_of_numbers(monkeypatch):
+    """Terms and positions of whole Arrow batches, in parts of a few words, against plain Python; no row becomes a Python object."""
+    monkeypatch.setattr(inverted, "CELLS", 7)
+    texts = [(["a", "b", "a"], ["b"]), ([], []), ([], ["c"]), ([f"w{i % 4}" for i in range(20)], ["w1", "w1"])]
+    cols = {"chunk_id": pa.array(range(4)), "tokens": pa.array([t for t, _ in texts], pa.list_(pa.string())), "scope_tokens": pa.array([s for _, s in texts], pa.list_(pa.string()))}
+    batches = list(inverted._postings(iter([pa.RecordBatch.from_pydict(cols)] * 2 + [pa.RecordBatch.from_pydict(cols).slice(1, 1)])))
+    got = sorted((r["chunk_id"], r["term"], r["positions"]) for b in batches for r in b.to_pylist())
+    want = []
+    for i, (t, s) in enumerate(texts):
+        for w in {*t, *s}:
+            want += [(i, w, [k for k, x in enumerate(t) if x == w] + [inverted.SCOPE_AT + k for k, x in enumerate(s) if x == w])] * 2
+    assert got == sorted(want) and batches[0].schema.names == ["chunk_id", "term", "positions"]
+
+
 def test_half_written_update_has_no_effect(spark):
     index = InvertedIndex(spark, fresh_path(spark, "index"))
     docs = spark.createDataFrame([("a0", "a", "red bolt")], "chunk_id string, doc_hash string, text string")
