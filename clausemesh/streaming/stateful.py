@@ -37,20 +37,21 @@ class _Retries(StatefulProcessor):
         self.handle = handle
         self.task = handle.getValueState("task", "status string, attempts int, last_error string, updated_at double")
 
-    def _wait(self, due: float, timerValues) -> None:
-        for timer in list(self.handle.listTimers()):
+    def _wait(self, due: float, timerValues, known: bool = True) -> None:
+        for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(int(due * 1000), timerValues.getCurrentProcessingTimeInMs() + 1))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """The newest state of a task that arrives replaces the one kept, unless that is newer."""
         new = pd.concat(list(rows)).sort_values(["updated_at", "attempts"], kind="stable").iloc[-1]
-        if self.task.exists() and self.task.get()[3] > new["updated_at"]:
+        known = self.task.exists()
+        if known and self.task.get()[3] > new["updated_at"]:
             return
         error = new["last_error"] if isinstance(new["last_error"], str) else None
         self.task.update((new["status"], int(new["attempts"]), error, float(new["updated_at"])))
         if new["status"] in K.RETRY_STATUSES and not new["unwired_skipped"] and new["attempts"] < self.max_attempts:
-            self._wait(new["updated_at"] + self.age, timerValues)
+            self._wait(new["updated_at"] + self.age, timerValues, known)
         return
         yield  # a generator without rows
 
@@ -90,17 +91,35 @@ def timed_retries(tasks: DataFrame, handler: Handler, max_attempts: int = K.MAX_
     )
 
 
+def _moved(progress) -> bool:
+    """Whether a batch read rows or changed state."""
+    return progress.numInputRows > 0 or any(o.numRowsUpdated > 0 or o.numRowsRemoved > 0 for o in progress.stateOperators)
+
+
 def run_until(query: StreamingQuery, done: Callable[[], bool], timeout: float = 300.0, every: float = 0.5) -> None:
-    """Let a query run until done() and stop it: for streams whose timers fire after their input has ended."""
-    end = time.time() + timeout
-    while time.time() < end and query.isActive and not done():
-        time.sleep(every)
+    """Let a query run until done() and stop it: for streams whose timers fire after their input has ended.
+
+    However long the stream takes, it may go on while its batches read rows or change state. It is an error if they do neither
+    for `timeout` seconds, in which the time of a batch that is still at work does not count. done() is asked seldom if it is slow.
+    """
+    idle, last, seen = 0.0, time.time(), -1
+    while query.isActive and idle < timeout:
+        asked = time.time()
+        if done():
+            break
+        time.sleep(max(every, 4 * (time.time() - asked)))
+        new, now = [p for p in query.recentProgress if p.batchId > seen], time.time()
+        if any(map(_moved, new)):
+            idle = 0.0
+        elif new or not query.status["isTriggerActive"]:
+            idle += now - last
+        last, seen = now, max([seen, *(p.batchId for p in new)])
     failed = query.exception()
     query.stop()
     if failed is not None:
         raise failed
     if not done():
-        raise TimeoutError(f"the stream was not done after {timeout} seconds")
+        raise TimeoutError(f"the stream was not done, and nothing changed for {timeout} seconds")
 
 
 # --- encodings -----------------------------------------------------------------------------------

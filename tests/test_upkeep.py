@@ -2,6 +2,7 @@
 
 import os
 import random
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -15,6 +16,7 @@ from clausemesh.operators import replay as RP
 from clausemesh.operators.inverted import InvertedIndex
 from clausemesh.session import fresh_path
 from clausemesh.streaming import jobs as J
+from clausemesh.streaming import stateful as SF
 from clausemesh.streaming.committed import CommittedTable
 
 
@@ -53,6 +55,36 @@ def test_postings_are_columns_of_numbers(monkeypatch):
     assert got == sorted(want) and batches[0].schema.names == ["chunk_id", "term", "positions"]
 
 
+class _Stream:
+    """A query whose batches end one after the other; the first `busy` of them change state."""
+
+    def __init__(self, busy, active=False):
+        self.busy, self.n, self.isActive, self.status = busy, 0, True, {"isTriggerActive": active}
+
+    @property
+    def recentProgress(self):
+        self.n += 1
+        state = [SimpleNamespace(numRowsUpdated=int(i < self.busy), numRowsRemoved=0) for i in range(self.n)]
+        return [SimpleNamespace(batchId=i, numInputRows=0, stateOperators=[o]) for i, o in enumerate(state)]
+
+    def exception(self):
+        return None
+
+    def stop(self):
+        self.isActive = False
+
+
+def test_a_stream_that_goes_on_is_not_stopped():
+    """Many batches that last longer than the limit together; one that does nothing more ends in an error."""
+    long = _Stream(busy=40)
+    SF.run_until(long, lambda: long.n >= 30, timeout=0.1, every=0.02)
+    assert long.n == 30 and not long.isActive
+    stuck = _Stream(busy=5)
+    with pytest.raises(TimeoutError):
+        SF.run_until(stuck, lambda: False, timeout=0.1, every=0.02)
+    assert 5 < stuck.n < 20
+
+
 def test_half_written_update_has_no_effect(spark):
     index = InvertedIndex(spark, fresh_path(spark, "index"))
     docs = spark.createDataFrame([("a0", "a", "red bolt")], "chunk_id string, doc_hash string, text string")
