@@ -5,6 +5,10 @@ far as a sample tells. The prefix of a set of n hashes is its first n - ceil(t n
 their prefixes: at least ceil(t / (1 + t) (n + n')) - max(ceil(t n), ceil(t n')) + 1 of them, as of the set whose prefix ends
 first, no prefix hash can be found behind the other's prefix. Whatever the sample said, no pair of similarity t is missed.
 
+Links begin with the trie of SimHash fingerprints (simhash.links) over the same shingles: sets whose fingerprints differ in few
+bits are verified first, and joined. Fingerprints alone miss most pairs of similarity 0.8, which differ in about ten bits, so
+all sets go through the prefix join, too, for what the trie did not link.
+
 Rows (hash, size and place, set) are sorted by range, so a hash that very many sets have is cut over several tasks. Rows
 whose hash no other set has are dropped there, and every other row gets a representative among the rows before it, if the two
 fit in size and place. Groups of near copies are then joined without forming their pairs: each set is verified against its
@@ -24,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, give_back_memory, keyed, small_batches
 from .query_blocks import stored
 from .simhash import SEED, one_of_each
@@ -319,8 +324,26 @@ def _cross_pairs(shared: DataFrame, roots: DataFrame, similarity: float, group_r
     return pairs.where(F.col("hits") >= least).select("a", "b")
 
 
+def _trie_pairs(texts: DataFrame, size: int, budget: int) -> DataFrame:
+    """a, b: pairs of sets that the trie of fingerprints brings together. Sets of one fingerprint hang on the least of them,
+    and that hangs on the one of the fingerprint it is linked to, so there is at most a pair or two for each set."""
+
+    @F.pandas_udf("long")
+    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([simhash.fingerprint_of(t, size) for t in batch], dtype="uint64").astype("int64")
+
+    own = stored(texts.select("s", fingerprint("text").alias("fp")), "near-fingerprints")
+    heads = stored(own.groupBy("fp").agg(F.min("s").alias("head")), "near-heads")
+    same = own.join(heads, "fp").select(F.col("head").alias("a"), F.col("s").alias("b"))
+    head = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    near = simhash.links(heads, budget).toDF("fa", "fb").join(head("fa", "a"), "fa").join(head("fb", "b"), "fb").select("a", "b")
+    return same.unionByName(near).where("a <> b")
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, group_rows: int = GROUP_ROWS,
+    budget: int = simhash.BUDGET,
 ) -> DataFrame:
     """k_id, k_h, root for every row: rows have one root if a chain of documents leads from one to the other, each of which
     shares `similarity` or more of its shingles with the next (intersection by union).
@@ -343,9 +366,10 @@ def similar_groups(
     texts = stored(texts, "near-texts")
     before = stored(shared.where("p is not null").groupBy(F.col("p").alias("a"), F.col("s").alias("b")).agg(F.count(F.lit(1)).alias("hits")), "near-before")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    for turn in range(ROUNDS):
+    roots = _joined(roots, _alike(_trie_pairs(texts, shingle, budget), texts, similarity, shingle))
+    for _ in range(ROUNDS):
         known = roots
-        open_ = _rooted(before, roots).where("a_root <> b_root") if turn else before
+        open_ = _rooted(before, roots).where("a_root <> b_root")
         likeliest = open_.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a"))
         roots = _joined(roots, _alike(likeliest, texts, similarity, shingle))
         if roots is known:  # nothing new was linked

@@ -51,6 +51,26 @@ def test_every_pair_of_similarity_is_linked(spark, sf):
     assert kept == set(want)
 
 
+def test_links_begin_with_the_trie_of_fingerprints(spark, monkeypatch):
+    """The trie brings near fingerprints together, each link is verified, and the prefix join adds what it misses."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base[:399], "x"]), " ".join([*base[:398], "y", "x"]), " ".join(base[100:])]
+    texts += [" ".join(f"v{rng.randrange(900)}" for _ in range(80)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    make = near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, *a: seen.append(pairs.count()) or make(pairs, *a))
+    walked = []
+    walk = near_copies.simhash.links
+    monkeypatch.setattr(near_copies.simhash, "links", lambda fps, budget: walked.append(budget) or walk(fps, budget))
+    groups = {}
+    for r in near_copies.similar_groups(df).collect():
+        groups.setdefault(r.root, set()).add(r.k_id)
+    assert walked == [near_copies.simhash.BUDGET] and seen[0] >= 1
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3], [4], [5], [6]]
+
+
 def test_two_thousand_near_copies_in_proportion(spark):
     """One group of near copies is joined without its pairs, and hashes of several components are dealt in parts."""
     rng = random.Random(5)
