@@ -17,7 +17,7 @@ from ..session import fresh_path
 from ..streaming import jobs as J
 from ..streaming import stateful as SF
 from ..streaming.committed import CommittedTable
-from .base import ORACLES, QUERIES, block_lines, doc_corpus, event_seconds, part_chunks, query, rounded, table
+from .base import ORACLES, QUERIES, block_lines, doc_corpus, event_seconds, part_chunks, query, rounded, spread, table
 from .ops_queries import QUOTA_SQL
 from .search_queries import FTS, SPARSE, _sparse_hits, _words, doc_chunks_sql
 
@@ -293,11 +293,12 @@ def nearest_operators(spark, d):
     size = F.col("p_size").cast("string")
     low, high = F.when(F.col("p_partkey") % 2 == 0, "不超过").otherwise("at most "), F.when(F.col("p_partkey") % 3 == 0, "不低于").otherwise("at least ")
     text = F.concat(low, size, F.lit(" mm, "), high, size, F.lit("8 MPa"))
-    hints = H.extract_hints(table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), text.alias("text")))
-    near = H.parse_operators(hints, nearest=True).select(
-        "chunk_id", "unit", F.col("operator").alias("nearest_operator"), F.col("interval.lower").isNotNull().alias("near_lower"), F.col("interval.upper").isNotNull().alias("near_upper")
-    )
-    return near.join(H.parse_operators(hints).select("chunk_id", "unit", F.col("operator").alias("first_operator")), ["chunk_id", "unit"])
+    hints = H.extract_hints(spread(table(spark, d, "part")).select(F.col("p_partkey").alias("chunk_id"), text.alias("text")))
+    near = H.parse_operators(hints, nearest=True).withColumnRenamed("operator", "nearest_operator").withColumns(
+        {"near_lower": F.col("interval.lower").isNotNull(), "near_upper": F.col("interval.upper").isNotNull()}
+    ).select(*hints.columns, "nearest_operator", "near_lower", "near_upper")
+    # both readings of a hint on its own row: texts are searched once, and nothing is joined
+    return H.parse_operators(near).select("chunk_id", "unit", "nearest_operator", "near_lower", "near_upper", F.col("operator").alias("first_operator"))
 
 
 # --- sparse vectors ----------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from clausemesh.catalog import QUERIES
 from clausemesh.functions import sparse as SV
 from clausemesh.operators import encoding as EN
 from clausemesh.operators import hints as H
@@ -171,3 +172,9 @@ def test_each_text_is_encoded_once(spark):
         EN.store_encodings(new, path, dummy=True)
     EN.store_encodings(new, path, dummy=False)
     assert EN.encode_missing(texts, spark.read.parquet(path), lambda ts: 1 / 0, F.lit("m")).count() == 0
+
+
+def test_both_operators_come_from_one_search_of_the_text(spark, sf):
+    """No join of hints with themselves: the plan reads the parts once and shuffles nothing by a key."""
+    plan = QUERIES["nearest_operators"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
