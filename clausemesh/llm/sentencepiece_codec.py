@@ -15,12 +15,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkFiles
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,8 +141,9 @@ class Codec:
     """Encoder, decoder and check of one model file; made once in a worker.
 
     Where the normaliser only marks spaces, a text is encoded by its words: each distinct word goes once through the
-    backend, in batches, and is remembered (up to SEEN_WORDS, then all are forgotten). The ids of a text are those of its
-    words one after the other; these are decoded, and compared with those of the original library, for each whole text.
+    backend, in batches, and is remembered (up to SEEN_WORDS, then all but those of the texts at hand are forgotten). The ids
+    of a text are those of its words one after the other; these are decoded, and compared with those of the original
+    library, for each whole text.
     """
 
     def __init__(self, path: str):
@@ -160,7 +162,10 @@ class Codec:
         a, with_space = self.encode(["a", "a "])
         self.last_space = np.array(with_space[len(a) :], np.int32).tobytes()
         #: What a piece decodes to, as bytes.
-        self.plain = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+        plain = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+        self.plain = np.frombuffer(b"".join(plain), np.uint8)
+        self.plain_size = np.array([len(p) for p in plain])
+        self.plain_at = np.cumsum(self.plain_size) - self.plain_size
         #: Words whose rows fail a check whatever their ids give.
         self.lossy: set[str] = set()
         self.unequal: set[str] = set()
@@ -182,10 +187,8 @@ class Codec:
 
     def _learn(self, new: set[str]) -> None:
         """Encode new words, many in one text; a text that does not fall into its words is encoded word by word."""
-        if len(self.known) + len(new) > SEEN_WORDS:
-            self.known.clear()
-        blank = [[w] for w in new if not w.strip(" ")]  # these would melt into the next word
-        words = [w for w in new if w.strip(" ")]
+        blank = [[w] for w in new if w[0] == " " and not w.strip(" ")]  # these would melt into the next word
+        words = [w for w in new if w[0] != " " or w.strip(" ")] if blank else list(new)
         groups = blank + [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
         for group, i in zip(groups, self.encode([" ".join(g) for g in groups])):
             flat = np.array(i, np.int32)
@@ -193,13 +196,27 @@ class Codec:
             begins = np.flatnonzero(self.marked[flat] & ~np.append(False, self.marks[flat[:-1]]))
             if len(begins) == len(group):
                 ends, flat = [*(begins[1:] * 4).tolist(), 4 * len(flat)], flat.tobytes()
-                self.known.update((w, flat[x:y]) for w, x, y in zip(group, [0, *ends], ends))
+                self.known.update(zip(group, map(flat.__getitem__, map(slice, [0, *ends], ends))))
             else:
                 self.known.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(group, self.encode(group)))
 
-    def _gives(self, ids: list[int], text: str) -> bool:
-        """Whether the ids decode to the text; the backend decides unless the bytes of the pieces are those of the text."""
-        return b"".join(map(self.plain.__getitem__, ids)) == (b" " if ids else b"") + text.encode() or self.decode([ids])[0] == text
+    def _gives(self, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether the ids of each text decode to it; the backend decides unless the bytes of the pieces are those of the text."""
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        size = self.plain_size[flat]
+        ends = np.cumsum(size)
+        at = np.repeat(self.plain_at[flat] - ends + size, size)
+        got = self.plain[at + np.arange(len(at))].tobytes()
+        wanted = [(b" " if len(i) else b"") + t.encode() for i, t in zip(ids, texts)]
+        if got == b"".join(wanted) and [len(w) for w in wanted] == self._sizes(ids, ends):
+            return [True] * len(texts)
+        cuts = np.cumsum([0, *self._sizes(ids, ends)]).tolist()
+        return [got[x:y] == w or self.decode([i.tolist()])[0] == t for x, y, w, i, t in zip(cuts, cuts[1:], wanted, ids, texts)]
+
+    @staticmethod
+    def _sizes(ids: list[np.ndarray], ends: np.ndarray) -> list[int]:
+        """Bytes that the ids of each text decode to; ends: the bytes up to each id of all texts."""
+        return np.diff(np.append(0, ends)[np.cumsum([0, *map(len, ids)])]).tolist()
 
     def run(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """For each text its ids, whether decoding gives it back, and whether the original library gives these ids."""
@@ -211,16 +228,15 @@ class Codec:
         every = set().union(*cut) - {""}
         new = every - self.known.keys()
         if len(self.known) + len(new) > SEEN_WORDS:
-            new = every
+            self.known = {w: self.known[w] for w in every - new}
         if new:
             self._learn(new)
         known = self.known.__getitem__
         glued = [b"".join(map(known, ws)) if not ws or ws[-1] else b"".join(map(known, ws[:-1])) + self.last_space for ws in cut]
         ids = [np.frombuffer(g, np.int32) for g in glued]
-        lists = [i.tolist() for i in ids]
         good = lambda bad, ws: not bad or bad.isdisjoint(ws)
-        checks = zip(ids, lists, cut, texts, self.original.encode(texts, num_threads=1))
-        return [(i, self._gives(own, t) and good(self.lossy, ws), own == theirs and good(self.unequal, ws)) for i, own, ws, t, theirs in checks]
+        checks = zip(ids, glued, self._gives(ids, texts), cut, self.original.encode(texts, num_threads=1))
+        return [(i, back and good(self.lossy, ws), array("i", theirs).tobytes() == own and good(self.unequal, ws)) for i, own, back, ws, theirs in checks]
 
 
 _codecs: dict[str, Codec] = {}
@@ -262,6 +278,8 @@ def encode_documents(
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        # as many threads as the task has cores: more of them would spin while other tasks want the cores
+        os.environ.setdefault("RAYON_NUM_THREADS", str(TaskContext.get().cpus()))
         own = codec(name)
         for batch in batches:
             rows = []
