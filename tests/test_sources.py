@@ -93,3 +93,17 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT estimate_tokens('abcdefgh') AS t, to_celsius(212, '°F') AS c, request_id('t', 'd', 1) AS r, lot_label('7-Lot007 x') AS l, sha1_uuid('d:1:c') AS u").first()
     assert (row.t, row.c, row.l) == (2, 100.0, "Lot 7") and row.r == hashlib.md5(b"t|d|1").hexdigest()
     assert row.u == str(uuid.uuid5(uuid.NAMESPACE_DNS, "d:1:c"))
+
+
+def test_index_files_are_dealt_over_tasks_and_listed_in_few(spark, tmp_path):
+    rows = spark.range(200).coalesce(1).select(F.col("id").cast("string").alias("bundle"), F.format_string('{"file_name": "f%d"}', "id").alias("value"))
+    path = str(tmp_path / "indices")
+    B.write_index_files(rows, path, "bundle")
+    files = list((tmp_path / "indices").glob("*/*.txt"))
+    assert len(files) == 200 and len({f.name.split("-")[1] for f in files}) > 1  # before, one task wrote them all
+    before, tracker = spark.conf.get(B.LISTING), spark.sparkContext.statusTracker()
+    jobs = set(tracker.getJobIdsForGroup(None))
+    names = B.read_index_names(spark, path, "*.txt")
+    stages = [tracker.getStageInfo(s) for j in set(tracker.getJobIdsForGroup(None)) - jobs for s in tracker.getJobInfo(j).stageIds]
+    assert all(s.numTasks < 200 for s in stages if s) and spark.conf.get(B.LISTING) == before
+    assert {(r.bundle_id, r.file_name) for r in names.collect()} == {(f"bundle={i}", f"f{i}") for i in range(200)}
