@@ -13,7 +13,7 @@ from ..operators import hints as H
 from ..operators import replay as RP
 from ..operators.inverted import InvertedIndex
 from ..plans import ingest as IN
-from ..session import fresh_path
+from ..session import cut_lineage, fresh_path
 from ..streaming import jobs as J
 from ..streaming import stateful as SF
 from ..streaming.committed import CommittedTable
@@ -214,7 +214,7 @@ def stream_ingest(spark, d):
     def chunks_of(arrived):
         row = F.from_json("value", "bundle_id string, version int, line_no long, line string")
         block = arrived.select(row.alias("r")).select(F.concat_ws("@", "r.bundle_id", "r.version").alias("bundle_id"), "r.line_no", F.col("r.line").alias("value"))
-        names = block.select("bundle_id").distinct()
+        names = cut_lineage(block.select("bundle_id").distinct())
         notices = names.select("bundle_id", F.split("bundle_id", "@")[0].alias("doc_hash"), F.split("bundle_id", "@")[1].cast("int").alias("version"))
         chunks, _ = IN.ingest(notices, block, names.withColumn("file_name", F.lit(None).cast("string")), spark.createDataFrame([], "doc_hash string, version int, chunks_indexed bigint"))
         return chunks

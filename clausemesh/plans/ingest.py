@@ -40,7 +40,8 @@ def ingest(
     good, failed = B.split_documents(parsed, "bundle_id")
     kind = B.classify(F.col("file_name"), rules, default).getField("doc_type")
     named = todo.join(index_names, "bundle_id", "left").withColumn("doc_type", kind)
-    blocks = good.join(named.select("bundle_id", "doc_hash", "version", "doc_type"), "bundle_id").withColumnRenamed("line_no", "block_ord")
+    # blocks are never sent to all tasks, however small they are guessed to be
+    blocks = good.hint("merge").join(named.select("bundle_id", "doc_hash", "version", "doc_type"), "bundle_id").withColumnRenamed("line_no", "block_ord")
     chunks = cut_lineage(CH.chunk_blocks(blocks, max_tokens, counter))
     sizes = chunks.groupBy("doc_hash", "version").agg(F.count(F.lit(1)).alias("chunks_indexed"))
     present = lines.select("bundle_id").distinct().withColumn("_file", F.lit(True))

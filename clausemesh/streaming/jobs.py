@@ -20,6 +20,7 @@ from ..operators import store as ST
 from ..operators import tasks as TS
 from ..session import cut_lineage
 from ..sources import files as FS
+from ..sources.blocks import number_read_lines
 from .committed import CommittedTable
 
 
@@ -34,7 +35,6 @@ def start_ingest(
     lines = (
         spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(bundle_dir)
         .select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("bundle_id"),
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("piece"),
             "value",
@@ -42,11 +42,10 @@ def start_ingest(
     )
 
     def batch(df: DataFrame, epoch: int) -> None:
-        from ..sources.blocks import number_lines
-
-        seq = df.withColumn("seq", F.monotonically_increasing_id())
-        names = seq.select("file", "bundle_id").distinct()
-        handle(number_lines(seq.drop("bundle_id")).join(names, "file"), epoch)
+        # files are read once; a file of any size stays spread as it was read
+        rows = cut_lineage(df.withColumn("seq", F.monotonically_increasing_id()))
+        bundle = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("bundle_id")
+        handle(number_read_lines(rows).select("file", "line_no", "value", bundle), epoch)
 
     return (
         lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -100,6 +100,23 @@ def test_bundles_stream_in(spark, tmp_path):
     assert sorted(seen) == [(b, i) for b in ("b1", "b2") for i in range(3)]
 
 
+def test_one_large_file_stays_spread(spark, tmp_path):
+    os.makedirs(tmp_path / "b1")
+    (tmp_path / "b1" / "data.jsonl").write_text("".join(f"line {i}\n" for i in range(3000)))
+    seen, key = [], "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        J.start_ingest(
+            spark, str(tmp_path / "*" / "data.jsonl"), fresh_path(spark, "bundles"),
+            lambda df, n: seen.extend(df.select("line_no", "value", F.spark_partition_id().alias("task")).collect()),
+        ).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.line_no, r.value) for r in seen) == [(i, f"line {i}") for i in range(3000)]
+    assert len({r.task for r in seen}) > 1
+
+
 def test_drift_ticks(spark):
     src, found = fresh_path(spark, "ticks"), []
     spark.range(1).write.parquet(src)
