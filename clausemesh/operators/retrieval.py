@@ -32,6 +32,8 @@ QUERY_BLOCK = 4096
 #: Scores, words and (word, query) pairs that a task holds at once.
 CELLS = 1 << 21
 IN_ROW_PHRASES = 20_000
+#: Names of hit chunks that are sent to all tasks at most.
+BROADCAST_NAMES = 100_000
 
 
 # --- vectors ----------------------------------------------------------------------------
@@ -392,7 +394,7 @@ def bm25_topk(
     if not small or any(e.startswith("=") for e in wanted_rows):
         several = phrases.where(F.size("phrase") > 1)
         frequency = frequency.unionByName(
-            rows_with(several, [chunk_id, "tokens", "scope_tokens"]).join(several, "entry")
+            rows_with(several, [chunk_id, "tokens", "scope_tokens"]).join(F.broadcast(several) if small else several.hint("merge"), "entry")
             .where(_occurs(places, F.col("phrase"), True))
             .groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
         )
@@ -408,10 +410,12 @@ def bm25_topk(
             {"n_rows": n_rows, "avg_len": avg_len, "entry": entry(F.get("terms", F.lit(0)).getField("phrase"))}
         )
     )
+    # queries go to the rows, whose words are neither moved nor sent
+    few = parsed.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
     pairs = (
         rows_with(ready.select("entry").distinct(), [chunk_id, "tokens", "scope_tokens", "status"])
         .where(F.col("status") != "illegal")
-        .join(ready, "entry")
+        .join(F.broadcast(ready) if few else ready.hint("merge"), "entry")
     )
     # terms come rarest first, so most candidates fail on their first look-ups
     counted = pairs.where(F.forall("terms", lambda t: F.array_contains("entries", entry(t.phrase)))).where(
@@ -544,6 +548,14 @@ def rerank(
     return scored.withColumn("final_rank", F.row_number().over(order))
 
 
+def _chunks_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks that are hit, stored. Names of hits go to the chunks, which are read once and neither moved nor sent; more
+    than BROADCAST_NAMES of them are joined by a shuffle. `hits` is read twice."""
+    names = hits.select("chunk_id").distinct()
+    few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    return cut_lineage(chunks.join(F.broadcast(names) if few else names.hint("merge"), "chunk_id", "left_semi"))
+
+
 def retrieve(
     queries: DataFrame,
     chunks: DataFrame,
@@ -559,7 +571,8 @@ def retrieve(
     the chunks holding it, with score 1. Without fts_hits raw vector scores are used.
     prefilter applies the scope before the lists are fused instead of after.
     """
-    meta = chunks.select("chunk_id", "text", "scope_path", "doc_type", "doc_hash", "form_fields", "column_headers")
+    columns = ["chunk_id", "text", "scope_path", "doc_type", "doc_hash", "form_fields", "column_headers"]
+    meta = chunks.select(*columns)
 
     def keep_scope(df: DataFrame) -> DataFrame:
         joined = df.join(meta.select("chunk_id", "scope_path"), "chunk_id").join(queries.select("query_id", "active_scope"), "query_id")
@@ -569,12 +582,16 @@ def retrieve(
         vector_hits = keep_scope(vector_hits)
         fts_hits = keep_scope(fts_hits) if fts_hits is not None else None
     if fts_hits is None:
-        merged = vector_hits.select("query_id", "chunk_id", "score", "rank").withColumn("short_circuit", F.lit(False))
+        hits = cut_lineage(vector_hits.select("query_id", "chunk_id", "score", "rank"))
+        meta = _chunks_of(hits, meta)
+        merged = hits.withColumn("short_circuit", F.lit(False))
         stats = None
     else:
         lists = vector_hits.select("query_id", F.lit(0).alias("list_id"), F.col("chunk_id").alias("key"), F.col("rank").alias("pos")).unionByName(
             fts_hits.select("query_id", F.lit(1).alias("list_id"), F.col("chunk_id").alias("key"), F.col("rank").alias("pos"))
         )
+        lists = cut_lineage(lists)
+        meta = _chunks_of(lists.select(F.col("key").alias("chunk_id")), meta)
         fused = rrf(lists).withColumnRenamed("key", "chunk_id")
         per_query = W.partitionBy("query_id")  # at most two lists of hits
         matched = (

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausemesh.operators import retrieval as R
+from clausemesh.session import fresh_path
 
 
 def test_rrf_example(spark):
@@ -92,3 +93,20 @@ def test_short_circuit_scope_and_rerank(spark):
     plain, none = R.retrieve(qs.where("query_id = 1"), chunks, hit([(1, "c2", 1.0, 1), (1, "c1", 0.8, 2)]), None)
     assert none is None
     assert [(r.chunk_id, round(r.final_score, 6)) for r in plain.orderBy("final_rank").collect()] == [("c1", 1.6), ("c2", 1.4)]
+
+
+def test_chunks_are_neither_sent_nor_read_again(spark):
+    """Queries and names of hits go to the chunks; hits then come with the chunks that were hit alone."""
+    place = fresh_path(spark, "chunks")
+    chunks = spark.range(50).select(
+        F.col("id").alias("chunk_id"), F.concat(F.lit("red w"), "id").alias("text"), F.array(F.lit("national")).alias("scope_path"), F.lit(None).cast("string").alias("doc_type"),
+        F.lit("d").alias("doc_hash"), F.array().cast("array<map<string,string>>").alias("form_fields"), F.array().cast("array<struct<index:int,header:string>>").alias("column_headers"),
+    )
+    chunks.write.parquet(place)
+    chunks = spark.read.parquet(place)
+    queries = spark.createDataFrame([(1, "red", None), (2, "w7", None)], "query_id long, query string, active_scope array<string>")
+    found = R.bm25_topk(queries.select("query_id", "query"), chunks.select("chunk_id", "text"))
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+    hits, _ = R.retrieve(queries, chunks, found, found)
+    assert {(r.query_id, r.chunk_id) for r in hits.where("query_id = 2").collect()} == {(2, 7)} and hits.where("query_id = 1").count() == 40
+    assert "parquet" not in hits._jdf.queryExecution().optimizedPlan().toString()
