@@ -108,9 +108,9 @@ def _bloom(hits: DataFrame) -> np.ndarray:
     bit = lambda shift: F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(BLOOM_BITS - 1))
     bits = hits.select(F.explode(F.array(bit(0), bit(32))).alias("bit"))
     byte = bits.groupBy(F.expr("bit div 8").cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 as int)))").alias("value"))
-    got = byte.toPandas()
+    got = byte.toArrow()
     out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    out[got["at"].to_numpy(np.int64)] = got["value"].to_numpy(np.uint8)
+    out[got["at"].to_numpy()] = got["value"].to_numpy().astype(np.uint8)
     return out
 
 

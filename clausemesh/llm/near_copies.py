@@ -14,7 +14,8 @@ whose hash no other set has are dropped there, and every other row gets a repres
 fit in size and place. Groups of near copies are then joined without forming their pairs: each set is verified against its
 likeliest representative, ROUNDS times over, and only hashes that sets of different components still share are looked at once
 more, for pairs of sets of different components. Such a hash with more than GROUP_ROWS sets is dealt as pairs of parts of
-it. The pairs that have enough hashes in common are verified on their whole texts.
+it. The pairs that have enough hashes in common are sifted by sketches of their whole sets, which rule out no pair of the
+similarity, and those left are verified on their whole texts; only texts of such pairs are moved.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ BLOCK_SETS, PAIRS_TOGETHER = 2000, 5000
 #: Times that each set is verified against its likeliest representative of another component.
 ROUNDS = 3
 BLOOM_BITS = 1 << 25
+#: Bits of a sketch for each hash, at least.
+SKETCH_BITS = 4
 _HAS_WORDS = r"[^\x20\x09-\x0D]"
 
 
@@ -78,8 +81,8 @@ def _weights(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.
 
     sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(text_col)
     rows = sample.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 4")
-    rows = rows.orderBy(F.desc("n"), "bucket").limit(HEAVY).toPandas()
-    return rows["bucket"].to_numpy(np.int64), np.ceil(np.log2(rows["n"].to_numpy(float))).astype(np.uint8)
+    rows = rows.orderBy(F.desc("n"), "bucket").limit(HEAVY).toArrow()  # toPandas() makes a Python object of every row
+    return rows["bucket"].to_numpy(), np.ceil(np.log2(rows["n"].to_numpy().astype(float))).astype(np.uint8)
 
 
 def _sets(size: int, similarity: float, buckets: np.ndarray, classes: np.ndarray) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
@@ -244,9 +247,9 @@ def _maybe(names: DataFrame) -> Callable[[pd.Series], pd.Series]:
     for few or, when the filter is full, many others."""
     bit = lambda shift: F.shiftrightunsigned("s", shift).bitwiseAND(F.lit(BLOOM_BITS - 1))
     bits = names.select(F.explode(F.array(bit(0), bit(32))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits")).toPandas()
+    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits")).toArrow()
     table = np.zeros(BLOOM_BITS // 32, np.uint32)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
 
     @F.pandas_udf("boolean")
     def maybe(s: pd.Series) -> pd.Series:
@@ -260,29 +263,66 @@ def _maybe(names: DataFrame) -> Callable[[pd.Series], pd.Series]:
     return maybe
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity.
+def _only(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """One text of each name (s), stored. Other texts are left where they are, but for the few that the filter lets pass."""
+    return stored(texts.where(_maybe(names)("s")).dropDuplicates(["s"]).join(names, "s", "left_semi"), "near-texts")
 
-    Both ends fall into blocks by their hash, and pairs of the same two blocks are verified together, so that a set in very
-    many pairs is sent to as many groups as there are blocks, not to each pair. A group has about PAIRS_TOGETHER pairs, or
-    all of two blocks of about BLOCK_SETS sets."""
-    pairs = stored(pairs.select("a", "b"), "near-pairs")
-    n_pairs, n_sets = max(1, pairs.count()), max(1, texts.count())
-    block = lambda x: F.pmod(F.xxhash64(F.col(x)), F.lit(-(-n_sets // BLOCK_SETS)))
-    pairs = pairs.withColumn("g", F.pmod(F.xxhash64(block("a"), block("b")), F.lit(-(-n_pairs // PAIRS_TOGETHER))))
-    sent = pairs.select(F.col("g").alias("to"), F.explode(F.array("a", "b")).alias("s")).distinct().join(texts, "s")
 
-    def verify(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        own = {s: shingles(t, size) for s, t in zip(sets["s"], sets["text"])}
-        good = np.zeros(len(pairs), bool)
-        for i, (a, b) in enumerate(zip(pairs["a"], pairs["b"])):
-            x, y = own[a], own[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+def _sketch(own: np.ndarray) -> bytes:
+    """A bit for each hash of a set, in a power of two of bits, at least SKETCH_BITS for each hash."""
+    bits = np.zeros(1 << max(6, (SKETCH_BITS * len(own) - 1).bit_length()), bool)
+    bits[own & (len(bits) - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _most_shared(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
+    """The most hashes that two sets of n and m hashes can share by their sketches (bytes): a bit that the other set lacks
+    stands for at least one hash that it lacks. The larger sketch is laid over itself until it has the size of the smaller."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) if len(z) > size else z for z in (x, y))
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _by_blocks(pairs: DataFrame, sets: DataFrame, verify: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], block_sets: int, together: int) -> DataFrame:
+    """The pairs (a, b; stored) that verify() marks among pairs and their sets (s, ...).
+
+    Both ends fall into blocks by their hash, and pairs of the same two blocks are verified together, so that a set in very
+    many pairs is sent to as many groups as there are blocks, not to each pair. A group has about `together` pairs, or
+    all of two blocks of about `block_sets` sets."""
+    n_pairs, n_sets = max(1, pairs.count()), max(1, sets.count())
+    block = lambda x: F.pmod(F.xxhash64(F.col(x)), F.lit(-(-n_sets // block_sets)))
+    pairs = pairs.withColumn("g", F.pmod(F.xxhash64(block("a"), block("b")), F.lit(-(-n_pairs // together))))
+    sent = pairs.select(F.col("g").alias("to"), F.explode(F.array("a", "b")).alias("s")).distinct().join(sets, "s")
+
+    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        good = verify(pairs, sets)
         give_back_memory()
         return pairs.loc[good, ["a", "b"]]
 
-    return pairs.groupBy("g").cogroup(sent.groupBy("to")).applyInPandas(verify, "a long, b long")
+    return pairs.groupBy("g").cogroup(sent.groupBy("to")).applyInPandas(run, "a long, b long")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity: sifted by sketches (s, n, sketch), then verified on the texts."""
+
+    def enough(both: int, n: int, m: int) -> bool:
+        return both >= similarity * (n + m - both) - 1e-9
+
+    def may(pairs: pd.DataFrame, sets: pd.DataFrame) -> np.ndarray:
+        own = {s: (n, np.frombuffer(k, np.uint8)) for s, n, k in zip(sets["s"], sets["n"], sets["sketch"])}
+        return np.array([enough(_most_shared(*own[a], *own[b]), own[a][0], own[b][0]) for a, b in zip(pairs["a"], pairs["b"])], bool)
+
+    def are(pairs: pd.DataFrame, sets: pd.DataFrame) -> np.ndarray:
+        own = {s: shingles(t, size) for s, t in zip(sets["s"], sets["text"])}
+        shared = lambda a, b: len(np.intersect1d(own[a], own[b], assume_unique=True))
+        return np.array([enough(shared(a, b), len(own[a]), len(own[b])) for a, b in zip(pairs["a"], pairs["b"])], bool)
+
+    pairs = stored(pairs.select("a", "b"), "near-pairs")
+    left = stored(_by_blocks(pairs, sketches, may, 4 * BLOCK_SETS, 4 * PAIRS_TOGETHER), "near-sifted")
+    if not left.limit(1).count():
+        return left
+    asked = stored(left.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "near-asked")
+    return _by_blocks(left, _only(texts, asked), are, BLOCK_SETS, PAIRS_TOGETHER)
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -324,16 +364,22 @@ def _cross_pairs(shared: DataFrame, roots: DataFrame, similarity: float, group_r
     return pairs.where(F.col("hits") >= least).select("a", "b")
 
 
-def _trie_pairs(texts: DataFrame, size: int, budget: int) -> DataFrame:
-    """a, b: pairs of sets that the trie of fingerprints brings together. Sets of one fingerprint hang on the least of them,
-    and that hangs on the one of the fingerprint it is linked to, so there is at most a pair or two for each set."""
+def _drawn(texts: DataFrame, size: int) -> DataFrame:
+    """s, fp, n, sketch: the fingerprint of each text, and the size and the sketch of its set."""
 
-    @F.pandas_udf("long")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("fp long, n long, sketch binary")
+    def draw(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([simhash.fingerprint_of(t, size) for t in batch], dtype="uint64").astype("int64")
+            fps = np.array([simhash.fingerprint_of(t, size) for t in batch], np.uint64).view(np.int64)
+            sets = [shingles(t, size) for t in batch]
+            yield pd.DataFrame({"fp": fps, "n": [len(x) for x in sets], "sketch": [_sketch(x) for x in sets]})
+
+    return stored(texts.select("s", draw("text").alias("v")).select("s", "v.*"), "near-fingerprints")
+
 
-    own = stored(texts.select("s", fingerprint("text").alias("fp")), "near-fingerprints")
+def _trie_pairs(own: DataFrame, budget: int) -> DataFrame:
+    """a, b: pairs of sets (s, fp) that the trie of fingerprints brings together. Sets of one fingerprint hang on the least of
+    them, and that hangs on the one of the fingerprint it is linked to, so there is at most a pair or two for each set."""
     heads = stored(own.groupBy("fp").agg(F.min("s").alias("head")), "near-heads")
     same = own.join(heads, "fp").select(F.col("head").alias("a"), F.col("s").alias("b"))
     head = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
@@ -362,19 +408,21 @@ def similar_groups(
     shared = stored(rows.mapInArrow(_neighbours(similarity), "h long, nat long, s long, p long"), "near-rows")
 
     named = stored(shared.select("s").distinct(), "near-names")
-    texts = texts.where(_maybe(named)("s")).dropDuplicates(["s"]).join(named, "s", "left_semi")
-    texts = stored(texts, "near-texts")
+    texts = _only(texts, named)
+    drawn = _drawn(texts, shingle)
+    sketches = drawn.select("s", "n", "sketch")
+    alike = lambda pairs: _alike(pairs, sketches, texts, similarity, shingle)
     before = stored(shared.where("p is not null").groupBy(F.col("p").alias("a"), F.col("s").alias("b")).agg(F.count(F.lit(1)).alias("hits")), "near-before")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    roots = _joined(roots, _alike(_trie_pairs(texts, shingle, budget), texts, similarity, shingle))
+    roots = _joined(roots, alike(_trie_pairs(drawn.select("s", "fp"), budget)))
     for _ in range(ROUNDS):
         known = roots
         open_ = _rooted(before, roots).where("a_root <> b_root")
         likeliest = open_.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a"))
-        roots = _joined(roots, _alike(likeliest, texts, similarity, shingle))
+        roots = _joined(roots, alike(likeliest))
         if roots is known:  # nothing new was linked
             break
-    roots = _joined(roots, _alike(_cross_pairs(shared, roots, similarity, group_rows), texts, similarity, shingle))
+    roots = _joined(roots, alike(_cross_pairs(shared, roots, similarity, group_rows)))
     rows = own.select("k_id", "k_h", F.coalesce(F.col("text").rlike(_HAS_WORDS), F.lit(False)).alias("words"))
     alone = F.when(F.col("words"), F.col("k_h")).otherwise(F.lit(0).cast("long"))
     return rows.join(roots, rows.k_h == roots.node, "left").select("k_id", "k_h", F.coalesce("root", alone).alias("root"))

@@ -287,7 +287,7 @@ def _surest(figures: DataFrame, columns: list[str], odds: Callable[[pd.DataFrame
     top = rows.where(F.col("odds") >= edges[1]).orderBy(F.desc("odds"), F.hash("k_h"), "k_h").limit(given).select("k_h", F.lit(1).alias("good"))
     low = rows.where(F.col("odds") <= edges[0]).orderBy("odds", F.hash("k_h"), "k_h").limit(given).select("k_h", F.lit(0).alias("good"))
     chosen = F.broadcast(top.union(low).dropDuplicates(["k_h"]))
-    return figures.select(*_EVERY).join(chosen, "k_h").dropDuplicates(["k_h"]).toPandas().sort_values("k_h", ignore_index=True)
+    return figures.select(*_EVERY).join(chosen, "k_h").dropDuplicates(["k_h"]).toArrow().to_pandas().sort_values("k_h", ignore_index=True)
 
 
 def _tail(odds: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], tuple[float, float]]:
@@ -306,7 +306,7 @@ def _tail(odds: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], tuple[f
 def co_train(figures: DataFrame, n_words: int, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained | None:
     """Fit both views on figures (k_h, shapes, present, meta, good, clean, held); None without labels of both classes."""
     known = figures.where("good is not null").select(*_EVERY, "good", "clean", "held").dropDuplicates(["k_h"])
-    known = known.toPandas().sort_values("k_h", ignore_index=True)
+    known = known.toArrow().to_pandas().sort_values("k_h", ignore_index=True)  # toPandas() makes a Python object of every number
     if known["good"].nunique() < 2:
         return None
     held = known["held"].to_numpy(bool)

@@ -114,3 +114,51 @@ def test_neighbour_rows_grow_in_proportion():
         one_root[1] = np.arange(n)  # all apart, but none shares enough hashes to be like any other
         batch = pa.RecordBatch.from_arrays([*map(pa.array, one_root), pa.array(np.ones(n, bool)), pa.array(np.full(n, 8))], names=list("grnasp") + ["whole", "c"])
         assert list(near_copies._across(0.8)(iter([batch]))) == []
+
+
+def test_sketches_rule_out_no_similar_pair():
+    """A sketch never says less than two sets share, whatever their sizes, and tells most unlike sets apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    told = 0
+    for n in (1, 3, 17, 200, 3000):
+        for share in (0.0, 0.3, 0.79, 0.9, 1.0):
+            for more in (0, n // 5, 8 * n):
+                x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+                both = int(share * len(x))
+                y = np.unique(np.append(x[:both], rng.integers(-(2**63), 2**63 - 1, len(x) - both + more)))
+                a, b = (np.frombuffer(near_copies._sketch(s), np.uint8) for s in (x, y))
+                most, own = near_copies._most_shared(len(x), a, len(y), b), len(np.intersect1d(x, y))
+                assert own <= most <= min(len(x), len(y))
+                assert most == near_copies._most_shared(len(y), b, len(x), a)
+                told += most < 0.8 / 1.8 * (len(x) + len(y))
+    assert told >= 40
+
+
+def test_only_texts_of_likely_pairs_are_moved(spark, monkeypatch):
+    """Texts that share a passage, but are not alike, are told apart by their sketches."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    passage = [rng.choice(words) for _ in range(120)]
+    rows = [" ".join(passage + [rng.choice(words) for _ in range(80)]) for _ in range(30)]
+    texts = spark.createDataFrame(list(enumerate([*rows, rows[0] + " end"])), "s long, text string").repartition(3)
+    pairs = spark.createDataFrame([(a, b) for b in range(31) for a in range(b)], "a long, b long")
+    moved = []
+    keep = near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda df, name: moved.append((name, found := keep(df, name))) or found)
+    sketches = near_copies._drawn(texts, 5).select("s", "n", "sketch")
+    assert [tuple(r) for r in near_copies._alike(pairs, sketches, texts, 0.8, 5).collect()] == [(0, 30)]
+    assert [df.count() for name, df in moved if name == "near-texts"] == [2]
+
+
+def test_tables_for_the_driver_come_as_arrow(spark, monkeypatch):
+    """toPandas() makes Python objects of all rows in the driver, ten times what they take as Arrow columns."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(self):
+        raise AssertionError("toPandas")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    df = spark.createDataFrame([(i, "a b c d e f g h") for i in range(3)], "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.keep_one(df).collect()] == [0]
