@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -27,66 +28,107 @@ Handler = Callable[[str, int], tuple[bool, str | None]]
 RETRY_SCHEMA = "request_id string, status string, attempts int, last_error string, outcome string, reason string"
 
 
+#: Groups that the tasks of a stream are dealt to. Calls to the state cost far more than the rows they carry.
+RETRY_GROUPS = 1024
+_KEPT = pa.schema([("request_id", pa.string()), ("status", pa.string()), ("attempts", pa.int32()), ("last_error", pa.string()), ("updated_at", pa.float64()), ("due", pa.int64())])
+
+
 class _Retries(StatefulProcessor):
-    """One task for each key, and a timer for its next attempt."""
+    """The tasks of a group with the time of their next attempts, in ms, and one timer for the first of these.
+
+    `wake` is the time of that timer, 0 if there is none; `tasks` are Arrow rows of _KEPT, whose `due` is null where no
+    attempt is waited for.
+    """
 
     def __init__(self, handler: Handler, max_attempts: int, age: float):
         self.handler, self.max_attempts, self.age = handler, max_attempts, age
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", "status string, attempts int, last_error string, updated_at double")
-
-    def _wait(self, due: float, timerValues, known: bool = True) -> None:
-        for timer in list(self.handle.listTimers()) if known else []:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(int(due * 1000), timerValues.getCurrentProcessingTimeInMs() + 1))
+        self.group = handle.getValueState("group", "wake long, tasks binary")
+
+    def _load(self) -> tuple[int, dict]:
+        known = self.group.get()
+        if known is None:
+            return 0, {}
+        with pa.ipc.open_stream(pa.py_buffer(bytes(known[1]))) as stored:
+            columns = [c.to_pylist() for c in stored.read_all().columns]
+        return known[0], dict(zip(columns[0], zip(*columns[1:])))
+
+    def _keep(self, wake: int, tasks: dict) -> None:
+        columns = [list(tasks), *zip(*tasks.values())]
+        table, out = pa.table([pa.array(c, f.type) for c, f in zip(columns, _KEPT)], schema=_KEPT), pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _KEPT) as stored:
+            stored.write_table(table)
+        self.group.update((wake, out.getvalue().to_pybytes()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """The newest state of a task that arrives replaces the one kept, unless that is newer."""
-        new = pd.concat(list(rows)).sort_values(["updated_at", "attempts"], kind="stable").iloc[-1]
-        known = self.task.exists()
-        if known and self.task.get()[3] > new["updated_at"]:
-            return
-        error = new["last_error"] if isinstance(new["last_error"], str) else None
-        self.task.update((new["status"], int(new["attempts"]), error, float(new["updated_at"])))
-        if new["status"] in K.RETRY_STATUSES and not new["unwired_skipped"] and new["attempts"] < self.max_attempts:
-            self._wait(new["updated_at"] + self.age, timerValues, known)
+        new = pd.concat(list(rows)).sort_values(["updated_at", "attempts"], kind="stable").drop_duplicates("request_id", keep="last")
+        wake, tasks = self._load()
+        soon, first = timerValues.getCurrentProcessingTimeInMs() + 1, None
+        for name, status, attempts, error, at, unwired in zip(*(new[c].tolist() for c in ("request_id", "status", "attempts", "last_error", "updated_at", "unwired_skipped"))):
+            if name in tasks and tasks[name][3] > at:
+                continue
+            due = None
+            if status in K.RETRY_STATUSES and not unwired and attempts < self.max_attempts:
+                due = max(int((at + self.age) * 1000), soon)
+                first = due if first is None else min(first, due)
+            tasks[name] = (status, int(attempts), error if isinstance(error, str) else None, float(at), due)
+        if first is not None and (not wake or first < wake):  # a timer whose time has come stays: it goes off after the input
+            if wake:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(first)
+            wake = first
+        self._keep(wake, tasks)
         return
         yield  # a generator without rows
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts, last_error, updated_at = self.task.get()
-        attempts += 1
-        ok, error = self.handler(key[0], attempts)
-        ok = ok and error is None
-        now = timerValues.getCurrentProcessingTimeInMs() / 1000
-        if ok:
-            status, last_error, updated_at = "COMPLETED", None, now
-        else:
-            message = error or K.RETRY_FALSE_ERROR
-            status, last_error = "FAILED", f"{last_error} | {message}" if last_error else message
-            if attempts < self.max_attempts:
-                self._wait(now + self.age, timerValues)
-        self.task.update((status, attempts, last_error, updated_at))
-        reason = f"handler_failed:{error}" if error is not None else "retry_invoked"
-        row = {"request_id": key[0], "status": status, "attempts": attempts, "last_error": last_error, "outcome": "success" if ok else "failed", "reason": reason}
-        yield pd.DataFrame([row])
+        _, tasks = self._load()
+        now_ms = timerValues.getCurrentProcessingTimeInMs()
+        now, out, wake = now_ms / 1000, [], 0
+        for name, (status, attempts, last_error, _, due) in tasks.items():
+            if due is not None and due <= now_ms:
+                attempts, due = attempts + 1, None
+                ok, error = self.handler(name, attempts)
+                ok = ok and error is None
+                if ok:
+                    status, last_error = "COMPLETED", None
+                else:
+                    message = error or K.RETRY_FALSE_ERROR
+                    status, last_error = "FAILED", f"{last_error} | {message}" if last_error else message
+                    if attempts < self.max_attempts:
+                        due = max(int((now + self.age) * 1000), now_ms + 1)
+                tasks[name] = (status, attempts, last_error, now, due)
+                out.append((name, status, attempts, last_error, "success" if ok else "failed", f"handler_failed:{error}" if error is not None else "retry_invoked"))
+            if due is not None:
+                wake = min(wake or due, due)
+        if wake:
+            self.handle.registerTimer(wake)
+        self._keep(wake, tasks)
+        if out:
+            yield pd.DataFrame(out, columns=["request_id", "status", "attempts", "last_error", "outcome", "reason"])
 
     def close(self) -> None:
         pass
 
 
-def timed_retries(tasks: DataFrame, handler: Handler, max_attempts: int = K.MAX_ATTEMPTS, age: float = K.RETRY_AGE_SECONDS) -> DataFrame:
+def timed_retries(
+    tasks: DataFrame, handler: Handler, max_attempts: int = K.MAX_ATTEMPTS, age: float = K.RETRY_AGE_SECONDS, groups: int = RETRY_GROUPS
+) -> DataFrame:
     """A row for every attempt at every task of a stream.
 
     tasks: request_id, status, attempts, last_error, updated_at (seconds), unwired_skipped; a task may arrive again with a
-    newer state. A task that may be tried waits on a timer of its own until it is `age` seconds old, and again after each
-    failure; no scan over all tasks is needed. handler(request_id, attempt) gives (ok, error). A micro-batch that runs
-    again calls it again with the same attempt, so it should act once for each (request_id, attempt).
+    newer state. A task that may be tried waits until it is `age` seconds old, and again after each failure. Tasks are kept
+    in groups by their hash; a group is read when rows arrive for it or the first of its tasks is due, and no scan over all
+    tasks is needed. A group's tasks are held in memory at once, so more of them want more groups, a number that may not
+    change while a checkpoint is in use. handler(request_id, attempt) gives (ok, error). A micro-batch that runs again calls
+    it again with the same attempt, so it should act once for each (request_id, attempt).
     """
     with_state(tasks.sparkSession)
-    return tasks.groupBy("request_id").transformWithStateInPandas(
+    dealt = tasks.withColumn("_group", F.pmod(F.xxhash64("request_id"), F.lit(groups)).cast("int"))
+    return dealt.groupBy("_group").transformWithStateInPandas(
         statefulProcessor=_Retries(handler, max_attempts, age), outputStructType=RETRY_SCHEMA, outputMode="Append", timeMode="ProcessingTime"
     )
 

@@ -4,6 +4,7 @@ import os
 import random
 from types import SimpleNamespace
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,65 @@ def test_a_stream_that_goes_on_is_not_stopped():
     assert 5 < stuck.n < 20
 
 
+class _Handle:
+    """State and timers of one group, with the number of calls."""
+
+    def __init__(self):
+        self.kept, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.kept is not None
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls, self.kept = self.calls + 1, value
+
+    def listTimers(self):
+        self.calls += 1
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_retries_of_many_tasks_need_few_calls():
+    """A group of tasks has one state and one timer; a task that is done meanwhile is not tried."""
+    handle, tried = _Handle(), []
+    retries = SF._Retries(lambda name, n: (tried.append((name, n)) or n >= 2, None), 3, 1.0)
+    retries.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: ms)
+    frame = lambda *rows: pd.DataFrame(rows, columns=["request_id", "status", "attempts", "last_error", "updated_at", "unwired_skipped"])
+    rows = [(f"t{i}", "PENDING", 0, None, 10.0 + i % 2, 0) for i in range(300)]
+    assert list(retries.handleInputRows((0,), iter([frame(*rows)]), at(10_000))) == []
+    assert handle.timers == [11_000] and handle.calls <= 4
+    list(retries.handleInputRows((0,), iter([frame(("t0", "COMPLETED", 0, None, 10.5, 0), ("t1", "FAILED", 2, None, 5.0, 0))]), at(10_600)))  # the last is older
+
+    def fire(ms):
+        assert len(handle.timers) == 1 and handle.timers.pop() <= ms
+        return pd.concat(list(retries.handleExpiredTimer((0,), at(ms), None)))
+
+    first = fire(11_000)
+    assert set(first["request_id"]) == {f"t{i}" for i in range(2, 300, 2)} and set(first["status"]) == {"FAILED"} and set(first["reason"]) == {"retry_invoked"}
+    assert handle.timers == [12_000]  # both those tried just now and those due at first by then
+    second = fire(12_000)
+    assert len(second) == 299 and {(r.status, r.attempts) for r in second.itertuples()} == {("COMPLETED", 2), ("FAILED", 1)}
+    third = fire(13_000)
+    assert set(third["request_id"]) == {f"t{i}" for i in range(1, 300, 2)} and set(third["status"]) == {"COMPLETED"}
+    assert handle.timers == [] and len(tried) == 598 and handle.calls < 20
+
+
 def test_half_written_update_has_no_effect(spark):
     index = InvertedIndex(spark, fresh_path(spark, "index"))
     docs = spark.createDataFrame([("a0", "a", "red bolt")], "chunk_id string, doc_hash string, text string")
