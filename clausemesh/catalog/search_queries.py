@@ -217,13 +217,13 @@ def split_by_tokens(spark, d):
     "SELECT doc_id, length(text) AS n_chars, true AS bounded FROM documents",
 )
 def split_is_loss_free(spark, d):
-    """Pieces put together give all but the white space of the text back, each within the limit."""
-    solid = lambda c: F.regexp_replace(c, r"\s+", "")
+    """Pieces put together give all but the white space of the text back, each within the limit; a blank text has none."""
+    solid = lambda c: F.translate(F.coalesce(c, F.lit("")), K.SPACES, "")
     docs = documents(spark, d).select("doc_id", "text", X.split_by_tokens(F.col("text"), 100).alias("p"))
     return docs.select(
         "doc_id",
         F.when(solid(F.array_join("p", "")) == solid(F.col("text")), F.length("text")).otherwise(-1).cast("long").alias("n_chars"),
-        (F.array_max(F.transform("p", lambda s: F.length(s))) <= 440).alias("bounded"),
+        F.forall("p", lambda s: F.length(s) <= 440).alias("bounded"),
     )
 
 
