@@ -12,6 +12,8 @@ parallel and only the tables are composed in order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,7 @@ from ..functions import fixed as K
 from ..functions import ids
 from ..functions import text as X
 from ..session import cut_lineage
-from .scan import Running, running, sorted_list
+from .scan import Running, running, sorted_by, sorted_list
 
 UNIT_BLOCKS = 1024
 FAN = 512
@@ -36,9 +38,9 @@ BLOCK_FIELDS = [
 ]
 
 
-def prepare_blocks(blocks: DataFrame) -> DataFrame:
-    """Parsed blocks flattened to what chunking reads; blocks without text are dropped."""
+def _flat(blocks: DataFrame, *keep: str) -> DataFrame:
     return blocks.select(
+        *keep,
         "doc_hash",
         F.col("version").cast("int").alias("version"),
         F.col("doc_type"),
@@ -54,13 +56,43 @@ def prepare_blocks(blocks: DataFrame) -> DataFrame:
         F.col("content.structured").alias("structured"),
         F.col("content.md_preview").alias("md_preview"),
         X.block_text(F.col("content.md_preview"), F.col("content.raw")).alias("text"),
-    ).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    )
+
+
+_FILLED = "coalesce(text, '') <> ''"
+
+
+def prepare_blocks(blocks: DataFrame) -> DataFrame:
+    """Parsed blocks flattened to what chunking reads; blocks without text are dropped."""
+    return _flat(blocks).where(_FILLED)
+
+
+def unit_of(block_ord: Column) -> Column:
+    return F.floor(block_ord / UNIT_BLOCKS)
+
+
+def bundle_units(parsed: DataFrame) -> DataFrame:
+    """Units of the output of parse_lines with bundle_id, doc_hash, version, doc_type, unit, alone and block_ord.
+
+    `bad` is true where a line of the unit is rejected; such a unit has no blocks. There is no shuffle if the lines lie
+    together by bundle_id and unit.
+    """
+    rows = _flat(parsed, "bundle_id", "unit", "alone", "bad").groupBy("bundle_id", *UNIT).agg(
+        F.first("doc_type").alias("doc_type"), F.first("alone").alias("alone"), F.bool_or("bad").alias("bad"),
+        sorted_list("block_ord", *BLOCK_FIELDS, where=~F.col("bad") & F.expr(_FILLED)).alias("rows"),
+    )
+    return rows.withColumn("rows", F.when(F.col("bad"), F.slice("rows", 1, 0)).otherwise(F.col("rows")))
+
+
+def joined_units(units: DataFrame) -> DataFrame:
+    """Units of equal document, version and number put together, such as those of several bundles of one document."""
+    return units.groupBy(*UNIT).agg(F.first("doc_type").alias("doc_type"), sorted_by("block_ord", F.flatten(F.collect_list("rows"))).alias("rows")).where(F.size("rows") > 0)
 
 
 def units_from_blocks(prepared: DataFrame) -> DataFrame:
     """One row per document and run of UNIT_BLOCKS block positions: the only shuffle of text."""
     return (
-        prepared.withColumn("unit", F.floor(F.col("block_ord") / UNIT_BLOCKS))
+        prepared.withColumn("unit", unit_of(F.col("block_ord")))
         .groupBy(*UNIT)
         .agg(
             F.first("doc_type").alias("doc_type"),
@@ -322,7 +354,7 @@ def _with_carry(units: DataFrame, budget: int, counter: X.TokenCounter) -> DataF
     )
 
 
-def _packed(units: DataFrame, budget: int, counter: X.TokenCounter) -> DataFrame:
+def _packed(units: DataFrame, budget: int, counter: X.TokenCounter, keep: Sequence[str] = ()) -> DataFrame:
     """Array column `packs` of STRUCT<key, edge, kind, blocks>, one per pack piece in the unit.
 
     kind: single (table or kv), split (one block over budget), flush (closed by a table or
@@ -364,7 +396,7 @@ def _packed(units: DataFrame, budget: int, counter: X.TokenCounter) -> DataFrame
 
     return (
         marked.withColumns({"continues": continues, "all_starts": starts})
-        .select(*DOC, "doc_type", "unit", F.transform("all_starts", piece).alias("packs"))
+        .select(*DOC, "doc_type", "unit", *keep, F.transform("all_starts", piece).alias("packs"))
     )
 
 
@@ -564,27 +596,27 @@ CHUNK_COLUMNS = [
 ]
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    """Explode `chunks` numbered from `offset` into the chunk table."""
+def _finish(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Explode `chunks` numbered from `offset` into the chunk table; with columns to keep, rows without chunks stay, too."""
+    rows = df.select(*DOC, "doc_type", "offset", *keep, F.posexplode_outer("chunks").alias("pos", "c"))
     return (
-        df.select(*DOC, "doc_type", "offset", F.posexplode_outer("chunks").alias("pos", "c"))
-        .where(F.col("pos").isNotNull())
-        .select(*DOC, "doc_type", (F.col("offset") + F.col("pos")).alias("chunk_index"), "c.*")
+        (rows if keep else rows.where(F.col("pos").isNotNull()))
+        .select(*DOC, "doc_type", (F.col("offset") + F.col("pos")).alias("chunk_index"), *keep, "c.*")
         .withColumns(
             {
                 "chunk_id": ids.chunk_id(F.col("doc_hash"), F.col("chunk_index")),
                 "token_count": X.estimate_tokens(F.col("text")),
             }
         )
-        .select(*CHUNK_COLUMNS)
+        .select(*keep, *CHUNK_COLUMNS)
     )
 
 
 def pack_units(
-    units: DataFrame, max_tokens: int = K.MAX_CHUNK_TOKENS, counter: X.TokenCounter = X.estimate_tokens
+    units: DataFrame, max_tokens: int = K.MAX_CHUNK_TOKENS, counter: X.TokenCounter = X.estimate_tokens, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Packs of documents that are one unit each, before their texts are built."""
-    return _packed(_carry_free(units), max_tokens, counter)
+    return _packed(_carry_free(units), max_tokens, counter, keep)
 
 
 def chunk_single_units(
@@ -592,10 +624,14 @@ def chunk_single_units(
     max_tokens: int = K.MAX_CHUNK_TOKENS,
     counter: X.TokenCounter = X.estimate_tokens,
     with_tables: bool = True,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Chunk documents that are one unit each: a narrow plan from scan to chunks."""
-    packed = pack_units(units, max_tokens, counter)
-    return _finish(_chunk_arrays(packed, max_tokens, counter, with_tables).withColumn("offset", F.lit(0).cast("long")))
+    """Chunk documents that are one unit each: a narrow plan from scan to chunks.
+
+    With columns of the units to keep, a document without chunks has one row, whose chunk_index is null.
+    """
+    packed = pack_units(units, max_tokens, counter, keep)
+    return _finish(_chunk_arrays(packed, max_tokens, counter, with_tables).withColumn("offset", F.lit(0).cast("long")), keep)
 
 
 def chunk_unit_series(

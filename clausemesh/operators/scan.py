@@ -34,10 +34,16 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
     return None if hot.isEmpty() else hot
 
 
-def sorted_list(by: str, *fields: str) -> Column:
-    """Aggregate a group of bounded size to an array of structs ordered by one field."""
+def sorted_list(by: str, *fields: str, where: Column | None = None) -> Column:
+    """Aggregate a group of bounded size, or its rows that fulfil `where`, to an array of structs ordered by one field."""
+    row = F.struct(*fields)
+    return sorted_by(by, F.collect_list(row if where is None else F.when(where, row)))
+
+
+def sorted_by(by: str, rows: Column) -> Column:
+    """An array of structs ordered by one field."""
     return F.array_sort(
-        F.collect_list(F.struct(*fields)),
+        rows,
         lambda a, b: F.when(a.getField(by) < b.getField(by), -1).when(a.getField(by) > b.getField(by), 1).otherwise(0),
     )
 

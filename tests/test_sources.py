@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import json
+import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from clausemesh.functions import register
 from clausemesh.operators import store as ST
 from clausemesh.plans import ingest as IN
+from clausemesh.session import shared_dir
 from clausemesh.sources import blocks as B
 from clausemesh.sources import files as FS
 
@@ -107,3 +110,38 @@ def test_index_files_are_dealt_over_tasks_and_listed_in_few(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in set(tracker.getJobIdsForGroup(None)) - jobs for s in tracker.getJobInfo(j).stageIds]
     assert all(s.numTasks < 200 for s in stages if s) and spark.conf.get(B.LISTING) == before
     assert {(r.bundle_id, r.file_name) for r in names.collect()} == {(f"bundle={i}", f"f{i}") for i in range(200)}
+
+
+def test_ingest_stores_texts_once(spark, tmp_path):
+    """What an ingest leaves in the shared folder is about the chunks' texts, for short documents, and documents of many lines
+    or of several bundles are as those of few."""
+    def grown(fn):
+        size = lambda: sum(f.stat().st_size for f in pathlib.Path(shared_dir(spark)).rglob("*") if f.is_file())
+        before = size()
+        return fn(), size() - before
+
+    rng = random.Random(1)
+    line = lambda doc, n, text: (doc, n, json.dumps({"doc_id": doc, "block_id": f"b{n}", "type": "text", "content": {"raw": text}}))
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(500)) for _ in range(200)]
+    lines = spark.createDataFrame([line(f"d{i % 20}", i // 20, t) for i, t in enumerate(texts)], "bundle_id string, line_no long, value string")
+    notices = lines.selectExpr("bundle_id doc_hash", "1 version", "bundle_id").distinct()
+    names = spark.createDataFrame([], "bundle_id string, file_name string")
+    done = spark.createDataFrame([], "doc_hash string, version int, chunks_indexed long")
+    (chunks, _), left = grown(lambda: IN.ingest(notices, lines, names, done))
+    assert chunks.agg(F.sum(F.length(F.regexp_replace("text", "\n", "")))).first()[0] == 100_000
+    assert left < 1.5 * 3 * 100_000  # three bytes a character
+
+    many = [("long", n, n, f"line {n}") for n in range(2500)] + [("one", n, n, f"first {n}") for n in range(3)] + [("two", n, n + 3, f"next {n}") for n in range(3)] + [("torn", n, n, f"x {n}") for n in range(1100)]
+    lines = spark.createDataFrame([line(b, k, t) for b, n, k, t in many] + [("torn", 2000, "{")], lines.schema)
+    notices = spark.createDataFrame([("long", 1, "long"), ("both", 1, "one"), ("both", 1, "two"), ("torn", 1, "torn")], "doc_hash string, version int, bundle_id string")
+    chunks, outcomes = IN.ingest(notices, lines, names, done, max_tokens=50)
+    got = {}
+    for r in chunks.orderBy("doc_hash", "chunk_index").collect():
+        got.setdefault(r.doc_hash, []).append(r)
+    assert {d: [r.chunk_index for r in rows] for d, rows in got.items()} == {d: list(range(len(rows))) for d, rows in got.items()}
+    assert {d: "\n".join(r.text for r in rows).split("\n") for d, rows in got.items()} == {
+        "long": [f"line {n}" for n in range(2500)], "both": [*(f"first {n}" for n in range(3)), *(f"next {n}" for n in range(3))],
+    }
+    assert sorted((r.doc_hash, r.rag_status, r.error_code) for r in outcomes.collect()) == [
+        ("both", "success", None), ("both", "success", None), ("long", "success", None), ("torn", "failed", "ir_parse_error"),
+    ]
