@@ -16,7 +16,7 @@ from clausemesh.operators import hints as H
 from clausemesh.operators import inverted
 from clausemesh.operators import replay as RP
 from clausemesh.operators.inverted import InvertedIndex
-from clausemesh.session import fresh_path
+from clausemesh.session import fresh_path, shared_dir
 from clausemesh.streaming import jobs as J
 from clausemesh.streaming import stateful as SF
 from clausemesh.streaming.committed import CommittedTable
@@ -43,6 +43,24 @@ def test_index_writes_new_documents_only(spark):
     assert ask("green") == [] and ask("white") == ["a0"]
 
 
+def test_index_rows_are_not_moved(spark):
+    """An update stores texts in the index alone, and the file of a chunk has all its rows; dead segments are not read."""
+    index = InvertedIndex(spark, fresh_path(spark, "index"))
+    here = lambda: {f for f in os.listdir(shared_dir(spark)) if f.startswith("index-words")}
+    before = here()
+    docs = spark.createDataFrame([(i, f"d{i % 3}", f"bolt{i} nut{i % 2} ring") for i in range(12)] + [(12, "d0", "")], "chunk_id long, doc_hash string, text string").repartition(3)
+    index.update(docs.withColumn("text", F.lit("stale")))
+    index.update(docs)
+    assert here() == before
+    files = index._read("rows", [2]).select("chunk_id", F.input_file_name().alias("f"), "term").groupBy("chunk_id").agg(F.count_distinct("f").alias("n"), F.count("term").alias("terms"))
+    assert {(r.chunk_id, r.n, r.terms) for r in files.collect()} == {*((i, 1, 3) for i in range(12)), (12, 1, 0)}
+    _, segments, marks = index._manifest()
+    assert index._alive(segments, marks) == ([2], []) and index.chunks().count() == 13
+    index.delete(docs.select("doc_hash").where("doc_hash = 'd1'"))
+    _, segments, marks = index._manifest()
+    assert index._alive(segments, marks) == ([], [2]) and index.chunks().count() == 9
+
+
 def test_postings_are_columns_of_numbers(monkeypatch):
     """Terms and positions of whole Arrow batches, in parts of a few words, against plain Python; no row becomes a Python object."""
     monkeypatch.setattr(inverted, "CELLS", 7)
