@@ -208,7 +208,10 @@ def stream_ingest(spark, d):
     wide = lines.withColumn("folder", F.concat(F.lit("part"), F.pmod(F.xxhash64("bundle_id"), F.lit(3)).cast("string")))
     present = wide.select("folder", F.to_json(F.struct("bundle_id", F.lit(2).alias("version"), "line_no", F.col("value").alias("line"))).alias("value"))
     older = wide.where("line_no = 0").select(F.lit("zold").alias("folder"), F.to_json(F.struct("bundle_id", F.lit(1).alias("version"), "line_no", F.col("value").alias("line"))).alias("value"))
-    present.unionByName(older).repartition("folder").write.partitionBy("folder").text(path)
+    # a task writes its own bundles, each whole in one file; compressed files cannot be cut, so there are many
+    present.write.partitionBy("folder").text(path, compression="gzip")
+    older.write.mode("append").partitionBy("folder").text(path, compression="gzip")
+    n_files = len(spark.read.text(path).inputFiles())
     target = CommittedTable(spark, fresh_path(spark, "chunks"))
 
     def chunks_of(arrived):
@@ -225,7 +228,7 @@ def stream_ingest(spark, d):
             raise Crash("between rows and commit")
 
     crashed: list[int] = []
-    start = lambda: J.ingest_once(spark, f"{path}/*/*.txt", progress, target, chunks_of, max_files=1, before_commit=fail)
+    start = lambda: J.ingest_once(spark, f"{path}/*/*.txt.gz", progress, target, chunks_of, max_files=-(-n_files // 4), before_commit=fail)
     try:
         start().awaitTermination()
     except Exception as error:  # the stream reports the failure of its batch in an error of its own

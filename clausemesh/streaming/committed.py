@@ -45,7 +45,7 @@ class CommittedTable:
         if done:
             return False
         folder = f"rows/stream={stream}/epoch={epoch}"
-        rows.write.mode("overwrite").parquet(os.path.join(self.path, folder))
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(self.path, folder))
         before_commit()
         self._commit(stream, epoch, folder, [])
         return True
@@ -65,5 +65,5 @@ class CommittedTable:
         epochs = self.commits().where("stream <> ''").groupBy("stream").agg(F.max("epoch").alias("epoch")).collect()
         number = 1 + sum(r["epoch"] + 1 for r in epochs)
         folder = f"rows/whole={number}"
-        change(self.read()).write.mode("overwrite").parquet(os.path.join(self.path, folder))
+        change(self.read()).write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(self.path, folder))
         self._commit("", number, folder, old)

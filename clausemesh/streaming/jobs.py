@@ -18,7 +18,7 @@ from ..functions import ids
 from ..operators import audit as A
 from ..operators import store as ST
 from ..operators import tasks as TS
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from ..sources import files as FS
 from ..sources.blocks import number_read_lines
 from .committed import CommittedTable
@@ -43,7 +43,7 @@ def start_ingest(
 
     def batch(df: DataFrame, epoch: int) -> None:
         # files are read once; a file of any size stays spread as it was read
-        rows = cut_lineage(df.withColumn("seq", F.monotonically_increasing_id()))
+        rows = stored(df.withColumn("seq", F.monotonically_increasing_id()), "ingest-lines")
         bundle = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("bundle_id")
         handle(number_read_lines(rows).select("file", "line_no", "value", bundle), epoch)
 

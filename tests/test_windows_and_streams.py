@@ -1,11 +1,13 @@
 import json
 import os
+import pathlib
 import random
 
 from pyspark.sql import functions as F
 
+from clausemesh.catalog import QUERIES
 from clausemesh.operators import windows as WI
-from clausemesh.session import fresh_path
+from clausemesh.session import fresh_path, shared_dir
 from clausemesh.streaming import jobs as J
 
 
@@ -127,3 +129,17 @@ def test_drift_ticks(spark):
     found.clear()
     J.start_drift_checks(ticks, read, lambda df: found.extend(df.collect()), fresh_path(spark, "ticks"), migrating=lambda: True, once=True).awaitTermination()
     assert found == []
+
+
+def test_stream_ingest_stores_compressed_files(spark, sf):
+    """Arriving bundles lie in compressed files of the tasks that made them, each bundle's version in one; batches store lines as tables."""
+    here = lambda name: {str(p) for p in pathlib.Path(shared_dir(spark)).glob(f"{name}-*")}
+    before = {n: here(n) for n in ("bundles", "ingest-lines")}
+    assert QUERIES["stream_ingest"](spark, sf).count() > 0
+    (bundles,) = here("bundles") - before["bundles"]
+    files = [p for p in pathlib.Path(bundles).rglob("*") if p.name.startswith("part-")]
+    assert len(files) > 4 and all(p.name.endswith(".txt.gz") for p in files)
+    row = F.from_json("value", "bundle_id string, version int")
+    held = spark.read.text(bundles).select(row.alias("r"), F.input_file_name().alias("f")).groupBy("r").agg(F.count_distinct("f").alias("n"))
+    assert held.agg(F.max("n")).first()[0] == 1
+    assert len(here("ingest-lines") - before["ingest-lines"]) >= 4
